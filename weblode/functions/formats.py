@@ -12,69 +12,65 @@ UPTIME_UNITS = [("y", 31536000), ("d", 86400), ("h", 3600), ("m", 60), ("s", 1)]
 # --- end of fixed values ----------------------------------------------------
 
 
-def _scaled(amount: Column, units: list[str], render) -> Column:
-    """``render(amount / 1024**i, unit)`` with the largest unit not above the amount."""
-    case = None
-    for power in range(len(units) - 1, 0, -1):
-        step = float(1024**power)
-        text = render(amount / F.lit(step), units[power])
-        case = F.when(amount >= step, text) if case is None else case.when(amount >= step, text)
-    return case.otherwise(render(amount, units[0]))
+def _by_unit(amount: Column, values: list) -> Column:
+    """The value for the largest power of 1024 that is not above the amount."""
+    case = F.lit(values[0])
+    for power in range(1, len(values)):
+        case = F.when(amount >= float(1024**power), F.lit(values[power])).otherwise(case)
+    return case
+
+
+def _divisor(amount: Column, units: list[str]) -> Column:
+    return _by_unit(amount, [float(1024**power) for power in range(len(units))])
 
 
 def format_bytes_rounded(amount: Column) -> Column:
     """Whole units, halves up: ``2 KB``."""
-    return _scaled(
-        amount.cast("double"),
-        BYTE_UNITS,
-        lambda x, unit: F.concat(F.floor(x + 0.5).cast("string"), F.lit(f" {unit}")),
-    )
+    whole = F.floor(amount / _divisor(amount, BYTE_UNITS) + 0.5)
+    return F.concat(whole.cast("string"), F.lit(" "), _by_unit(amount, BYTE_UNITS))
 
 
 def format_bytes(amount: Column, decimals: int = 2) -> Column:
     """Up to ``decimals`` digits without trailing zeros; one byte is ``1 Byte``."""
     digits = max(decimals, 0)
-
-    def render(x: Column, unit: str) -> Column:
-        rounded = F.round(x.cast("double"), digits)
-        text = F.format_string(f"%.{digits}f", rounded)
-        if digits:
-            text = F.regexp_replace(text, r"\.?0+$", "")
-        name = F.when(rounded == 1, "Byte").otherwise("Bytes") if unit == "Bytes" else F.lit(unit)
-        return F.concat(text, F.lit(" "), name)
-
-    return F.when(amount == 0, "0 Bytes").otherwise(_scaled(amount.cast("double"), BYTE_UNITS, render))
+    text = F.format_string(f"%.{digits}f", F.round(amount / _divisor(amount, BYTE_UNITS), digits))
+    if digits:
+        text = F.regexp_replace(text, r"\.?0+$", "")
+    unit = F.when(amount == 1, "Byte").otherwise(_by_unit(amount, BYTE_UNITS))
+    return F.when(amount == 0, "0 Bytes").otherwise(F.concat(text, F.lit(" "), unit))
 
 
-def _one_decimal(x: Column) -> Column:
-    """One decimal of the exact binary value, ties to even, for 0 <= x < 2**20.
+def _one_decimal(n: Column, unit: Column) -> Column:
+    """``n / unit`` with one decimal, rounded as the double nearest to it: ties to even.
 
-    Scaling by a power of two is exact, so the tie test runs on whole numbers.
+    The quotient in tenths is a whole-number division. On a tie the double decides:
+    it lies above, below or on the tie (2q+1)/20, and both subtractions that find out
+    are exact because their operands are within a factor of two.
     """
-    scale = F.when(x < 1024, F.lit(2**52)).otherwise(F.lit(2**42)).cast("decimal(20,0)")
-    units = (x * scale.cast("double")).cast("decimal(20,0)") * F.lit(10).cast("decimal(2,0)")
-    whole = F.floor(units / scale).cast("decimal(20,0)")
-    rest = (units - whole * scale).cast("decimal(38,0)") * F.lit(2).cast("decimal(1,0)")
-    up = (rest > scale) | ((rest == scale) & (whole % 2 == 1))
-    tenths = (whole + F.when(up, 1).otherwise(0)).cast("bigint")
-    return F.concat(F.floor(tenths / 10).cast("string"), F.lit("."), (tenths % 10).cast("string"))
+    tenfold = n.cast("bigint") * 10
+    tenths = F.call_function("div", tenfold, unit)
+    rest = (tenfold % unit) * 2
+    quotient = n / unit
+    above = ((tenths * 2 + 1).cast("double") - quotient * 16) - quotient * 4
+    up_on_tie = (above < 0) | ((above == 0) & (tenths % 2 == 1))
+    rounded = tenths + F.when((rest > unit) | ((rest == unit) & up_on_tie), 1).otherwise(0)
+    whole = F.call_function("div", rounded, F.lit(10).cast("bigint"))
+    return F.concat(whole.cast("string"), F.lit("."), (rounded % 10).cast("string"))
 
 
 def format_bytes_short(amount: Column) -> Column:
     """``512 B``, ``1.5 KB``."""
-    scaled = _scaled(
-        amount.cast("double"), SHORT_UNITS, lambda x, unit: F.concat(_one_decimal(x), F.lit(f" {unit}"))
-    )
+    divisor = _divisor(amount, SHORT_UNITS).cast("bigint")
+    scaled = F.concat(_one_decimal(amount, divisor), F.lit(" "), _by_unit(amount, SHORT_UNITS))
     return F.when(amount < 1024, F.concat(amount.cast("string"), F.lit(" B"))).otherwise(scaled)
 
 
 def format_count(n: Column) -> Column:
     """``950``, ``1.2K``, ``3.4M``."""
-    return (
-        F.when(n >= 1_000_000, F.concat(_one_decimal(n / F.lit(1_000_000.0)), F.lit("M")))
-        .when(n >= 1_000, F.concat(_one_decimal(n / F.lit(1_000.0)), F.lit("K")))
-        .otherwise(n.cast("string"))
-    )
+    large = n >= 1_000_000
+    unit = F.when(large, 1_000_000).otherwise(1_000).cast("bigint")
+    letter = F.when(large, "M").otherwise("K")
+    return F.when(n < 1_000, n.cast("string")).otherwise(F.concat(_one_decimal(n, unit), letter))
 
 
 def format_uptime(seconds: Column) -> Column:

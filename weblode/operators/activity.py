@@ -38,7 +38,8 @@ def bucket_counts(
     good = succeeded(F.col("status"), success_range or SUCCESS_RANGE[profile])
     return (
         df.where(F.col("ts").isNotNull())
-        .groupBy(bucket_start(F.col("ts"), step).alias("bucket"))
+        .withColumn("_step", step)
+        .groupBy(bucket_start(F.col("ts"), F.col("_step")).alias("bucket"))
         .agg(
             F.count("*").alias("requests"),
             user_count("tui", approximate).alias("users"),
@@ -54,16 +55,18 @@ def _with_rates(series: DataFrame, profile: str) -> DataFrame:
     return series.withColumns({"rate": rate, "other_requests": F.col("requests") - F.col("users")})
 
 
-def zero_fill(series: DataFrame, step: Column, start: Column, end: Column, clip: bool = False) -> DataFrame:
-    """Add a zero row for every empty bucket from ``start`` to ``end``, both included.
+def zero_fill(series: DataFrame, step: Column, span: Column, clip: bool = False) -> DataFrame:
+    """Add a zero row for every empty bucket of ``span``, a struct ``(lo, hi)``, both included.
 
-    ``clip`` drops buckets outside the range. The slots are united with the series
-    and summed, which needs no join.
+    ``clip`` drops buckets outside the span. The slots are united with the series and
+    summed, which needs no join.
     """
     figures = ["requests", "users", "success", "total"]
-    seconds = lambda c: F.unix_seconds(bucket_start(c, step))
-    slots = series.sparkSession.range(1).select(
-        F.explode(F.sequence(seconds(start), seconds(end), step.cast("bigint"))).alias("_at")
+    edge = lambda name: F.unix_seconds(bucket_start(F.col(f"_span.{name}"), F.col("_step")))
+    slots = (
+        series.sparkSession.range(1)
+        .select(step.cast("bigint").alias("_step"), span.alias("_span"))
+        .select(F.explode(F.sequence(edge("lo"), edge("hi"), F.col("_step"))).alias("_at"))
     )
     empty = slots.select(
         F.timestamp_seconds("_at").alias("bucket"),
@@ -94,12 +97,9 @@ def activity(
     else:
         step = tui_step(period, df)
     counts = bucket_counts(df, step, profile, success_range, approximate)
-    if period.bounded:
-        start, end = period.start(), period.end()
-    else:
-        span = time_span(df)
-        start, end = span["lo"], span["hi"]
-    return _with_rates(zero_fill(counts, step, start, end, clip=profile == "tui"), profile)
+    fixed = F.struct(period.start().alias("lo"), period.end().alias("hi")) if period.bounded else None
+    span = time_span(df) if fixed is None else fixed
+    return _with_rates(zero_fill(counts, step, span, clip=profile == "tui"), profile)
 
 
 def trend(
@@ -169,10 +169,10 @@ def binned_requests(df: DataFrame, bins: int = HISTOGRAM_BINS, approximate: bool
 
     The last bin takes what lies beyond; a single instant fills bin 0.
     """
-    span = time_span(df)
-    index = F.least(_bin(F.col("ts"), span["lo"], span["hi"], bins), F.lit(bins - 1))
+    index = F.least(_bin(F.col("ts"), F.col("_span.lo"), F.col("_span.hi"), bins), F.lit(bins - 1))
     binned = (
         df.where(F.col("ts").isNotNull())
+        .withColumn("_span", time_span(df))
         .groupBy(index.alias("bin"))
         .agg(F.count("*").alias("requests"), user_count("tui", approximate).alias("users"))
     )
@@ -194,18 +194,27 @@ def binned_success(
             bucket_start(F.min("ts"), grid).alias("lo"), bucket_start(F.max("ts"), grid).alias("hi")
         ).alias("span")
     ).scalar()
-    one_bucket = ends["lo"] == ends["hi"]
-    index = F.when(one_bucket, F.lit(0)).otherwise(_bin(F.col("ts"), ends["lo"], ends["hi"], bins))
+    one_bucket = F.col("_span.lo") == F.col("_span.hi")
+    index = F.when(one_bucket, 0).otherwise(_bin(F.col("ts"), F.col("_span.lo"), F.col("_span.hi"), bins))
     good = succeeded(F.col("status"), success_range)
-    binned = judged.groupBy(index.alias("bin")).agg(F.count_if(good).alias("success"), F.count("*").alias("total"))
-    inside = _all_bins(binned.where(F.col("bin") < bins), ["success", "total"], bins)
+    binned = (
+        judged.withColumn("_span", ends)
+        .groupBy(index.alias("bin"))
+        .agg(F.count_if(good).alias("success"), F.count("*").alias("total"), F.max(one_bucket).alias("spread"))
+    )
+    inside = _all_bins(
+        binned.where(F.col("bin") < bins).withColumn("spread", F.col("spread").cast("bigint")),
+        ["success", "total", "spread"],
+        bins,
+    )
     # With one bucket the single filled bin stands for all of them.
-    first = Window.orderBy("bin").rowsBetween(Window.unboundedPreceding, 0)
-    figures = {
-        name: F.when(one_bucket, F.first(name).over(first)).otherwise(F.col(name)) for name in ("success", "total")
-    }
-    spread = inside.withColumns(figures)
-    return spread.withColumn("rate", F.coalesce(F.try_divide("success", "total"), F.lit(0.0)))
+    upto = Window.orderBy("bin").rowsBetween(Window.unboundedPreceding, 0)
+    alone = F.first("spread").over(upto) == 1
+    shown = inside.select(
+        "bin",
+        *[F.when(alone, F.first(name).over(upto)).otherwise(F.col(name)).alias(name) for name in ("success", "total")],
+    )
+    return shown.withColumn("rate", F.coalesce(F.try_divide("success", "total"), F.lit(0.0)))
 
 
 def down_sample(series: DataFrame, columns: int) -> DataFrame:

@@ -6,72 +6,97 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # --- fixed values -----------------------------------------------------------
-IPV4_PATTERN = r"^(?:(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)\.){3}(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)$"
+IPV4_BODY = r"(?:(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)\.){3}(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
+IPV6_GROUP = "[0-9A-Fa-f]{1,4}"
 IPV6_GROUPS = 8
 IPV4_BITS, IPV6_BITS = 32, 128
 # --- end of fixed values ----------------------------------------------------
 
 _KEY_TYPE = "struct<family:int,hi:bigint,lo:bigint>"
+_LONG = "bigint"
 
 
-def _ipv4_number(address: Column) -> Column:
-    octets = F.split(address, r"\.")
-    number = F.lit(0).cast("bigint")
-    for position in range(4):
-        number = number * 256 + F.get(octets, F.lit(position)).try_cast("bigint")
-    return number
+def _ipv6_pattern() -> str:
+    """Eight groups, or fewer around one ``::``: so many before it, the rest at most after it."""
+    shapes = [f"(?:{IPV6_GROUP}:){{{IPV6_GROUPS - 1}}}{IPV6_GROUP}"]
+    for before in range(IPV6_GROUPS):
+        head = f"(?:{IPV6_GROUP}:){{{before}}}" if before else ":"
+        after = IPV6_GROUPS - 1 - before
+        tail = f"(?::{IPV6_GROUP}){{1,{after}}}|:" if after else ":"
+        shapes.append(f"{head}(?:{tail})")
+    return "^(?:" + "|".join(shapes) + ")$"
 
 
-def _ipv6_groups(address: Column) -> Column:
-    """Eight hexadecimal groups, with ``::`` expanded and a dotted tail rewritten; else null."""
-    tail = F.regexp_extract(address, r"((?:\d{1,3}\.){3}\d{1,3})$", 1)
-    number = _ipv4_number(tail)
-    as_groups = F.concat(
-        F.hex(F.shiftright(number, 16)), F.lit(":"), F.hex(number.bitwiseAND(F.lit(65535).cast("bigint")))
-    )
-    text = F.when(
-        tail.rlike(IPV4_PATTERN), F.concat(F.regexp_replace(address, r"[\d.]+$", ""), as_groups)
-    ).otherwise(address)
-    left = F.substring_index(text, "::", 1)
-    right = F.when(text.contains("::"), F.substring_index(text, "::", -1)).otherwise("")
-    groups = lambda part: F.filter(F.split(part, ":"), lambda g: g != "")
-    missing = IPV6_GROUPS - F.size(groups(left)) - F.size(groups(right))
-    zeros = F.when(
-        text.contains("::") & (missing > 0), F.array_repeat(F.lit("0"), missing.cast("int"))
-    ).otherwise(F.array().cast("array<string>"))
-    whole = F.concat(groups(left), zeros, groups(right))
-    shaped = text.rlike(r"^(?:[0-9A-Fa-f]{1,4}(?::|$)|:(?=:)|::)+$") & ~text.rlike(r":::|::.*::|^:[^:]|[^:]:$")
-    return F.when(shaped & text.contains(":") & (F.size(whole) == IPV6_GROUPS), whole)
-
-
-def address_key(address: Column) -> Column:
-    """``(family, hi, lo)`` of a valid IPv4 or IPv6 address, else null.
-
-    IPv4 is kept in ``lo``; an IPv4 address mapped into IPv6 counts as IPv4.
-    """
-    four = F.struct(F.lit(4), F.lit(0).cast("bigint"), _ipv4_number(address)).cast(_KEY_TYPE)
-    groups = _ipv6_groups(address)
-
-    def half(first: int) -> Column:
-        value = F.lit(0).cast("bigint")
-        for position in range(first, first + 4):
-            part = F.conv(F.get(groups, F.lit(position)), 16, 10).try_cast("bigint")
-            value = F.shiftleft(value, 16).bitwiseOR(part)
-        return value
-
-    hi, lo = half(0), half(4)
-    mapped = (hi == 0) & (F.shiftright(lo, 32) == 0xFFFF)
-    low_word = lo.bitwiseAND(F.lit(0xFFFFFFFF).cast("bigint"))
-    six = F.when(mapped, F.struct(F.lit(4), F.lit(0).cast("bigint"), low_word).cast(_KEY_TYPE)).otherwise(
-        F.struct(F.lit(6), hi, lo).cast(_KEY_TYPE)
-    )
-    return F.when(address.rlike(IPV4_PATTERN), four).when(
-        address.contains(":") & groups.isNotNull(), six
-    )
+def _is_ipv4(address: Column) -> Column:
+    return address.rlike(f"^{IPV4_BODY}$")
 
 
 def is_address(address: Column) -> Column:
-    return address_key(address).isNotNull()
+    """Whether a text is an IPv4 address or an IPv6 address, the latter also with a dotted tail."""
+    plain = F.regexp_replace(address, f":{IPV4_BODY}$", ":0:0")
+    return _is_ipv4(address) | (address.contains(":") & plain.rlike(_ipv6_pattern()))
+
+
+def _number(words: Column, base: int) -> Column:
+    return F.aggregate(words, F.lit(0).cast(_LONG), lambda acc, word: acc * base + word)
+
+
+def _word_number(words: Column) -> Column:
+    """Four 16-bit words as one 64-bit pattern."""
+    return F.aggregate(
+        words, F.lit(0).cast(_LONG), lambda acc, word: F.shiftleft(acc, 16).bitwiseOR(word)
+    )
+
+
+def with_address_key(df: DataFrame, address: str, key: str = "key") -> DataFrame:
+    """Add ``(family, hi, lo)`` of a valid address, else null.
+
+    IPv4 is kept in ``lo``; an IPv4 address mapped into IPv6 counts as IPv4. The steps
+    are columns of their own, so that each text is taken apart once.
+    """
+    dotted = F.regexp_extract(address, f"({IPV4_BODY})$", 1)
+    octets = F.transform(F.filter(F.split(dotted, r"\."), lambda o: o != ""), lambda o: o.try_cast(_LONG))
+    split_at = F.when(F.col("_text").contains("::"), F.split("_text", "::", 2)).otherwise(F.array("_text"))
+    words = lambda part: F.transform(
+        F.filter(F.split(F.coalesce(part, F.lit("")), ":"), lambda g: g != ""),
+        lambda g: F.conv(g, 16, 10).try_cast(_LONG),
+    )
+    missing = F.greatest(F.lit(IPV6_GROUPS) - F.size("_left") - F.size("_right"), F.lit(0))
+    zeros = F.array_repeat(F.lit(0).cast(_LONG), missing)
+    mapped = (F.col("_hi") == 0) & (F.shiftright("_lo", 32) == 0xFFFF)
+    v4 = F.struct(F.lit(4), F.lit(0).cast(_LONG), F.col("_v4")).cast(_KEY_TYPE)
+    v6_as_v4 = F.struct(F.lit(4), F.lit(0).cast(_LONG), F.col("_lo").bitwiseAND(F.lit(0xFFFFFFFF).cast(_LONG)))
+    v6 = F.struct(F.lit(6), F.col("_hi"), F.col("_lo")).cast(_KEY_TYPE)
+    steps = [
+        {"_valid": is_address(F.col(address)), "_plain": _is_ipv4(F.col(address)), "_v4": _number(octets, 256)},
+        {
+            # A dotted tail of an IPv6 address becomes its last two groups.
+            "_text": F.when(F.col("_plain"), "").otherwise(
+                F.when(dotted == "", F.col(address)).otherwise(
+                    F.concat(
+                        F.regexp_replace(address, f"{IPV4_BODY}$", ""),
+                        F.hex(F.shiftright("_v4", 16)),
+                        F.lit(":"),
+                        F.hex(F.col("_v4").bitwiseAND(F.lit(0xFFFF).cast(_LONG))),
+                    )
+                )
+            )
+        },
+        {"_parts": split_at},
+        {"_left": words(F.get("_parts", F.lit(0))), "_right": words(F.get("_parts", F.lit(1)))},
+        {"_words": F.concat("_left", zeros, "_right")},
+        {"_hi": _word_number(F.slice("_words", 1, 4)), "_lo": _word_number(F.slice("_words", 5, 4))},
+        {
+            key: F.when(
+                F.col("_valid"),
+                F.when(F.col("_plain"), v4).otherwise(F.when(mapped, v6_as_v4.cast(_KEY_TYPE)).otherwise(v6)),
+            )
+        },
+    ]
+    for step in steps:
+        df = df.withColumns(step)
+    helpers = [name for step in steps[:-1] for name in step]
+    return df.drop(*helpers)
 
 
 def _clear_low(word: Column, bits: Column) -> Column:
@@ -107,9 +132,12 @@ def networks_from_cidr(networks: DataFrame, cidr: str = "network") -> DataFrame:
     A network that occurs twice keeps one location.
     """
     parts = F.split(F.col(cidr), "/")
-    keyed = networks.select(
-        address_key(F.get(parts, F.lit(0))).alias("key"), F.get(parts, F.lit(1)).try_cast("int").alias("given"), *_place_columns(networks)
-    ).where("key is not null")
+    texts = networks.select(
+        F.get(parts, F.lit(0)).alias("_address"),
+        F.get(parts, F.lit(1)).try_cast("int").alias("given"),
+        *_place_columns(networks),
+    )
+    keyed = with_address_key(texts, "_address").where("key is not null")
     full = F.when(F.col("key.family") == 4, IPV4_BITS).otherwise(IPV6_BITS)
     prefixed = keyed.select(F.coalesce("given", full).alias("prefix"), "key", *_PLACE)
     return prefixed.select("prefix", network_of(F.col("key"), F.col("prefix")).alias("net"), *_PLACE).dropDuplicates(
@@ -165,7 +193,7 @@ def resolve(addresses: DataFrame, networks: DataFrame) -> DataFrame:
     lengths = networks.agg(
         F.collect_set(F.struct(F.col("net.family").alias("family"), "prefix")).alias("lengths")
     ).scalar()
-    keyed = addresses.select("ip_address", address_key(F.col("ip_address")).alias("key"), lengths.alias("lengths"))
+    keyed = with_address_key(addresses.select("ip_address"), "ip_address").withColumn("lengths", lengths)
     fitting = F.filter("lengths", lambda length: length["family"] == F.col("key.family"))
     tries = keyed.select("ip_address", "key", F.explode_outer(fitting).alias("length")).select(
         "ip_address",

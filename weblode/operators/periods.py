@@ -95,13 +95,18 @@ class Period:
 
 
 def time_span(df: DataFrame) -> Column:
-    """Struct ``(lo, hi)`` of the earliest and latest instant as a scalar subquery."""
+    """Struct ``(lo, hi)`` of the earliest and latest instant, as a scalar subquery.
+
+    Attach it to a frame as one column; every further mention of the expression would
+    be planned as a subquery of its own.
+    """
     return df.agg(F.struct(F.min("ts").alias("lo"), F.max("ts").alias("hi")).alias("span")).scalar()
 
 
-def span_seconds(span: Column) -> Column:
-    """Length of a span in seconds, fractions kept."""
-    return (F.unix_micros(span["hi"]) - F.unix_micros(span["lo"])) / F.lit(1_000_000.0)
+def _span_seconds(df: DataFrame) -> DataFrame:
+    """One row with the ``length`` of the data in seconds, fractions kept."""
+    micros = F.unix_micros(F.max("ts")) - F.unix_micros(F.min("ts"))
+    return df.agg((micros / F.lit(1_000_000.0)).alias("length"))
 
 
 def web_steps(period: Period, unfiltered: DataFrame | None = None) -> tuple[Column, Column]:
@@ -109,12 +114,13 @@ def web_steps(period: Period, unfiltered: DataFrame | None = None) -> tuple[Colu
     if period.bounded:
         activity, trend = WEB_STEPS[period.name]
         return F.lit(activity), F.lit(trend)
-    length = F.coalesce(span_seconds(time_span(unfiltered)), F.lit(0.0))
+    length = F.coalesce("length", F.lit(0.0))
     activity, trend = F.lit(WEB_SPAN_STEPS[-1][1]), F.lit(WEB_SPAN_STEPS[-1][2])
     for longest, step, trend_step in reversed(WEB_SPAN_STEPS[:-1]):
         activity = F.when(length <= longest, step).otherwise(activity)
         trend = F.when(length <= longest, trend_step).otherwise(trend)
-    return activity, trend
+    span = _span_seconds(unfiltered)
+    return span.select(activity.alias("step")).scalar(), span.select(trend.alias("step")).scalar()
 
 
 def adaptive_step(length: Column) -> Column:
@@ -128,7 +134,7 @@ def adaptive_step(length: Column) -> Column:
 def tui_step(period: Period, filtered: DataFrame) -> Column:
     if period.bounded:
         return adaptive_step(F.lit(float(TUI_PERIODS[period.name] * 3600)))
-    return adaptive_step(span_seconds(time_span(filtered)))
+    return _span_seconds(filtered).select(adaptive_step(F.col("length")).alias("step")).scalar()
 
 
 def initial_period(df: DataFrame, as_of: dt.datetime, profile: str = "web") -> DataFrame:

@@ -73,23 +73,23 @@ def size_histogram(df: DataFrame) -> DataFrame:
         .select(F.struct("lo", "hi").alias("bounds"))
         .scalar()
     )
-    low, high = bounds["lo"], bounds["hi"]
-    size, reach = F.col("size"), high - low
+    low, high, size = F.col("bounds.lo"), F.col("bounds.hi"), F.col("size")
+    reach = high - low
     by_byte = reach <= MOST_BINS
     width = reach / F.lit(float(MOST_BINS))
     wide_bin = F.when(size >= high, MOST_BINS - 1).otherwise(
         F.least(F.floor((size - low) / F.nullif(width, F.lit(0.0))), F.lit(MOST_BINS - 1))
     )
-    inside = size.between(low, high)
-    bin_of = F.when(inside, F.when(by_byte, size - low).otherwise(wide_bin)).cast("int")
-    binned = counts.select(F.coalesce(bin_of, F.lit(-1)).alias("bin"), "n", F.lit(0).alias("slot"))
+    bin_of = F.when(size.between(low, high), F.when(by_byte, size - low).otherwise(wide_bin)).cast("int")
+    binned = counts.withColumn("bounds", bounds).select(
+        F.coalesce(bin_of, F.lit(-1)).alias("bin"), "n", F.lit(None).cast("double").alias("start")
+    )
 
     last = F.when(by_byte, reach).otherwise(MOST_BINS - 1).cast("int")
-    slots = df.sparkSession.range(1).select(
-        F.explode(F.sequence(F.lit(0), last)).alias("bin"), F.lit(0).cast("bigint").alias("n"), F.lit(1).alias("slot")
+    numbered = df.sparkSession.range(1).select(bounds.alias("bounds")).select(
+        "bounds", F.explode(F.sequence(F.lit(0), last)).alias("bin")
     )
-    filled = (
-        binned.unionByName(slots).groupBy("bin").agg(F.sum("n").alias("n"), F.max("slot").alias("slot"))
-    ).where("slot = 1")
     start = low + F.when(by_byte, F.col("bin").cast("double")).otherwise(F.col("bin") * width)
-    return filled.select("bin", format_bytes_rounded(start).alias("label"), "n")
+    slots = numbered.select("bin", F.lit(0).cast("bigint").alias("n"), start.alias("start"))
+    filled = binned.unionByName(slots).groupBy("bin").agg(F.sum("n").alias("n"), F.max("start").alias("start"))
+    return filled.where("start IS NOT NULL").select("bin", format_bytes_rounded(F.col("start")).alias("label"), "n")
