@@ -11,6 +11,10 @@ import datetime as dt
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from weblode.operators.error_parse import parse_errors
+from weblode.operators.geo import distinct_addresses, networks_from_ranges, resolve
+from weblode.operators.parse import derive_labels, derive_time
+
 AS_OF = dt.datetime(2024, 1, 31)
 
 ACCESS_ROWS = """
@@ -135,24 +139,23 @@ def host_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.sql(HOST_SAMPLES.replace("FROM events", "FROM {events}"), events=table(spark, sf_dir, "events"))
 
 
-def access_log(spark: SparkSession, sf_dir: str, profile: str = "web") -> DataFrame:
-    """The parsed access log, as ``write_log_table`` stores it, with the event number."""
-    from weblode.operators.parse import derive_columns
+def access_log(spark: SparkSession, sf_dir: str, profile: str = "web", labels: bool = False) -> DataFrame:
+    """The parsed access log, as ``write_log_table`` stores it, with the event number.
 
+    The label columns are added on request: building their expressions takes longer
+    than most queries.
+    """
     rows = access_rows(spark, sf_dir).where("NOT is_malformed").drop("is_malformed")
     if profile == "web":
         rows = rows.withColumn("response_size", F.nullif("response_size", F.lit(0).cast("bigint")))
-    return derive_columns(rows, profile)
+    rows = derive_time(rows)
+    return derive_labels(rows, profile) if labels else rows
 
 
 def error_log(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from weblode.operators.error_parse import parse_errors
-
     return parse_errors(error_lines(spark, sf_dir), keep=("event_id",))
 
 
 def locations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Location of every address in the log; addresses outside all networks have empty texts."""
-    from weblode.operators.geo import distinct_addresses, networks_from_ranges, resolve
-
     return resolve(distinct_addresses(access_rows(spark, sf_dir)), networks_from_ranges(network_ranges(spark, sf_dir)))

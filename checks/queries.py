@@ -201,7 +201,8 @@ def bands(spark, sf):
 
 
 def _filtered(spark, sf, wanted: LogFilter, settings: Settings = Settings()) -> DataFrame:
-    kept = wanted.apply(fx.access_log(spark, sf, wanted.period.profile), settings)
+    labels = bool(wanted.client or wanted.os or wanted.device_type or settings.exclude_bots)
+    kept = wanted.apply(fx.access_log(spark, sf, wanted.period.profile, labels), settings)
     return kept.select("event_id", time_text("ts").alias("ts"), "path", "method", "status")
 
 

@@ -88,19 +88,24 @@ def _number(text: Column, kind: str, profile: str) -> Column:
     return F.nullif(value, F.lit(0).cast(kind)) if profile == "web" else value
 
 
-def derive_columns(df: DataFrame, profile: str = "web") -> DataFrame:
-    """Add hour, weekday and the labels that follow from the user agent."""
-    agent = F.col("user_agent")
-    return df.withColumns(
+def derive_time(df: DataFrame) -> DataFrame:
+    """Add hour and weekday (0 = Sunday) in the session time zone."""
+    return df.withColumns({"hour": F.hour("ts"), "day_of_week": F.dayofweek("ts") - 1})
+
+
+def derive_labels(df: DataFrame, profile: str = "web") -> DataFrame:
+    """Add the labels that follow from the user agent."""
+    agent, lowered = F.col("user_agent"), F.col("_lowered")
+    # A column of its own, so that the text is lowered once and not per test.
+    labelled = df.withColumn("_lowered", F.lower(agent)).withColumns(
         {
-            "hour": F.hour("ts"),
-            "day_of_week": F.dayofweek("ts") - 1,
             "client": ua.client(agent, profile),
             "os": ua.operating_system(agent, profile),
             "device": ua.device(agent, profile),
-            "is_bot": ua.is_bot(agent, profile),
+            "is_bot": ua.is_bot(agent, profile, lowered),
         }
     )
+    return labelled.drop("_lowered")
 
 
 def parse_access(
@@ -146,7 +151,7 @@ def parse_access(
         "ip_address", "ts", "hour", "day_of_week", "method", "path", "http_version", "status",
         "response_size", "referrer", "user_agent", "client", "os", "device", "is_bot",
     ]
-    return derive_columns(rows, profile).select(*keep, *order)
+    return derive_labels(derive_time(rows), profile).select(*keep, *order)
 
 
 def malformed_lines(lines: DataFrame, log_format: str | None = None, line: str = "value") -> DataFrame:
