@@ -9,7 +9,7 @@ from weblode.operators.filters import ErrorFilter
 
 
 def search_errors(df: DataFrame, wanted: ErrorFilter) -> DataFrame:
-    return df.where(wanted.to_column())
+    return wanted.apply(df)
 
 
 def sort_errors(df: DataFrame, key: str = "ts", ascending: bool = False) -> DataFrame:

@@ -120,9 +120,17 @@ class ErrorFilter:
     levels: tuple[str, ...] = ()
 
     def to_column(self) -> Column:
+        """The predicate without the text search."""
         kept = [self.period.contains(F.col("ts"))] if self.period.bounded else []
-        if self.search:
-            kept.append(error_search_text().contains(self.search.lower()))
         if self.levels:
-            kept.append(F.lower(F.col("level")).isin([level for level in self.levels]))
+            kept.append(F.lower(F.col("level")).isin(list(self.levels)))
         return reduce(and_, kept, F.lit(True))
+
+    def apply(self, df: DataFrame) -> DataFrame:
+        """Filter rows. The searched text is pinned by a generator: as part of the predicate
+        it would repeat the parsing of seven fields inside one filter."""
+        rows = df.where(self.to_column())
+        if not self.search:
+            return rows
+        texts = rows.select("*", F.explode(F.array(error_search_text())).alias("_text"))
+        return texts.where(F.col("_text").contains(self.search.lower())).drop("_text")
