@@ -37,7 +37,7 @@ def hours_in_range(period: Period) -> Column:
     seconds = (F.unix_micros("max_ts") - F.unix_micros("min_ts")) / F.lit(1_000_000.0)
     if period.profile == "web":
         fallback = period.hours() if period.bounded else F.lit(1.0)
-        return F.coalesce(F.greatest(seconds / 3600, F.lit(1.0)), fallback)
+        return F.when(seconds.isNotNull(), F.greatest(seconds / 3600, F.lit(1.0))).otherwise(fallback)
     whole = F.greatest(F.floor(F.coalesce(seconds, F.lit(0.0)) / 3600).cast("double"), F.lit(1.0))
     if period.bounded:
         return F.when(F.col("total_requests") > 0, F.lit(float(TUI_PERIODS[period.name]))).otherwise(whole)
