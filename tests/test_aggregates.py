@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from weblode.operators import activity, counts, geo, hosts, sizes, topk, totals
 from weblode.operators.filters import LogFilter, Settings
+from weblode.operators.lookup import hot_keys, lookup
 from weblode.operators.parse import derive_time
 from weblode.operators.periods import Period
 from weblode.plans.report import traffic_report
@@ -314,6 +315,25 @@ def test_locations(spark, df, rows):
     assert [(r.country, r.locations) for r in top] == [("GB", 2)]
 
 
+def test_lookup_spreads_hot_keys(spark, df, rows):
+    table = spark.createDataFrame([("9.9.9.9", "GB"), ("10.0.0.1", "FR")], "ip_address string, country string")
+    expected = Counter({"9.9.9.9": "GB", "10.0.0.1": "FR"}.get(r["ip_address"]) for r in rows)
+    # 0.2: one hot address; 0.9: none; 0.0: all are hot; None: plain join.
+    for share in (0.2, 0.9, 0.0, None):
+        joined = lookup(df, table, "ip_address", ["country"], share)
+        assert joined.columns == [*df.columns, "country"]
+        assert Counter(r.country for r in joined.collect()) == expected
+    assert [r.ip_address for r in hot_keys(df, "ip_address", 0.2).collect()] == ["9.9.9.9"]
+
+
+def test_newest_rows(spark, df, rows):
+    dated = sorted((r["ts"] for r in rows if r["ts"]), reverse=True)
+    for n in (1, 37, len(dated), len(dated) + 5, len(rows) + 5):
+        got = topk.newest_rows(df, n).collect()
+        assert [r.ts for r in got] == (dated + [None] * (len(rows) - len(dated)))[:n]
+    assert topk.newest_rows(df.where("ts IS NULL"), 3).count() == 3
+
+
 def test_host_metrics_and_history(spark):
     schema = (
         "host string, timestamp timestamp, cpu struct<usage:double,core_usage:array<double>>, "

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 from functools import reduce
 from operator import and_, or_
 
@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from weblode.functions.text import error_search_text, strip_query
 from weblode.functions.versions import api_version
+from weblode.operators.lookup import lookup
 from weblode.operators.periods import Period
 
 
@@ -84,12 +85,13 @@ class LogFilter:
     def apply(
         self, df: DataFrame, settings: Settings = Settings(), locations: DataFrame | None = None
     ) -> DataFrame:
-        """Filter rows; with ``locations`` the country test is a semi join on the address."""
+        """Filter rows; with ``locations`` (one row per address) the country is looked up."""
         if self.location is None or locations is None:
             return df.where(self.to_column(settings))
-        others = LogFilter(**{**self.__dict__, "location": None})
-        wanted = locations.where(F.col("country") == self.location).select("ip_address")
-        return df.where(others.to_column(settings)).join(wanted, "ip_address", "left_semi")
+        others = replace(self, location=None)
+        wanted = locations.where(F.col("country") == self.location).select("ip_address", F.lit(True).alias("_inside"))
+        rows = lookup(df.where(others.to_column(settings)), wanted, "ip_address", ["_inside"])
+        return rows.where(F.col("_inside")).drop("_inside")
 
 
 def status_in(status: Column, wanted: int | tuple[tuple[int, int], ...]) -> Column:
@@ -99,8 +101,12 @@ def status_in(status: Column, wanted: int | tuple[tuple[int, int], ...]) -> Colu
 
 
 def exclude_endpoints(df: DataFrame, excluded: DataFrame, settings: Settings = Settings()) -> DataFrame:
-    """Drop rows whose counted path is in a table of paths (column ``path``), for long lists."""
-    paths = excluded.select(F.col("path").alias("_path")).distinct()
+    """Drop rows whose counted path is in a table of paths (column ``path``), for long lists.
+
+    The table is not made distinct first: an aggregation between its shuffle and the join
+    would keep adaptive execution from splitting a hot path.
+    """
+    paths = excluded.select(F.col("path").alias("_path"))
     return df.join(paths, settings.counted_path() == F.col("_path"), "left_anti")
 
 

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import datetime as dt
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from weblode.operators.lookup import lookup
+
 # --- fixed values -----------------------------------------------------------
 IPV4_BODY = r"(?:(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)\.){3}(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
 IPV6_GROUP = "[0-9A-Fa-f]{1,4}"
@@ -220,13 +224,11 @@ def resolve(addresses: DataFrame, networks: DataFrame) -> DataFrame:
 def with_location(df: DataFrame, locations: DataFrame, *columns: str) -> DataFrame:
     """Attach location columns (default ``country``) to log rows; unknown addresses get null.
 
-    A hot address is a skewed key of the log side, which adaptive execution splits.
-    Counts by country should use ``counts.location_counts``, which joins after
-    aggregating by address.
+    A location table holds an address once. Rows of hot addresses are spread (see
+    ``lookup``). Counts by country should use ``counts.location_counts``, which joins
+    after aggregating by address.
     """
-    wanted = columns or ("country",)
-    one_each = locations.dropDuplicates(["ip_address"]).select("ip_address", *wanted)
-    return df.join(one_each, "ip_address", "left")
+    return lookup(df, locations, "ip_address", list(columns or ("country",)))
 
 
 def unknown_addresses(df: DataFrame, locations: DataFrame, profile: str = "web") -> DataFrame:
@@ -240,13 +242,13 @@ def unknown_addresses(df: DataFrame, locations: DataFrame, profile: str = "web")
 
 
 def country_names(counts: DataFrame, names: DataFrame) -> DataFrame:
-    """Attach display names from a table ``country, name``."""
+    """Attach display names from a table ``country, name``, to counted rows."""
     return counts.join(names.dropDuplicates(["country"]), "country", "left")
 
 
-def live_points(df: DataFrame, locations: DataFrame, as_of, window: str = "1 hour") -> DataFrame:
+def live_points(df: DataFrame, locations: DataFrame, as_of: dt.datetime, window: str = "1 hour") -> DataFrame:
     """Recent requests on the map: ``ts, lat, lon, status`` for rows whose place is known."""
     recent = df.where(F.col("ts") >= F.lit(as_of).cast("timestamp") - F.expr(f"INTERVAL {window}"))
-    placed = locations.where(F.col("lat").isNotNull() & F.col("lon").isNotNull())
-    points = placed.dropDuplicates(["ip_address"]).select("ip_address", "lat", "lon")
-    return recent.join(points, "ip_address").select("ts", "lat", "lon", "status")
+    needed = recent.select("ip_address", "ts", "status", "user_agent", "path")
+    placed = lookup(needed, locations, "ip_address", ["lat", "lon"])
+    return placed.where(F.col("lat").isNotNull() & F.col("lon").isNotNull()).select("ts", "lat", "lon", "status")

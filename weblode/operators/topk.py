@@ -66,8 +66,24 @@ def one_method(ranked: DataFrame) -> DataFrame:
 
 
 def newest_rows(df: DataFrame, n: int = NEWEST_ROWS, *ties: str) -> DataFrame:
-    """The latest rows by time, rows without a time last."""
-    return df.orderBy(F.desc_nulls_last("ts"), *ties).limit(n)
+    """The latest rows by time, rows without a time last.
+
+    Counts per hour tell from which hour on there are ``n`` rows; only rows from then
+    on are ranked, because a limit of this size over all tasks would send ``n`` rows
+    from each of them to one. Rows without a time count when there are too few others.
+    """
+    hours = df.where("ts IS NOT NULL").groupBy(F.date_trunc("hour", "ts").alias("hour")).agg(F.count("*").alias("m"))
+    newer = F.sum("m").over(Window.orderBy(F.desc("hour"))) - F.col("m")
+    edge = hours.withColumn("newer", newer).agg(
+        F.struct(
+            F.min(F.when(F.col("newer") < n, F.col("hour"))).alias("first"),
+            F.coalesce(F.sum("m"), F.lit(0)).alias("dated"),
+        ).alias("edge")
+    )
+    late = df.withColumn("_edge", edge.scalar()).where(
+        (F.col("ts") >= F.col("_edge.first")) | (F.col("ts").isNull() & (F.col("_edge.dated") < n))
+    )
+    return late.drop("_edge").orderBy(F.desc_nulls_last("ts"), *ties).limit(n)
 
 
 def sort_by_time(df: DataFrame) -> DataFrame:

@@ -24,6 +24,8 @@ from weblode.sources.tail import tail_logs
 POLL_INTERVAL = "30 seconds"
 # --- end of fixed values ----------------------------------------------------
 
+LOCATION_SALTS = 16
+
 
 def access_stream(spark: SparkSession, path: str, log_format: str | None = None, profile: str = "web") -> DataFrame:
     """Parsed rows of growing access logs."""
@@ -117,17 +119,21 @@ def closed_windows(rows: DataFrame, step: str, watermark: str, approximate: bool
     return windows.select(F.col("window.start").alias("bucket"), "requests", "users")
 
 
-def located(rows: DataFrame, locations: DataFrame, watermark: str = "1 hour") -> DataFrame:
+def located(rows: DataFrame, locations: DataFrame, watermark: str = "1 hour", salts: int = LOCATION_SALTS) -> DataFrame:
     """Recent rows joined to a stream of locations ``ip_address, lat, lon, located_at``.
 
     A row waits for its location and a location for its rows, both up to the
-    watermark; rows without coordinates fall out.
+    watermark; rows without coordinates fall out. Locations are repeated once per
+    salt, so that the waiting rows of a hot address are spread over that many tasks.
     """
     placed = locations.where(F.col("lat").isNotNull() & F.col("lon").isNotNull())
-    left = _late(rows, watermark).alias("r")
-    right = placed.withWatermark("located_at", watermark).alias("l")
+    salted = F.pmod(F.xxhash64(*rows.columns), F.lit(salts)).cast("int")
+    left = _late(rows, watermark).withColumn("salt", salted).alias("r")
+    every_salt = F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt")
+    right = placed.withWatermark("located_at", watermark).select("*", every_salt).alias("l")
     near = F.expr(
-        f"r.ip_address = l.ip_address AND l.located_at BETWEEN r.ts - INTERVAL {watermark} AND r.ts + INTERVAL {watermark}"
+        f"""r.ip_address = l.ip_address AND r.salt = l.salt
+        AND l.located_at BETWEEN r.ts - INTERVAL {watermark} AND r.ts + INTERVAL {watermark}"""
     )
     return left.join(right, near).select("r.ts", "l.lat", "l.lon", "r.status")
 
