@@ -30,6 +30,17 @@ def rows_of(columns: list[str], rows) -> tuple[list[str], list[tuple]]:
     return [columns[i] for i in order], sorted(picked, key=repr)
 
 
+SAME_TYPE = {"string": "VARCHAR", "bigint": "BIGINT", "int": "INTEGER", "double": "DOUBLE", "boolean": "BOOLEAN"}
+
+
+def types_of(frame, connection, sql: str) -> dict:
+    """Columns whose types differ."""
+    described = {row[0]: row[1] for row in connection.execute(f"DESCRIBE {sql}").fetchall()}
+    return {
+        name: (kind, described[name]) for name, kind in frame.dtypes if SAME_TYPE.get(kind) != described[name]
+    }
+
+
 def compare(spark, folder: str, names: list[str]) -> dict[str, str]:
     connection = duckdb.connect()
     for name in TABLES:
@@ -56,9 +67,8 @@ def compare(spark, folder: str, names: list[str]) -> dict[str, str]:
             found[name] = f"sql: {str(error)[:300]}"
             continue
         if got == wanted:
-            kinds = [{type(v).__name__ for v in column} for column in zip(*got[1])]
-            found[name] = f"ok {len(got[1])} rows {took:.2f}s" + ("" if got[1] else " EMPTY")
-            del kinds
+            kinds = types_of(frame, connection, sql[name])
+            found[name] = f"types {kinds}" if kinds else f"ok {len(got[1])} rows {took:.2f}s"
         elif got[0] != wanted[0]:
             found[name] = f"columns {got[0]} / {wanted[0]}"
         else:

@@ -606,6 +606,7 @@ ORACLES["stream_activity"] = over_log(
     f"""SELECT {ts("make_timestamp(b * 1000000)")} AS bucket, requests, users, success, total, success / total AS rate FROM f""",
     f"f AS ({figures('3600')})",
 )
+ORACLES["stream_tail"] = ORACLES["stream_activity"].replace("// 3600 * 3600", "// 86400 * 86400")
 ORACLES["stream_counts"] = over_log("SELECT path, method, status, count(*) AS n FROM log GROUP BY ALL")
 ORACLES["stream_table"] = over_log("SELECT CAST(CAST(ts AS DATE) AS STRING) AS log_date, count(*) AS n FROM log GROUP BY 1")
 

@@ -10,11 +10,24 @@ from pyspark.sql import functions as F
 from checks import fixtures as fx
 from checks import stream_checks
 from weblode.functions import formats, status, text, user_agent, versions
-from weblode.operators import activity, counts, error_parse, errors, filters, geo, hosts, parse, sizes, topk, totals
+from weblode.operators import (
+    activity,
+    counts,
+    error_parse,
+    errors,
+    filters,
+    geo,
+    hosts,
+    log_files,
+    parse,
+    sizes,
+    topk,
+    totals,
+)
 from weblode.operators.filters import ErrorFilter, LogFilter, Settings
 from weblode.operators.periods import Period, initial_period
 from weblode.plans import report
-from weblode.sources import sinks
+from weblode.sources import files, sinks
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -582,6 +595,12 @@ def host_history_web(spark, sf):
     return with_time_text(history, "ts")
 
 
+@query
+def file_summary(spark, sf):
+    """Summary of the files that hold the tables; SQL cannot name the folder, so rows only."""
+    return log_files.file_summary(files.log_file_catalog(spark, sf))
+
+
 @query
 def report_counts(spark, sf):
     parts = report.traffic_report(
@@ -595,6 +614,11 @@ def stream_activity(spark, sf):
     return with_time_text(stream_checks.replay_activity(spark, sf), "bucket")
 
 
+@query
+def stream_tail(spark, sf):
+    return with_time_text(stream_checks.replay_tail(spark, sf), "bucket")
+
+
 @query
 def stream_counts(spark, sf):
     return stream_checks.replay_counts(spark, sf)

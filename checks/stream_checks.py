@@ -9,7 +9,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from checks import fixtures as fx
+from weblode.operators.parse import parse_access
 from weblode.session import shared_dir
+from weblode.sources.tail import tail_logs
 from weblode.streaming import streams
 
 
@@ -54,3 +56,13 @@ def replay_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     streams.append_rows(rows, f"{folder}/log", f"{folder}/checkpoint", once=True).awaitTermination()
     by_day = spark.read.parquet(f"{folder}/log").groupBy("log_date").agg(F.count("*").alias("n"))
     return by_day.select(F.col("log_date").cast("string").alias("log_date"), "n")
+
+
+def replay_tail(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Daily activity of the log lines, written to files and followed by the tail source."""
+    folder = work_dir(spark)
+    fx.access_lines(spark, sf_dir).select("value").write.text(f"{folder}/logs")
+    lines = tail_logs(spark, f"{folder}/logs", split_bytes=1 << 20, names=r"\.txt$")
+    users = streams.user_windows(parse_access(lines), "1 day")
+    streams.write_changes(users, f"{folder}/users", f"{folder}/checkpoint", once=True).awaitTermination()
+    return streams.windows_from_users(streams.read_changes(spark, f"{folder}/users", *streams.USER_KEYS))

@@ -159,6 +159,18 @@ def test_rows_wait_for_their_location(spark, tmp_path):
     assert sorted((r.lat, r.lon, r.status) for r in got.collect()) == [(1.0, 2.0, 200), (1.0, 2.0, 500)]
 
 
+def test_compressed_backfill(spark, tmp_path):
+    import gzip
+
+    folder = tmp_path / "logs"
+    folder.mkdir()
+    line = '1.1.1.1 - - [10/Jan/2024:08:30:00 +0000] "GET /{} HTTP/1.1" 200 5 "-" "ua"\n'
+    (folder / "access.log").write_text(line.format("live"))
+    (folder / "access.log.2.gz").write_bytes(gzip.compress(line.format("old").encode()))
+    streams.backfill_compressed(spark, str(folder), str(tmp_path / "table"))
+    assert [row.path for row in spark.read.parquet(str(tmp_path / "table")).collect()] == ["/old"]
+
+
 def test_newest_version_of_a_key(spark, tmp_path):
     path = str(tmp_path / "changes")
     for batch, rows in enumerate([[("a", 1), ("b", 1)], [("a", 4)]]):

@@ -17,7 +17,7 @@ from dataclasses import dataclass
 
 import pyarrow as pa
 from pyspark import cloudpickle
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceStreamReader, InputPartition
 
 # --- fixed values -----------------------------------------------------------
@@ -63,14 +63,14 @@ def first_line_mark(path: str) -> int:
 
 
 class LogTailReader(DataSourceStreamReader):
-    def __init__(self, folder: str, kind: str, split_bytes: int):
-        self.folder, self.kind, self.split_bytes = folder, kind, split_bytes
+    def __init__(self, folder: str, kind: str, split_bytes: int, names: str = PLAIN_PATTERN):
+        self.folder, self.kind, self.split_bytes, self.names = folder, kind, split_bytes, names
 
     def _files(self) -> list[str]:
         names = sorted(entry.name for entry in os.scandir(self.folder) if entry.is_file())
         wants_errors = self.kind == "error"
         return [
-            name for name in names if re.search(PLAIN_PATTERN, name) and (ERROR_MARK in name) == wants_errors
+            name for name in names if re.search(self.names, name) and (ERROR_MARK in name) == wants_errors
         ]
 
     def initialOffset(self) -> dict:
@@ -125,7 +125,7 @@ def _batch(lines: list[str], name: str) -> pa.RecordBatch:
 
 
 class LogTail(DataSource):
-    """Options: ``path``, ``kind`` (access or error), ``splitBytes``."""
+    """Options: ``path``, ``kind`` (access or error), ``splitBytes``, ``names`` (a pattern)."""
 
     @classmethod
     def name(cls) -> str:
@@ -137,7 +137,10 @@ class LogTail(DataSource):
     def streamReader(self, schema) -> LogTailReader:
         options = self.options
         return LogTailReader(
-            options["path"], options.get("kind", "access"), int(options.get("splitBytes", SPLIT_BYTES))
+            options["path"],
+            options.get("kind", "access"),
+            int(options.get("splitBytes", SPLIT_BYTES)),
+            options.get("names", PLAIN_PATTERN),
         )
 
 
@@ -149,8 +152,14 @@ def register(spark: SparkSession) -> None:
     spark.dataSource.register(LogTail)
 
 
-def tail_logs(spark: SparkSession, path: str, kind: str = "access", split_bytes: int = SPLIT_BYTES):
+def tail_logs(
+    spark: SparkSession,
+    path: str,
+    kind: str = "access",
+    split_bytes: int = SPLIT_BYTES,
+    names: str = PLAIN_PATTERN,
+) -> DataFrame:
     """Stream of complete lines appended to the plain logs of a folder."""
     register(spark)
     reader = spark.readStream.format("log_tail").option("path", path).option("kind", kind)
-    return reader.option("splitBytes", str(split_bytes)).load()
+    return reader.option("splitBytes", str(split_bytes)).option("names", names).load()

@@ -16,8 +16,9 @@ from weblode.functions.status import SUCCESS_RANGE, succeeded
 from weblode.operators.error_parse import parse_errors
 from weblode.operators.parse import parse_access
 from weblode.schemas import HOST_SAMPLE_JSON
-from weblode.sources.files import is_error_file
+from weblode.sources.files import is_error_file, read_log_dir
 from weblode.sources.hosts import host_samples
+from weblode.sources.sinks import write_log_table
 from weblode.sources.tail import tail_logs
 
 # --- fixed values -----------------------------------------------------------
@@ -49,6 +50,12 @@ def host_stream(spark: SparkSession, path: str) -> DataFrame:
     return host_samples(spark.readStream.schema(HOST_SAMPLE_JSON).json(path))
 
 
+def backfill_compressed(spark: SparkSession, path: str, table: str, log_format: str | None = None) -> None:
+    """Store the compressed logs of a folder once, before the stream of plain ones starts."""
+    packed = read_log_dir(spark, path).where(F.col("source_file").endswith(".gz"))
+    write_log_table(parse_access(packed, log_format), table)
+
+
 def _late(rows: DataFrame, watermark: str | None) -> DataFrame:
     return rows.withWatermark("ts", watermark) if watermark else rows
 
