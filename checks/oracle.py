@@ -421,6 +421,7 @@ numbered AS (SELECT ip_address, list_reduce(list_transform(string_split(ip_addre
   lambda a, b: a * 256 + b) AS number FROM ips)
 SELECT ip_address, coalesce(country, '') AS country, '' AS city, CAST(NULL AS DOUBLE) AS lat, CAST(NULL AS DOUBLE) AS lon
 FROM numbered LEFT JOIN networks ON number BETWEEN network_lo AND network_hi"""
+ORACLES["distinct_addresses"] = over_log("SELECT DISTINCT ip_address FROM log")
 ORACLES["log_with_country"] = over_log(
     "SELECT event_id, ip_address, coalesce(country, '') AS country FROM placed", LOCATED
 )
@@ -606,6 +607,17 @@ ORACLES["stream_activity"] = over_log(
     f"""SELECT {ts("make_timestamp(b * 1000000)")} AS bucket, requests, users, success, total, success / total AS rate FROM f""",
     f"f AS ({figures('3600')})",
 )
+ORACLES["stream_closed_windows"] = over_log(
+    f"""SELECT {ts("make_timestamp(b * 1000000)")} AS bucket, requests, users FROM f
+    WHERE make_timestamp((b + 3600) * 1000000) <= (SELECT max(log.ts) - INTERVAL 10 MINUTES FROM log)""",
+    f"f AS ({figures('3600')})",
+)
+ORACLES["stream_located"] = over_log(
+    f"""SELECT {ts("log.ts")} AS ts, CAST(split_part(ip_address, '.', 3) AS DOUBLE) AS lat,
+      CAST(split_part(ip_address, '.', 4) AS DOUBLE) AS lon, status
+    FROM log JOIN first USING (ip_address) WHERE log.ts <= first.t + INTERVAL 1 HOUR""",
+    "first AS (SELECT ip_address, min(log.ts) AS t FROM log GROUP BY 1)",
+)
 ORACLES["stream_tail"] = ORACLES["stream_activity"].replace("// 3600 * 3600", "// 86400 * 86400")
 ORACLES["stream_counts"] = over_log("SELECT path, method, status, count(*) AS n FROM log GROUP BY ALL")
 ORACLES["stream_table"] = over_log("SELECT CAST(CAST(ts AS DATE) AS STRING) AS log_date, count(*) AS n FROM log GROUP BY 1")

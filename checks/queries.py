@@ -402,6 +402,11 @@ def geo_range_join(spark, sf):
     return fx.locations(spark, sf).select("ip_address", "country", "city", "lat", "lon")
 
 
+@query
+def distinct_addresses(spark, sf):
+    return geo.distinct_addresses(fx.access_log(spark, sf))
+
+
 @query
 def log_with_country(spark, sf):
     placed = geo.with_location(fx.access_log(spark, sf), fx.locations(spark, sf))
@@ -619,6 +624,16 @@ def stream_tail(spark, sf):
     return with_time_text(stream_checks.replay_tail(spark, sf), "bucket")
 
 
+@query
+def stream_closed_windows(spark, sf):
+    return with_time_text(stream_checks.replay_closed_windows(spark, sf), "bucket")
+
+
+@query
+def stream_located(spark, sf):
+    return with_time_text(stream_checks.replay_located(spark, sf), "ts")
+
+
 @query
 def stream_counts(spark, sf):
     return stream_checks.replay_counts(spark, sf)

@@ -66,3 +66,27 @@ def replay_tail(spark: SparkSession, sf_dir: str) -> DataFrame:
     users = streams.user_windows(parse_access(lines), "1 day")
     streams.write_changes(users, f"{folder}/users", f"{folder}/checkpoint", once=True).awaitTermination()
     return streams.windows_from_users(streams.read_changes(spark, f"{folder}/users", *streams.USER_KEYS))
+
+
+def replay_closed_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hourly windows in append mode with exact users: those the watermark has passed."""
+    folder = work_dir(spark)
+    windows = streams.closed_windows(event_stream(spark, sf_dir), "1 hour", "10 minutes", approximate=False)
+    writer = windows.writeStream.format("parquet").outputMode("append").option("path", f"{folder}/windows")
+    writer.option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(f"{folder}/windows")
+
+
+def replay_located(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Requests joined to the location of their address, known from its first request on."""
+    folder = work_dir(spark)
+    octet = F.split("ip_address", r"\.")
+    places = fx.access_log(spark, sf_dir).groupBy("ip_address").agg(F.min("ts").alias("located_at"))
+    places = places.withColumns({"lat": F.get(octet, F.lit(2)).cast("double"), "lon": F.get(octet, F.lit(3)).cast("double")})
+    places.write.parquet(f"{folder}/places")
+    located_places = spark.readStream.schema(places.schema).parquet(f"{folder}/places")
+    rows = event_stream(spark, sf_dir).select("ts", "ip_address", "user_agent", "event_id", "status")
+    points = streams.located(rows, located_places, "1 hour")
+    writer = points.writeStream.format("parquet").outputMode("append").option("path", f"{folder}/points")
+    writer.option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(f"{folder}/points")
