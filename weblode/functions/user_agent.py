@@ -225,8 +225,8 @@ def _with_guard(ua: Column, rules: list[tuple[str, list[str]]], guard: str, othe
     count = 0
     while count < len(rules) and all(guard in mark for mark in rules[count][1]):
         count += 1
-    rest = _first_label(ua, rules[count:], otherwise)
-    return F.when(ua.contains(guard), _first_label(ua, rules[:count], rest)).otherwise(rest)
+    guarded = F.when(ua.contains(guard), _first_label(ua, rules[:count], F.lit(None)))
+    return F.coalesce(guarded, _first_label(ua, rules[count:], otherwise))
 
 
 def client(ua: Column, profile: str = "web") -> Column:
