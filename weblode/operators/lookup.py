@@ -9,8 +9,9 @@ HOT_SHARE = 0.001
 
 
 def hot_keys(df: DataFrame, key: str, share: float = HOT_SHARE) -> DataFrame:
-    """Keys that hold more than ``share`` of the rows: fewer than 1/share of them, by definition."""
-    counted = df.groupBy(key).agg(F.count("*").alias("_n"))
+    """Keys that hold more than ``share`` of the rows with a key: fewer than 1/share of them, by definition."""
+    # The join would infer this filter on one use of the counts only, and their shuffle is used twice.
+    counted = df.where(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("_n"))
     rows = counted.agg(F.sum("_n").alias("rows")).scalar()
     return counted.where(F.col("_n") > rows * share).select(key)
 
@@ -19,8 +20,8 @@ def lookup(df: DataFrame, table: DataFrame, key: str, columns: list[str], share:
     """Left join of log rows to a table with one row per key, safe against hot keys.
 
     The values of hot keys, under 1/share rows, are broadcast. Their log rows then
-    take a key of their own hash in the shuffled join, which spreads them over all
-    tasks and matches nothing; the rest joins as usual. This costs one pass over the
+    and those without a key take their own hash as key in the shuffled join, which
+    spreads them over all tasks and matches nothing; the rest joins as usual. This costs one pass over the
     key column. ``share=None`` leaves it to adaptive execution.
     """
     values = F.struct(*columns)
@@ -29,7 +30,7 @@ def lookup(df: DataFrame, table: DataFrame, key: str, columns: list[str], share:
     hot = hot_keys(df, key, share).join(table.select(key, values.alias("_hot_value")), key, "left")
     marked = df.join(F.broadcast(hot.withColumn("_hot", F.lit(True))), key, "left")
     own = F.concat(F.lit("\x00"), F.xxhash64(*df.columns).cast("string"))
-    keyed = marked.withColumn("_key", F.when(F.col("_hot"), own).otherwise(F.col(key)))
+    keyed = marked.withColumn("_key", F.when(F.col("_hot") | F.col(key).isNull(), own).otherwise(F.col(key)))
     rest = table.select(F.col(key).alias("_key"), values.alias("_value"))
     joined = keyed.join(rest, "_key", "left")
     value = F.coalesce("_hot_value", "_value")

@@ -34,11 +34,14 @@ def ranked_sizes(counts: DataFrame) -> DataFrame:
     2**32 sizes, and over the super-blocks, of which there are at most 65,536 for
     sizes below 2**48.
     """
-    sizes = counts.withColumn("block", F.shiftright("size", _BLOCK_BITS))
+    # Never null, or the joins below would infer a filter, push it under the per-size counts and
+    # so keep Spark from reusing their shuffle.
+    block = F.coalesce(F.shiftright("size", _BLOCK_BITS), F.lit(0).cast("bigint")).alias("block")
+    sizes = counts.select("size", "n", block)
     inside = Window.partitionBy("block").orderBy("size")
     sizes = sizes.withColumn("within", F.sum("n").over(inside))
 
-    blocks = counts.groupBy(F.shiftright("size", _BLOCK_BITS).alias("block")).agg(F.sum("n").alias("m"))
+    blocks = counts.groupBy(block).agg(F.sum("n").alias("m"))
     blocks = blocks.withColumn("top", F.shiftright("block", _BLOCK_BITS))
     before_block = F.sum("m").over(Window.partitionBy("top").orderBy("block")) - F.col("m")
     tops = blocks.groupBy("top").agg(F.sum("m").alias("m"))
