@@ -61,7 +61,7 @@ def test_tail_splits_cover_each_line_once(tailed):
 def test_tail_fails_when_bytes_are_gone(tmp_path):
     path = tmp_path / "access.log"
     path.write_text("one\ntwo\n")
-    reader = tail.LogTailReader(str(tmp_path), "access", 100)
+    reader = tail.LogTailReader(f"file://{tmp_path}", "access", 100)
     (part,) = reader.partitions({}, reader.latestOffset())
     path.write_text("o\n")
     with pytest.raises(OSError, match="shorter"):

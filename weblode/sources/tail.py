@@ -64,7 +64,8 @@ def first_line_mark(path: str) -> int:
 
 class LogTailReader(DataSourceStreamReader):
     def __init__(self, folder: str, kind: str, split_bytes: int, names: str = PLAIN_PATTERN):
-        self.folder, self.kind, self.split_bytes, self.names = folder, kind, split_bytes, names
+        self.folder = folder.removeprefix("file://").removeprefix("file:")
+        self.kind, self.split_bytes, self.names = kind, split_bytes, names
 
     def _files(self) -> list[str]:
         names = sorted(entry.name for entry in os.scandir(self.folder) if entry.is_file())
