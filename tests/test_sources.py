@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from weblode.operators import hosts, log_files
 from weblode.operators.filters import LogFilter
+from weblode.operators.lookup import lookup
 from weblode.operators.periods import Period
 from weblode.sources import files, hosts as host_source, networks, sinks
 
@@ -135,6 +136,14 @@ def test_networks_from_csv(spark, tmp_path):
         networks.read_networks(spark, None)
 
 
+def input_records(spark):
+    """Records read by all stages so far."""
+    context = spark.sparkContext
+    none = context._gateway.new_array(context._jvm.double, 0)
+    stages = context._jsc.sc().statusStore().stageList(None, False, False, none, context._jvm.java.util.ArrayList())
+    return sum(stages.apply(i).inputRecords() for i in range(stages.size()))
+
+
 def test_plans(spark, sf):
     """Shapes that matter at scale."""
     from checks import fixtures as fx
@@ -155,7 +164,19 @@ def test_plans(spark, sf):
     for frame in (totals.totals(access), activity.activity(access)):
         assert "Expand" not in plan(frame).split("Physical Plan")[-1]
 
-    # The per-size counts feed the bounds and the bins, but are shuffled once.
-    histogram = sizes.size_histogram(access)
-    histogram.collect()
-    assert "ReusedExchange" in plan(histogram) or "ResultQueryStage" in plan(histogram)
+    # How often the events are read: once for the histogram, whose parts share one shuffle;
+    # for the series, one more pass over the time column finds the span.
+    events = spark.read.parquet(f"{sf}/events.parquet").selectExpr(
+        "cast(floor(value * 100) AS bigint) AS response_size", "cast(user_id AS string) AS ip_address",
+        "cast(ts AS timestamp) AS ts", "'ua' AS user_agent", "200 AS status",
+    )
+    places = spark.createDataFrame([("1", "A"), ("2", "B")], "ip_address string, country string")
+    rows = events.count()
+    for frame, passes in (
+        (sizes.size_histogram(events), 1),
+        (activity.activity(events), 2),
+        (lookup(events, places, "ip_address", ["country"]), 2),
+    ):
+        before = input_records(spark)
+        frame.collect()
+        assert round((input_records(spark) - before) / rows, 1) == passes
