@@ -2,9 +2,17 @@
 
 from __future__ import annotations
 
+from weblode.llm.chats import OP10_SQL, op10_chats
 from weblode.llm.fingerprints import op5_fingerprints
+from weblode.llm.language import op2_language
+from weblode.llm.secrets import op8_secrets
 
-QUERIES = {"op5_fingerprints": op5_fingerprints}
+QUERIES = {
+    "op2_language": op2_language,
+    "op5_fingerprints": op5_fingerprints,
+    "op8_secrets": op8_secrets,
+    "op10_chats": op10_chats,
+}
 
 #: Hash sketches, models and tokens have no SQL counterpart; those queries are tested against brute force.
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op10_chats": OP10_SQL}
