@@ -5,14 +5,18 @@ from __future__ import annotations
 from weblode.llm.chats import OP10_SQL, op10_chats
 from weblode.llm.fingerprints import op5_fingerprints
 from weblode.llm.language import op2_language
+from weblode.llm.packing import op7_packing
 from weblode.llm.secrets import op8_secrets
+from weblode.llm.topk import OP9_SQL, op9_topk
 
 QUERIES = {
     "op2_language": op2_language,
     "op5_fingerprints": op5_fingerprints,
+    "op7_packing": op7_packing,
     "op8_secrets": op8_secrets,
+    "op9_topk": op9_topk,
     "op10_chats": op10_chats,
 }
 
 #: Hash sketches, models and tokens have no SQL counterpart; those queries are tested against brute force.
-ORACLES: dict[str, str] = {"op10_chats": OP10_SQL}
+ORACLES: dict[str, str] = {"op9_topk": OP9_SQL, "op10_chats": OP10_SQL}
