@@ -7,9 +7,11 @@ from weblode.llm.fingerprints import op5_fingerprints
 from weblode.llm.language import op2_language
 from weblode.llm.packing import op7_packing
 from weblode.llm.secrets import op8_secrets
+from weblode.llm.suffixes import op1_suffixes
 from weblode.llm.topk import OP9_SQL, op9_topk
 
 QUERIES = {
+    "op1_suffixes": op1_suffixes,
     "op2_language": op2_language,
     "op5_fingerprints": op5_fingerprints,
     "op7_packing": op7_packing,
