@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from weblode.llm.chats import OP10_SQL, op10_chats
 from weblode.llm.fingerprints import op5_fingerprints
+from weblode.llm.jaccard import op3_jaccard
 from weblode.llm.language import op2_language
 from weblode.llm.packing import op7_packing
 from weblode.llm.secrets import op8_secrets
@@ -13,6 +14,7 @@ from weblode.llm.topk import OP9_SQL, op9_topk
 QUERIES = {
     "op1_suffixes": op1_suffixes,
     "op2_language": op2_language,
+    "op3_jaccard": op3_jaccard,
     "op5_fingerprints": op5_fingerprints,
     "op7_packing": op7_packing,
     "op8_secrets": op8_secrets,
