@@ -6,7 +6,9 @@ from weblode.llm.chats import OP10_SQL, op10_chats
 from weblode.llm.fingerprints import op5_fingerprints
 from weblode.llm.jaccard import op3_jaccard
 from weblode.llm.language import op2_language
+from weblode.llm.licenses import op4_licenses
 from weblode.llm.packing import op7_packing
+from weblode.llm.pieces import op6_pieces
 from weblode.llm.secrets import op8_secrets
 from weblode.llm.suffixes import op1_suffixes
 from weblode.llm.topk import OP9_SQL, op9_topk
@@ -15,7 +17,9 @@ QUERIES = {
     "op1_suffixes": op1_suffixes,
     "op2_language": op2_language,
     "op3_jaccard": op3_jaccard,
+    "op4_licenses": op4_licenses,
     "op5_fingerprints": op5_fingerprints,
+    "op6_pieces": op6_pieces,
     "op7_packing": op7_packing,
     "op8_secrets": op8_secrets,
     "op9_topk": op9_topk,
