@@ -18,10 +18,10 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from weblode.llm.storage import stage
+from weblode.llm.storage import map_texts, stage
 
 ORDERS = (1, 2, 3, 4)
 BUCKETS = 1 << 15
@@ -159,9 +159,9 @@ def calibrate(model: Model, held: list) -> None:
     model.least_score = float(min(max(floor, 0.5), np.quantile(right, REJECT_SHARE))) if len(right) else floor
 
 
-def is_held_out(id_col: str):
+def is_held_out(id_col: Column) -> Column:
     """Rows that are never learned from: crc32 of the id as text, modulo 4, is 2."""
-    return F.coalesce(F.crc32(F.col(id_col).cast("string")) % 4 == 2, F.lit(False))
+    return F.coalesce(F.crc32(id_col.cast("string")) % 4 == 2, F.lit(False))
 
 
 def train(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "lang",
@@ -171,7 +171,7 @@ def train(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_c
     Held-out rows and rows without label are never read. Only the subword counts of the
     sample reach the driver: at most per_language * MOST_LANGUAGES rows of BUCKETS counts.
     """
-    allowed = df.where(F.col(label_col).isNotNull() & ~is_held_out(id_col))
+    allowed = df.where(F.col(label_col).isNotNull() & ~is_held_out(F.col(id_col)))
     common = allowed.groupBy(label_col).count().orderBy(F.desc("count"), label_col).limit(MOST_LANGUAGES)
     ids = allowed.join(F.broadcast(common.select(label_col)), label_col).select(label_col, id_col)
     ranked = ids.withColumn(
@@ -196,37 +196,35 @@ def train(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_c
     )
 
 
-def predict(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id, lang_pred, score, accepted for each row of ``df``."""
-    schema = f"{id_col} {df.schema[id_col].dataType.simpleString()}, lang_pred string, score double, accepted boolean"
+def predict(df: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
+    """Each row of ``df`` as struct ``row`` with lang_pred, score and accepted."""
     # BUCKETS * languages floats, sent as plain values.
     sent = df.sparkSession.sparkContext.broadcast(vars(model))
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def make():
         use, letters = Model(**sent.value), letter_table()
-        for frame in frames:
-            names, scores, good = [], [], []
-            for text in frame[text_col]:
-                total, number = np.zeros(len(use.languages)), 0
-                for part in pieces(text if isinstance(text, str) else ""):
-                    if len(found := subwords(part, letters)):
-                        number += len(found)
-                        total += use.table[found].sum(axis=0, dtype=np.float64)
-                if not number or not use.languages:
-                    names.append(UNKNOWN), scores.append(0.0), good.append(False)
-                    continue
-                logits = (total / number + use.bias) / use.temperature
-                chance = np.exp(logits - logits.max())
-                chance /= chance.sum()
-                best = int(chance.argmax())
-                names.append(use.languages[best]), scores.append(float(chance[best]))
-                good.append(bool(chance[best] >= use.least_score))
-            yield pd.DataFrame({id_col: frame[id_col], "lang_pred": names, "score": scores, "accepted": good})
-
-    return df.select(id_col, text_col).mapInPandas(run, schema)
+
+        def one(text: str | None) -> tuple[str, float, bool]:
+            total, number = np.zeros(len(use.languages)), 0
+            for part in pieces(text or ""):
+                if len(found := subwords(part, letters)):
+                    number += len(found)
+                    total += use.table[found].sum(axis=0, dtype=np.float64)
+            if not number or not use.languages:
+                return UNKNOWN, 0.0, False
+            logits = (total / number + use.bias) / use.temperature
+            chance = np.exp(logits - logits.max())
+            chance /= chance.sum()
+            best = int(chance.argmax())
+            return use.languages[best], float(chance[best]), bool(chance[best] >= use.least_score)
+
+        return lambda texts: list(zip(*map(one, texts))) or [[], [], []]
+
+    return map_texts(df, text_col, "lang_pred string, score double, accepted boolean", make)
 
 
 def op2_language(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    found = predict(docs, train(docs))
-    return found.select("doc_id", is_held_out("doc_id").alias("held_out"), "lang_pred", "score", "accepted")
+    found = predict(docs.select("doc_id", "text"), train(docs))
+    doc_id = F.col("row.doc_id")
+    return found.select(doc_id.alias("doc_id"), is_held_out(doc_id).alias("held_out"), "lang_pred", "score", "accepted")

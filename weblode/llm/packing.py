@@ -81,17 +81,20 @@ def pack(lengths: list[int], sources: list, clusters: list, capacity: int, per_s
 
 
 def best_fit(df: DataFrame, id_col: str, length_col: str, source_col: str, cluster_col: str, *,
-             capacity: int = CAPACITY, shard_rows: int = SHARD_ROWS, per_source: int = PER_SOURCE) -> DataFrame:
-    """One row for each piece: id, piece, pieces, bin_id, bin_offset, n_tokens.
+             capacity: int = CAPACITY, shard_rows: int = SHARD_ROWS, per_source: int = PER_SOURCE, keep_text: str | None = None) -> DataFrame:
+    """One row for each piece: id, piece, pieces, bin_id, bin_offset, n_tokens, and text if ``keep_text`` names its column.
 
-    ``length_col`` is a count of tokens; ``bin_id`` is unique over all shards.
+    ``length_col`` is a count of tokens; ``bin_id`` is unique over all shards. The text of an
+    uncut document is as it was, that of a piece its words with single spaces.
     """
+    text = [F.col(keep_text).alias("_text")] if keep_text else []
     columns = df.select(
-        F.col(id_col), F.col(length_col).cast("bigint").alias("_length"), F.col(source_col).alias("_source"), F.col(cluster_col).alias("_cluster")
+        F.col(id_col), F.col(length_col).cast("bigint").alias("_length"), F.col(source_col).alias("_source"), F.col(cluster_col).alias("_cluster"), *text
     )
-    shards = max(1, -(-columns.count() // shard_rows))
+    shards = max(1, -(-df.count() // shard_rows))
     dealt = columns.withColumn("_shard", F.pmod(F.xxhash64(id_col, "_cluster", "_length"), F.lit(shards)).cast("int"))
     schema = f"{id_col} {df.schema[id_col].dataType.simpleString()}, piece int, pieces int, bin_id bigint, bin_offset bigint, n_tokens bigint"
+    schema += ", text string" if keep_text else ""
 
     def run(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values([id_col, "_cluster", "_source", "_length"], kind="stable", na_position="first").reset_index(drop=True)
@@ -104,15 +107,26 @@ def best_fit(df: DataFrame, id_col: str, length_col: str, source_col: str, clust
         rows = pack(lengths, numbers(frame["_source"]), numbers(frame["_cluster"]), capacity, per_source)
         found = np.array(rows, dtype=np.int64).reshape(-1, 5)
         pieces = np.bincount(found[:, 0], minlength=len(frame))
-        return pd.DataFrame({
+        made = pd.DataFrame({
             id_col: frame[id_col].take(found[:, 0]).reset_index(drop=True), "piece": found[:, 1].astype("int32"),
             "pieces": pieces[found[:, 0]].astype("int32"), "bin_id": (int(key[0]) << 32) + found[:, 2],
             "bin_offset": found[:, 3], "n_tokens": found[:, 4],
         })
+        if keep_text:
+            made["text"] = [
+                frame["_text"][item] if pieces[item] == 1 else words_between(frame["_text"][item], piece * capacity, piece * capacity + size)
+                for item, piece, _, _, size in rows
+            ]
+        return made
 
     return dealt.groupBy("_shard").applyInPandas(run, schema)
 
 
+def words_between(text: str, first: int, end: int) -> str:
+    """Words ``first`` to ``end`` of a text, split as ``n_words`` counts them."""
+    return b" ".join(text.encode().split()[first:end]).decode()
+
+
 def with_measures(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """Adds ``_words`` and ``_copies``: the length in words and the cluster of texts equal but for case and white space."""
     flat = F.lower(F.trim(F.regexp_replace(F.coalesce(F.col(text_col), F.lit("")), r"\s+", " ")))
@@ -123,14 +137,3 @@ def op7_packing(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     measured = with_measures(docs.select("doc_id", "text", "source")).select("doc_id", "source", "_words", "_copies")
     return best_fit(measured, "doc_id", "_words", "source", "_copies")
-
-
-def read_bins(packed: DataFrame, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY) -> DataFrame:
-    """The words of each piece beside its place: joins the packing to the texts it was made from.
-
-    Needs unique ids. A sequence is the pieces of a bin in the order of ``bin_offset``.
-    """
-    flat = F.trim(F.regexp_replace(F.coalesce(F.col(text_col), F.lit("")), r"\s+", " "))
-    words = docs.select(id_col, F.split(flat, " ").alias("_words"))
-    piece = F.slice("_words", F.col("piece") * capacity + 1, F.greatest(F.col("n_tokens").cast("int"), F.lit(0)))
-    return packed.join(words, id_col).withColumn(text_col, F.array_join(piece, " ")).drop("_words")

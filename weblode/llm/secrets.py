@@ -7,20 +7,19 @@ sensitivity of the names it reaches and by its own randomness. Literals that sco
 least ``threshold`` add spans of kind ``named``, unless a base span covers them already.
 
 Cases: null and empty texts have no spans; a text is always scanned whole; equal rows
-give equal results; columns of the input other than the id and the text are left out.
-Positions count code points, ends are exclusive.
+give equal results; other columns pass through unread. Positions count code points, ends are exclusive.
 """
 
 from __future__ import annotations
 
-import hashlib
 import math
 import re
 from collections import Counter
-from collections.abc import Iterator
 
-import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from weblode.llm.storage import map_texts
 
 # Kinds in their order, pattern, group that is measured (0: whole match), least length.
 BASE = (
@@ -158,47 +157,42 @@ def all_spans(text: str, threshold: float = THRESHOLD) -> tuple[list[tuple[int,
 
 
 def redact(text: str, spans: list[tuple[int, int, int]], mark: str = "<secret>") -> str:
-    """The text with each covered stretch replaced by ``mark``."""
+    """The text with each stretch that spans cover replaced by ``mark``."""
     out, at = [], 0
     for start, _, end in sorted(spans):
-        if end <= at:
-            continue
-        if start > at or not out:
+        if start >= at or not out:
             out += [text[at:start], mark]
-        elif start < at:
-            pass
-        else:
-            out.append("" if out and out[-1] == mark else mark)
-        at = end
+        at = max(at, end)
     return "".join(out) + text[at:]
 
 
-def scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """One row for each row of ``df``: id, ``base`` and ``spans`` as arrays of (kind, start, end), ``redacted`` text."""
+def scan(df: DataFrame, text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
+    """Each row of ``df`` as struct ``row`` with ``base`` and ``spans`` (arrays of kind, start, end) and ``redacted`` text."""
     kind = "array<struct<kind:string,start:bigint,end:bigint>>"
-    schema = f"{id_col} {df.schema[id_col].dataType.simpleString()}, base {kind}, spans {kind}, redacted string"
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def make():
         def shown(spans):
             return [{"kind": KINDS[k], "start": s, "end": e} for s, k, e in spans]
 
-        for frame in frames:
-            rows = []
-            for text in frame[text_col]:
-                text = text if isinstance(text, str) else ""
-                base, every = all_spans(text, threshold)
-                rows.append((shown(base), shown(every), redact(text, every)))
-            out = pd.DataFrame(rows, columns=["base", "spans", "redacted"], index=frame.index)
-            out.insert(0, id_col, frame[id_col])
-            yield out
+        def one(text: str | None):
+            text = text or ""
+            base, every = all_spans(text, threshold)
+            return shown(base), shown(every), redact(text, every) if every else text
 
-    return df.select(id_col, text_col).mapInPandas(run, schema)
+        return lambda texts: list(zip(*map(one, texts))) or [[], [], []]
 
+    return map_texts(df, text_col, f"base {kind}, spans {kind}, redacted string", make)
 
-def op8_secrets(spark, sf_dir: str) -> DataFrame:
-    from pyspark.sql import functions as F
 
-    found = scan(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+def redact_rows(df: DataFrame, text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of ``df`` with every secret replaced by a mark; null texts stay null."""
+    found = scan(df, text_col, threshold)
+    clean = F.when(F.col("row")[text_col].isNotNull(), F.col("redacted"))
+    return found.select(*[clean.alias(c) if c == text_col else F.col("row")[c].alias(c) for c in df.columns])
+
+
+def op8_secrets(spark, sf_dir: str) -> DataFrame:
+    found = scan(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
 
     def joined(column: str):
         return F.array_join(F.transform(column, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
@@ -207,11 +201,7 @@ def op8_secrets(spark, sf_dir: str) -> DataFrame:
         return F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("bigint").alias(f"n_{kind}")
 
     return found.select(
-        "doc_id", count("assign"), count("access"), count("hex"), F.sha2(joined("base"), 256).alias("base_sha256"),
+        F.col("row.doc_id").alias("doc_id"), count("assign"), count("access"), count("hex"), F.sha2(joined("base"), 256).alias("base_sha256"),
         joined("spans").alias("spans"), F.sha2("redacted", 256).alias("redacted_sha256"),
     )
 
-
-def brute_digest(spans: list[tuple[int, int, int]]) -> str:
-    """The digest column of the query, for tests."""
-    return hashlib.sha256(",".join(f"{KINDS[k]}:{s}:{e}" for s, k, e in spans).encode()).hexdigest()
