@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from weblode.functions import user_agent as ua
 from weblode.functions.versions import api_version
 from weblode.operators.filters import Settings
+from weblode.operators.lookup import one_per_key
 
 
 def _rows() -> Column:
@@ -110,7 +111,7 @@ def from_monday(day_of_week: Column) -> Column:
 def location_counts(df: DataFrame, locations: DataFrame) -> DataFrame:
     """Rows per known country: counted by address first, so the join sees each address once."""
     by_address = df.groupBy("ip_address").agg(_rows())
-    known = locations.where(F.col("country") != "").select("ip_address", "country")
+    known = one_per_key(locations.where(F.col("country") != "").select("ip_address", "country"), "ip_address")
     return by_address.join(known, "ip_address").groupBy("country").agg(_total())
 
 

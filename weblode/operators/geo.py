@@ -7,7 +7,7 @@ import datetime as dt
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from weblode.operators.lookup import lookup
+from weblode.operators.lookup import lookup, one_per_key
 
 # --- fixed values -----------------------------------------------------------
 IPV4_BODY = r"(?:(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)\.){3}(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
@@ -130,10 +130,16 @@ def _place_columns(networks: DataFrame) -> list[Column]:
     ]
 
 
+def _one_place(networks: DataFrame) -> DataFrame:
+    """One row per network: the smallest place."""
+    best = networks.groupBy("prefix", "net").agg(F.min(F.struct(*_PLACE)).alias("_one"))
+    return best.select("prefix", "net", "_one.*")
+
+
 def networks_from_cidr(networks: DataFrame, cidr: str = "network") -> DataFrame:
     """Prefix table from ``a.b.c.d/n`` or ``x::/n`` texts: ``prefix, net, country, city, lat, lon``.
 
-    A network that occurs twice keeps one location.
+    A network that occurs twice keeps its smallest location.
     """
     parts = F.split(F.col(cidr), "/")
     texts = networks.select(
@@ -144,9 +150,7 @@ def networks_from_cidr(networks: DataFrame, cidr: str = "network") -> DataFrame:
     keyed = with_address_key(texts, "_address").where("key is not null")
     full = F.when(F.col("key.family") == 4, IPV4_BITS).otherwise(IPV6_BITS)
     prefixed = keyed.select(F.coalesce("given", full).alias("prefix"), "key", *_PLACE)
-    return prefixed.select("prefix", network_of(F.col("key"), F.col("prefix")).alias("net"), *_PLACE).dropDuplicates(
-        ["prefix", "net"]
-    )
+    return _one_place(prefixed.select("prefix", network_of(F.col("key"), F.col("prefix")).alias("net"), *_PLACE))
 
 
 def networks_from_ranges(networks: DataFrame) -> DataFrame:
@@ -178,7 +182,7 @@ def networks_from_ranges(networks: DataFrame) -> DataFrame:
         )
 
     every = F.flatten(F.transform(F.sequence(F.lit(0), F.lit(IPV4_BITS)), blocks))
-    return networks.select(F.inline(every), *_place_columns(networks)).dropDuplicates(["prefix", "net"])
+    return _one_place(networks.select(F.inline(every), *_place_columns(networks)))
 
 
 def distinct_addresses(df: DataFrame, address: str = "ip_address") -> DataFrame:
@@ -243,7 +247,7 @@ def unknown_addresses(df: DataFrame, locations: DataFrame, profile: str = "web")
 
 def country_names(counts: DataFrame, names: DataFrame) -> DataFrame:
     """Attach display names from a table ``country, name``, to counted rows."""
-    return counts.join(names.dropDuplicates(["country"]), "country", "left")
+    return counts.join(one_per_key(names.select("country", "name"), "country"), "country", "left")
 
 
 def live_points(df: DataFrame, locations: DataFrame, as_of: dt.datetime, window: str = "1 hour") -> DataFrame:

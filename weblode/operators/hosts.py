@@ -42,8 +42,10 @@ def host_history(metrics: DataFrame, profile: str = "web", samples: int | None =
     """The newest samples of each host with their rank from the newest.
 
     Spark keeps the newest rows per host in every task before the shuffle (window
-    group limit), so a host with most of the samples sends only its newest ones.
+    group limit), so a host with most of the samples sends only its newest ones. Samples
+    of one instant are ordered by their figures.
     """
-    newest = Window.partitionBy("host").orderBy(F.desc("ts"))
+    others = [F.desc(name) for name in metrics.columns if name not in ("host", "ts")]
+    newest = Window.partitionBy("host").orderBy(F.desc("ts"), *others)
     ranked = metrics.withColumn("age_rank", F.row_number().over(newest))
     return ranked.where(F.col("age_rank") <= (samples or HISTORY_SAMPLES[profile]))

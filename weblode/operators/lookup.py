@@ -16,20 +16,33 @@ def hot_keys(df: DataFrame, key: str, share: float = HOT_SHARE) -> DataFrame:
     return counted.where(F.col("_n") > rows * share).select(key)
 
 
-def lookup(df: DataFrame, table: DataFrame, key: str, columns: list[str], share: float | None = HOT_SHARE) -> DataFrame:
-    """Left join of log rows to a table with one row per key, safe against hot keys.
+def one_per_key(table: DataFrame, key: str) -> DataFrame:
+    """One row per key: the smallest of its rows by the other columns in the table's order."""
+    others = [name for name in table.columns if name != key]
+    return table.groupBy(key).agg(F.min(F.struct(*others)).alias("_one")).select(key, "_one.*")
+
+
+def lookup(
+    df: DataFrame, table: DataFrame, key: str, columns: list[str], share: float | None = HOT_SHARE, spread: str | None = None
+) -> DataFrame:
+    """Left join of log rows to a keyed table, safe against hot keys; of several rows of a key one counts (``one_per_key``).
 
     The values of hot keys, under 1/share rows, are broadcast. Their log rows then
     and those without a key take their own hash as key in the shuffled join, which
     spreads them over all tasks and matches nothing; the rest joins as usual. This costs one pass over the
-    key column. ``share=None`` leaves it to adaptive execution.
+    key column. ``spread`` names a narrow column whose values differ between rows of a key
+    (default: ``ts`` where there is one, else the row's number in its partition).
+    ``share=None`` leaves it to adaptive execution.
     """
     values = F.struct(*columns)
+    table = one_per_key(table.select(key, *columns), key)
     if share is None:
         return df.join(table.select(key, *columns), key, "left")
     hot = hot_keys(df, key, share).join(table.select(key, values.alias("_hot_value")), key, "left")
     marked = df.join(F.broadcast(hot.withColumn("_hot", F.lit(True))), key, "left")
-    own = F.concat(F.lit("\x00"), F.xxhash64(*df.columns).cast("string"))
+    spread = spread or ("ts" if "ts" in df.columns else None)
+    number = F.xxhash64(spread) if spread else F.monotonically_increasing_id()
+    own = F.concat(F.lit("\x00"), number.cast("string"))
     keyed = marked.withColumn("_key", F.when(F.col("_hot") | F.col(key).isNull(), own).otherwise(F.col(key)))
     rest = table.select(F.col(key).alias("_key"), values.alias("_value"))
     joined = keyed.join(rest, "_key", "left")

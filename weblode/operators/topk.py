@@ -39,9 +39,8 @@ def top_labels(counts: DataFrame, label: str, k: int = TOP_LABELS) -> DataFrame:
 
 def top_versions(counts: DataFrame, filtered: bool = False, k: int = TOP_LABELS) -> DataFrame:
     """Empty unless there are two versions or a version filter is set."""
-    several = counts.withColumn("versions", F.count("*").over(Window.partitionBy()))
-    shown = several if filtered else several.where("versions > 1")
-    return top(shown.drop("versions"), k, "version")
+    several = counts.agg(F.count("*").alias("n")).scalar() > 1
+    return top(counts if filtered else counts.where(several), k, "version")
 
 
 def top_locations(counts: DataFrame, k: int = TOP_LOCATIONS) -> DataFrame:
@@ -52,12 +51,7 @@ def top_locations(counts: DataFrame, k: int = TOP_LOCATIONS) -> DataFrame:
 
 def share_of_max(ranked: DataFrame, count: str = "n") -> DataFrame:
     """Add ``share``, the count over the largest count of a ranked list."""
-    return ranked.withColumn("share", F.col(count) / F.max(count).over(Window.partitionBy()))
-
-
-def share_of_total(rows: DataFrame, amount: str) -> DataFrame:
-    """Add ``share``, the amount over the sum of a short list, such as a file catalog."""
-    return rows.withColumn("share", F.try_divide(F.col(amount), F.sum(amount).over(Window.partitionBy())))
+    return ranked.withColumn("share", F.col(count) / ranked.agg(F.max(count).alias("most")).scalar())
 
 
 def one_method(ranked: DataFrame) -> DataFrame:
@@ -71,7 +65,9 @@ def newest_rows(df: DataFrame, n: int = NEWEST_ROWS, *ties: str) -> DataFrame:
     Counts per hour tell from which hour on there are ``n`` rows; only rows from then
     on are ranked, because a limit of this size over all tasks would send ``n`` rows
     from each of them to one. Rows without a time count when there are too few others.
+    Equal times are ordered by ``ties``, by default all columns that can be ordered.
     """
+    ties = ties or tuple(name for name, kind in df.dtypes if name != "ts" and not kind.startswith(("map", "variant")))
     hours = df.where("ts IS NOT NULL").groupBy(F.date_trunc("hour", "ts").alias("hour")).agg(F.count("*").alias("m"))
     newer = F.sum("m").over(Window.orderBy(F.desc("hour"))) - F.col("m")
     edge = hours.withColumn("newer", newer).agg(

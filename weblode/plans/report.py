@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from weblode.functions import user_agent as ua
 from weblode.operators import activity, counts, sizes, totals
 from weblode.operators.filters import LogFilter, Settings
+from weblode.operators.lookup import one_per_key
 from weblode.plans.staging import stage
 
 REPORT_COLUMNS = [
@@ -25,7 +26,7 @@ def labelled_counts(by_dimension: DataFrame, locations: DataFrame | None, profil
     if locations is None:
         placed = by_dimension.withColumn("country", F.lit(None).cast("string"))
     else:
-        known = locations.dropDuplicates(["ip_address"]).select(
+        known = one_per_key(locations.select("ip_address", "country"), "ip_address").select(
             F.struct(F.lit("ip_address").alias("dimension"), F.col("ip_address").alias("key")).alias("_at"), "country"
         )
         at = F.struct(dimension.alias("dimension"), key.alias("key"))

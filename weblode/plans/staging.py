@@ -10,13 +10,7 @@ from weblode.session import shared_dir
 
 
 def stage(df: DataFrame, name: str) -> DataFrame:
-    """Cut the lineage at ``df`` through a Parquet table that survives lost executors.
-
-    Without a shared folder the rows stay a plan and are computed where needed.
-    """
-    base = shared_dir(df.sparkSession)
-    if base is None:
-        return df
-    path = f"{base}/{name}-{uuid.uuid4().hex}"
+    """Cut the lineage at ``df`` through a Parquet table that survives lost executors."""
+    path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.parquet(path)

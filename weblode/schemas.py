@@ -4,52 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import types as T
 
-ACCESS_LOG = T.StructType(
-    [
-        T.StructField("ip_address", T.StringType()),
-        T.StructField("ts", T.TimestampType()),
-        T.StructField("hour", T.IntegerType()),
-        T.StructField("day_of_week", T.IntegerType()),
-        T.StructField("method", T.StringType()),
-        T.StructField("path", T.StringType()),
-        T.StructField("http_version", T.StringType()),
-        T.StructField("status", T.IntegerType()),
-        T.StructField("response_size", T.LongType()),
-        T.StructField("referrer", T.StringType()),
-        T.StructField("user_agent", T.StringType()),
-        T.StructField("client", T.StringType()),
-        T.StructField("os", T.StringType()),
-        T.StructField("device", T.StringType()),
-        T.StructField("is_bot", T.BooleanType()),
-    ]
-)
-
-ERROR_LOG = T.StructType(
-    [
-        T.StructField("ts", T.TimestampType()),
-        T.StructField("level", T.StringType()),
-        T.StructField("pid", T.IntegerType()),
-        T.StructField("tid", T.StringType()),
-        T.StructField("cid", T.StringType()),
-        T.StructField("message", T.StringType()),
-        T.StructField("client_address", T.StringType()),
-        T.StructField("server_address", T.StringType()),
-        T.StructField("request", T.StringType()),
-        T.StructField("referrer", T.StringType()),
-        T.StructField("host", T.StringType()),
-    ]
-)
-
-IP_LOCATION = T.StructType(
-    [
-        T.StructField("ip_address", T.StringType()),
-        T.StructField("country", T.StringType()),
-        T.StructField("city", T.StringType()),
-        T.StructField("lat", T.DoubleType()),
-        T.StructField("lon", T.DoubleType()),
-    ]
-)
-
 # Field names as they appear in host-sample JSON records.
 HOST_SAMPLE_JSON = T.StructType(
     [

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import SparkSession
 
 SETTINGS = {
@@ -30,6 +32,18 @@ def session(app_name: str = "weblode", master: str | None = None, **extra: str)
     return builder.getOrCreate()
 
 
-def shared_dir(spark: SparkSession) -> str | None:
-    """The folder all executors can reach, as the cluster names it."""
-    return spark.conf.get("spark.checkpoint.dir", None)
+def shared_dir(spark: SparkSession) -> str:
+    """The folder all executors can reach, as the cluster names it in ``spark.checkpoint.dir``.
+
+    A session of one machine may go without the setting and gets a folder of its own;
+    on a cluster a missing setting is an error, since each executor has its own disk.
+    """
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    if found:
+        return found
+    master = spark.sparkContext.master
+    if not master.startswith("local") or master.startswith("local-cluster"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    found = f"file://{tempfile.mkdtemp(prefix='weblode-shared-')}"
+    spark.conf.set("spark.checkpoint.dir", found)
+    return found
