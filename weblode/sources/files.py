@@ -39,12 +39,16 @@ def read_log_dir(
 
     Takes ``.log``, ``.log.<digits>`` and, if wanted, ``.gz`` files; a name that
     contains ``error`` makes an error log. The name filter prunes files before they
-    are read.
+    are read. One task inflates a ``.gz`` file; its lines are then dealt out anew, in
+    parts of a useful size, so that parsing is not left to that task.
     """
-    wanted = PLAIN_PATTERN + (f"|{COMPRESSED_PATTERN}" if include_compressed else "")
     name = F.col("source_file")
     of_kind = is_error_file(name) if kind == "error" else ~is_error_file(name)
-    return _lines(spark, path, "*.{log,log.[0-9]*,gz}").where(name.rlike(wanted) & of_kind)
+    rows = _lines(spark, path, "*.{log,log.[0-9]*}").where(name.rlike(PLAIN_PATTERN) & of_kind)
+    if not include_compressed:
+        return rows
+    packed = _lines(spark, path, "*.gz").where(name.rlike(COMPRESSED_PATTERN) & of_kind)
+    return rows.unionByName(packed.hint("rebalance"))
 
 
 def read_log_file(spark: SparkSession, path: str) -> DataFrame:
