@@ -7,6 +7,7 @@ the same rows in both. ``{time}`` is the one place where the two differ.
 from __future__ import annotations
 
 import datetime as dt
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,6 +15,7 @@ from pyspark.sql import functions as F
 from weblode.operators.error_parse import parse_errors
 from weblode.operators.geo import distinct_addresses, networks_from_ranges, resolve
 from weblode.operators.parse import derive_labels, derive_time
+from weblode.session import shared_dir
 
 AS_OF = dt.datetime(2024, 1, 31)
 
@@ -46,7 +48,8 @@ SELECT e.event_id AS event_id,
     WHEN 8 THEN 'Mozilla/5.0 (compatible; Googlebot/2.1; +http://www.google.com/bot.html)'
     ELSE '' END AS user_agent,
   e.event_id % 97 = 0 AS is_malformed
-FROM events e LEFT JOIN pages p ON p.page_id = e.event_id % 50
+FROM (SELECT *, (SELECT count(*) FROM pages) AS all_pages FROM events) e
+LEFT JOIN pages p ON p.page_id = e.event_id % e.all_pages
 """  # noqa: E501
 
 ACCESS_LINE = """
@@ -72,12 +75,12 @@ SELECT e.event_id AS event_id,
   CASE e.event_id % 5 WHEN 0 THEN 'crit' WHEN 1 THEN 'warn' WHEN 2 THEN 'info' ELSE 'error' END AS level,
   e.event_id % 900 + 100 AS pid, e.user_id % 7 AS tid,
   CASE WHEN e.event_id % 6 = 0 THEN '' ELSE concat(' *', CAST(e.event_id AS STRING)) END AS cid_text,
-  CASE e.event_id % 3 WHEN 0 THEN 'connect() failed (111: Connection refused)'
-    WHEN 1 THEN 'open() failed (2: No such file)' ELSE 'upstream timed out' END AS body,
+  CASE e.event_id % 3 WHEN 0 THEN 'lost the peer (104: reset)'
+    WHEN 1 THEN 'no room left (28: disk)' ELSE 'gave up waiting' END AS body,
   CASE WHEN e.event_id % 4 = 0 THEN ''
     ELSE concat(', client: 10.0.', CAST(e.user_id % 32 AS STRING), '.', CAST(e.user_id % 251 AS STRING),
       ', server: example.com, request: "GET / HTTP/1.1", host: "example.com"') END AS tail_text
-FROM events e WHERE e.event_type = 'error'
+FROM events e
 """
 
 ERROR_LINE = """
@@ -101,15 +104,29 @@ SELECT CAST(user_id % 4 AS STRING) AS host, event_id AS uptime, CAST(ts AS TIMES
 FROM events
 """
 
+# A catalog of files: one per page, as large as its text.
+FILE_CATALOG = r"""
+SELECT name, size, lower(regexp_extract(name, '(\.[^.]*)$', 1)) AS extension FROM (
+  SELECT concat(CASE page_id % 7 WHEN 0 THEN 'error' ELSE 'site' END, CAST(page_id AS STRING),
+    CASE page_id % 8 WHEN 0 THEN '.log' WHEN 1 THEN '.log.3' WHEN 2 THEN '.log.2.gz' WHEN 3 THEN '.ZIP'
+      WHEN 4 THEN '.tar' WHEN 5 THEN '.log.x' WHEN 6 THEN '' ELSE '.txt' END) AS name,
+    CAST(length(html) AS BIGINT) AS size FROM pages) named
+"""
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def over_frames(sql: str) -> str:
+    """The text with table names as parameters of ``spark.sql``."""
+    return sql.replace("FROM events", "FROM {events}").replace("FROM pages", "FROM {pages}").replace("JOIN pages", "JOIN {pages}")
+
+
 def access_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fields of the access log before they become lines."""
     return spark.sql(
-        ACCESS_ROWS.replace("FROM events e", "FROM {events} e").replace("JOIN pages p", "JOIN {pages} p"),
+        over_frames(ACCESS_ROWS),
         events=table(spark, sf_dir, "events"),
         pages=table(spark, sf_dir, "pages"),
     )
@@ -127,7 +144,7 @@ def timed_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def error_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     line = ERROR_LINE.format(time="date_format(ts, 'yyyy/MM/dd HH:mm:ss')")
-    rows = spark.sql(ERROR_ROWS.replace("FROM events e", "FROM {events} e"), events=table(spark, sf_dir, "events"))
+    rows = spark.sql(over_frames(ERROR_ROWS), events=table(spark, sf_dir, "events"))
     return rows.select("event_id", F.expr(line).alias("value"))
 
 
@@ -159,3 +176,28 @@ def error_log(spark: SparkSession, sf_dir: str) -> DataFrame:
 def locations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Location of every address in the log; addresses outside all networks have empty texts."""
     return resolve(distinct_addresses(access_rows(spark, sf_dir)), networks_from_ranges(network_ranges(spark, sf_dir)))
+
+
+def file_catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.sql(over_frames(FILE_CATALOG).replace("\\", "\\\\"), pages=table(spark, sf_dir, "pages"))
+
+
+def write_log_folder(spark: SparkSession, sf_dir: str) -> str:
+    """The log lines as files in a new folder: current, rotated, compressed, error and unrelated ones, with blank lines."""
+    folder = f"{shared_dir(spark)}/logs-{uuid.uuid4().hex}"
+    files = spark.sparkContext._jvm.org.apache.hadoop.fs
+    access, errors = access_lines(spark, sf_dir), error_lines(spark, sf_dir)
+    written = [
+        (access.where("event_id % 3 = 0"), "access-{}.log", None), (access.where("event_id % 3 = 1"), "access-{}.log.1", None),
+        (access.where("event_id % 3 = 2"), "access-{}.log.2.gz", "gzip"), (errors, "error-{}.log", None),
+        (access.where("event_id % 5 = 0"), "notes-{}.1", None),
+    ]
+    for number, (rows, name, compression) in enumerate(written):
+        parts = f"{folder}/parts/{number}"
+        with_blanks = rows.select(F.explode(F.array("value", F.lit(""), F.lit("  "))).alias("value"))
+        with_blanks.write.option("compression", compression or "none").text(parts)
+        source = files.Path(parts)
+        system = source.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        for i, found in enumerate(f for f in system.listStatus(source) if f.getPath().getName().startswith("part-")):
+            system.rename(found.getPath(), files.Path(f"{folder}/{name.format(i)}"))
+    return folder

@@ -164,7 +164,7 @@ ORACLES["parse_errors_tui"] = f"WITH {ERROR_LINES} SELECT {ERROR_FIELDS} FROM li
 ORACLES["error_search"] = f"""WITH {ERROR_LINES}, {ERROR_LOG} SELECT event_id, level, message FROM errors_log
 WHERE t >= {AS_OF} - INTERVAL 7 DAYS AND level IN ('error', 'crit')
   AND contains(lower(concat_ws(' ', level, message, coalesce(client_address, ''), coalesce(server_address, ''),
-    coalesce(request, ''), coalesce(referrer, ''), coalesce(host, ''))), 'connect() failed')"""
+    coalesce(request, ''), coalesce(referrer, ''), coalesce(host, ''))), 'lost the peer')"""
 ORACLES["error_severity"] = f"""WITH errors_ AS ({fx.ERROR_ROWS}) SELECT level, count(*) AS n,
   CASE WHEN level IN ('error', 'crit') THEN 'error' WHEN level = 'warn' THEN 'warn' ELSE 'info' END AS band
 FROM errors_ GROUP BY level"""
@@ -622,6 +622,32 @@ ORACLES["stream_tail"] = ORACLES["stream_activity"].replace("// 3600 * 3600", "/
 ORACLES["stream_counts"] = over_log("SELECT path, method, status, count(*) AS n FROM log GROUP BY ALL")
 ORACLES["stream_table"] = over_log("SELECT CAST(CAST(ts AS DATE) AS STRING) AS log_date, count(*) AS n FROM log GROUP BY 1")
 
+for _part, _same in (
+    ("totals", "totals_week"), ("activity", "activity_buckets"), ("trend", "trend_consolidated"), ("sizes", "size_histogram"), ("tui_bins", "bins50_requests"),
+):
+    ORACLES[f"report_{_part}"] = ORACLES[_same]
+ORACLES["lookup_with_duplicates"] = ORACLES["log_with_country"]
+ORACLES["sorted_by_time"] = over_log(f"SELECT event_id, {ts('ts')} AS ts FROM log ORDER BY log.ts")
+
+# --- files ---------------------------------------------------------------------------
+
+ORACLES["files_by_size"] = f"{fx.FILE_CATALOG} ORDER BY size DESC, name"
+_log = "(extension = '.log' OR regexp_matches(name, '\\.log\\.[0-9]+$'))"
+_packed = f"(NOT {_log} AND extension IN ('.gz', '.zip', '.tar'))"
+ORACLES["file_summary"] = f"""WITH catalog AS ({fx.FILE_CATALOG})
+  SELECT CAST(sum(size) AS BIGINT) AS total_size, CAST(coalesce(sum(size) FILTER {_log}, 0) AS BIGINT) AS log_files_size,
+    CAST(coalesce(sum(size) FILTER {_packed}, 0) AS BIGINT) AS compressed_files_size, count(*) AS total_files,
+    count(*) FILTER {_log} AS log_files_count, count(*) FILTER {_packed} AS compressed_files_count FROM catalog"""
+_access = "CASE event_id % 3 WHEN 0 THEN 'access.log' WHEN 1 THEN 'access.log.1' ELSE 'access.log.2.gz' END"
+ORACLES["log_files_read"] = (
+    f"""WITH {ACCESS_LINES}, access_ AS (SELECT {_access} AS kind, value FROM lines_),
+  errors_ AS ({fx.ERROR_ROWS}), error_ AS (SELECT 'error.log' AS kind, """
+    + fx.ERROR_LINE.format(time="strftime(ts, '%Y/%m/%d %H:%M:%S')")
+    + """ AS value FROM errors_)
+  SELECT kind, count(*) AS n, CAST(sum(length(value)) AS BIGINT) AS chars
+  FROM (SELECT * FROM access_ UNION ALL SELECT * FROM error_) both_ GROUP BY kind"""
+)
+
 
 def oracle_sql() -> dict[str, str]:
     return dict(ORACLES)

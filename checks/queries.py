@@ -280,7 +280,7 @@ def filter_location(spark, sf):
 
 @query
 def error_search(spark, sf):
-    wanted = ErrorFilter(WEEK, search="CONNECT() Failed", levels=("error", "crit"))
+    wanted = ErrorFilter(WEEK, search="LOST the Peer", levels=("error", "crit"))
     return errors.search_errors(fx.error_log(spark, sf), wanted).select("event_id", "level", "message")
 
 
@@ -602,8 +602,27 @@ def host_history_web(spark, sf):
 
 @query
 def file_summary(spark, sf):
-    """Summary of the files that hold the tables; SQL cannot name the folder, so rows only."""
-    return log_files.file_summary(files.log_file_catalog(spark, sf))
+    return log_files.file_summary(fx.file_catalog(spark, sf))
+
+
+@query
+def files_by_size(spark, sf):
+    return log_files.largest_files(fx.file_catalog(spark, sf))
+
+
+@query
+def log_files_read(spark, sf):
+    """Lines of access and error logs read back from current, rotated and compressed files."""
+    folder = fx.write_log_folder(spark, sf)
+    access, error = (files.read_log_dir(spark, folder, kind) for kind in ("access", "error"))
+    both = access.unionByName(error)
+    kind = F.regexp_replace("source_file", "-[0-9]+", "").alias("kind")
+    return both.groupBy(kind).agg(F.count("*").alias("n"), F.sum(F.length("value")).alias("chars"))
+
+
+@query
+def sorted_by_time(spark, sf):
+    return topk.sort_by_time(fx.access_log(spark, sf)).select("event_id", time_text("ts").alias("ts"))
 
 
 @query
@@ -614,6 +633,40 @@ def report_counts(spark, sf):
     return parts["counts"]
 
 
+@query
+def report_totals(spark, sf):
+    row = report.traffic_report(fx.access_log(spark, sf), LogFilter(WEEK))["totals"].select(*TOTALS)
+    return with_time_text(row, "min_ts", "max_ts")
+
+
+@query
+def report_activity(spark, sf):
+    return with_time_text(report.traffic_report(fx.access_log(spark, sf), LogFilter(WEEK))["activity"].select(*SERIES), "bucket")
+
+
+@query
+def report_trend(spark, sf):
+    return report.traffic_report(fx.access_log(spark, sf))["trend"]
+
+
+@query
+def report_sizes(spark, sf):
+    return report.traffic_report(fx.access_log(spark, sf))["sizes"]
+
+
+@query
+def report_tui_bins(spark, sf):
+    return report.traffic_report(fx.access_log(spark, sf, "tui"), LogFilter(ALL_TUI))["bins"].select("bin", "requests")
+
+
+@query
+def lookup_with_duplicates(spark, sf):
+    """Of several rows of an address the smallest counts, in lookups and counts alike."""
+    places = fx.locations(spark, sf).where("country <> ''")
+    doubled = places.unionByName(places.withColumn("country", F.concat(F.lit("ZZ"), "country")))
+    return geo.with_location(fx.access_log(spark, sf), doubled).select("event_id", "ip_address", "country")
+
+
 @query
 def stream_activity(spark, sf):
     return with_time_text(stream_checks.replay_activity(spark, sf), "bucket")

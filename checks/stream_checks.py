@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -16,9 +15,8 @@ from weblode.streaming import streams
 
 
 def work_dir(spark: SparkSession) -> str:
-    """A new folder on the cluster's shared storage; a temporary one where none is set, as in tests."""
-    base = shared_dir(spark)
-    return f"{base}/stream-{uuid.uuid4().hex}" if base else tempfile.mkdtemp(prefix="weblode-stream-")
+    """A new folder on the cluster's shared storage."""
+    return f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
 
 
 def event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -26,7 +24,7 @@ def event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     schema = fx.table(spark, sf_dir, "events").schema
     events = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
     rows = spark.sql(
-        fx.ACCESS_ROWS.replace("FROM events e", "FROM {events} e").replace("JOIN pages p", "JOIN {pages} p"),
+        fx.over_frames(fx.ACCESS_ROWS),
         events=events,
         pages=fx.table(spark, sf_dir, "pages"),
     )
