@@ -136,12 +136,19 @@ def test_networks_from_csv(spark, tmp_path):
         networks.read_networks(spark, None)
 
 
-def input_records(spark):
-    """Records read by all stages so far."""
+def input_records(spark, run):
+    """Records read by the stages that ``run`` starts."""
     context = spark.sparkContext
     none = context._gateway.new_array(context._jvm.double, 0)
-    stages = context._jsc.sc().statusStore().stageList(None, False, False, none, context._jvm.java.util.ArrayList())
-    return sum(stages.apply(i).inputRecords() for i in range(stages.size()))
+
+    def stages():
+        context._jsc.sc().listenerBus().waitUntilEmpty()
+        found = context._jsc.sc().statusStore().stageList(None, False, False, none, context._jvm.java.util.ArrayList())
+        return {found.apply(i).stageId(): found.apply(i).inputRecords() for i in range(found.size())}
+
+    before = max(stages(), default=-1)
+    run()
+    return sum(records for stage, records in stages().items() if stage > before)
 
 
 def test_plans(spark, sf):
@@ -177,6 +184,4 @@ def test_plans(spark, sf):
         (activity.activity(events), 2),
         (lookup(events, places, "ip_address", ["country"]), 2),
     ):
-        before = input_records(spark)
-        frame.collect()
-        assert round((input_records(spark) - before) / rows, 1) == passes
+        assert round(input_records(spark, frame.collect) / rows, 1) == passes
