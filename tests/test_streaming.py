@@ -64,10 +64,67 @@ def test_tail_fails_when_bytes_are_gone(tmp_path):
     reader = tail.LogTailReader(f"file://{tmp_path}", "access", 100)
     (part,) = reader.partitions({}, reader.latestOffset())
     path.write_text("o\n")
-    with pytest.raises(OSError, match="shorter"):
+    with pytest.raises(OSError, match="gone"):
         list(reader.read(part))
 
 
+def test_tail_notices_a_replacement_with_the_same_first_line(tailed):
+    folder, run = tailed
+    path = folder / "access.log"
+    path.write_text("head\nx1\n")
+    assert run() == ["head", "x1"]
+    path.write_text("head\nyyyyyy\nzz\n")
+    assert run() == ["head", "head", "x1", "yyyyyy", "zz"]
+
+
+def test_tail_knows_rotated_files(tailed):
+    folder, run = tailed
+    path = folder / "access.log"
+    path.write_text("a1\na2\n")
+    run()
+    with path.open("a") as file:
+        file.write("a3\n")
+    path.rename(folder / "access.log.1")
+    path.write_text("b1\n")
+    assert run() == ["a1", "a2", "a3", "b1"]
+    (folder / "access.log.1").rename(folder / "access.log.2")
+    path.rename(folder / "access.log.1")
+    path.write_text("c1\n")
+    assert run() == ["a1", "a2", "a3", "b1", "c1"]
+    # Copied and truncated.
+    (folder / "access.log.3").write_text(path.read_text())
+    path.write_text("")
+    assert run() == ["a1", "a2", "a3", "b1", "c1"]
+
+
+def test_tail_reads_a_range_whose_file_was_renamed(tmp_path):
+    path = tmp_path / "access.log"
+    path.write_text("one\ntwo\n")
+    reader = tail.LogTailReader(f"file://{tmp_path}", "access", 100)
+    (part,) = reader.partitions({}, reader.latestOffset())
+    path.rename(tmp_path / "access.log.1")
+    path.write_text("new\n")
+    assert [x for batch in reader.read(part) for x in batch.column(0).to_pylist()] == ["one", "two"]
+    (tmp_path / "access.log.1").unlink()
+    with pytest.raises(OSError, match="gone"):
+        list(reader.read(part))
+    assert list(tail.LogTailReader(str(tmp_path), "access", 100, fail_on_loss=False).read(part)) == []
+
+
+def test_tail_opens_only_changed_files(tmp_path, monkeypatch):
+    for i in range(3):
+        (tmp_path / f"access{i}.log").write_text("x\n")
+    reader = tail.LogTailReader(str(tmp_path), "access", 100)
+    first = reader.latestOffset()
+    looked, complete_end = [], tail.complete_end
+    monkeypatch.setattr(tail, "complete_end", lambda path: looked.append(path) or complete_end(path))
+    with (tmp_path / "access1.log").open("a") as file:
+        file.write("y\n")
+    second = reader.latestOffset()
+    assert [p[-11:] for p in looked] == ["access1.log"] and second["access0.log"] == first["access0.log"]
+    assert [(p.first, p.last) for p in reader.partitions(first, second)] == [(2, 4)]
+
+
 def test_stream_of_parts_equals_batch(spark, sf, tmp_path):
     """Lines appended in pieces, cut inside a line, give the activity of all lines."""
     lines = [row.value for row in fx.access_lines(spark, sf).orderBy("event_id").collect()]

@@ -1,10 +1,15 @@
 """A streaming source that follows growing log files.
 
 The file source of Spark takes a file once. This one keeps a byte position per
-file as its offset: a new file starts at 0, an unchanged file yields nothing, a
-line without its newline waits, and a file that became shorter or whose first
-line changed starts over. Ranges are cut into splits, so that one large file is
-read by many tasks. All executors must see the folder under the same path.
+file as its offset, with checksums of the first line and of the bytes before the
+position: a new file starts at 0, an unchanged file yields nothing, a line without
+its newline waits, and a file whose bytes before the position changed starts over.
+A file that was renamed (rotated) is known by its checksums and goes on from the
+position it had under its old name. Ranges are cut into splits, so that one large
+file is read by many tasks. A range whose file is renamed before it is read is found
+by the same checksums; if its bytes are gone the read fails, or with
+``failOnDataLoss`` false goes on without them. All executors must see the folder
+under the same path.
 """
 
 from __future__ import annotations
@@ -16,6 +21,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceStreamReader, InputPartition
@@ -28,7 +34,7 @@ ERROR_MARK = "error"
 SCHEMA = "value string, source_file string"
 SPLIT_BYTES = 64 * 1024 * 1024
 BLOCK_BYTES = 1024 * 1024
-BATCH_LINES = 8192
+TAIL_BYTES = 4096
 
 
 @dataclass
@@ -40,6 +46,8 @@ class TailRange(InputPartition):
     first: int
     last: int
     end: int
+    mark: int
+    tail: int
 
 
 def complete_end(path: str) -> int:
@@ -62,10 +70,29 @@ def first_line_mark(path: str) -> int:
         return zlib.crc32(file.readline(BLOCK_BYTES))
 
 
+def tail_mark(path: str, end: int) -> int:
+    """Checksum of the last bytes before a position; -1 if the file is shorter."""
+    with open(path, "rb") as file:
+        if file.seek(0, os.SEEK_END) < end:
+            return -1
+        first = max(0, end - TAIL_BYTES)
+        file.seek(first)
+        return zlib.crc32(file.read(end - first))
+
+
+def holds(path: str, position: dict) -> bool:
+    """Whether the file still begins with the bytes that a position was taken of."""
+    if position["end"] <= 0 or first_line_mark(path) != position["mark"]:
+        return False
+    found = tail_mark(path, position["end"])
+    return found >= 0 and found == position.get("tail", found)  # positions written by earlier versions have no tail
+
+
 class LogTailReader(DataSourceStreamReader):
-    def __init__(self, folder: str, kind: str, split_bytes: int, names: str = PLAIN_PATTERN):
+    def __init__(self, folder: str, kind: str, split_bytes: int, names: str = PLAIN_PATTERN, fail_on_loss: bool = True):
         self.folder = folder.removeprefix("file://").removeprefix("file:")
-        self.kind, self.split_bytes, self.names = kind, split_bytes, names
+        self.kind, self.split_bytes, self.names, self.fail_on_loss = kind, split_bytes, names, fail_on_loss
+        self._known: dict[str, tuple] = {}
 
     def _files(self) -> list[str]:
         names = sorted(entry.name for entry in os.scandir(self.folder) if entry.is_file())
@@ -81,52 +108,84 @@ class LogTailReader(DataSourceStreamReader):
         found = {}
         for name in self._files():
             path = os.path.join(self.folder, name)
-            end = complete_end(path)
-            found[name] = {"end": end, "mark": first_line_mark(path) if end else 0}
+            try:
+                stat = os.stat(path)
+                seen = (stat.st_ino, stat.st_size, stat.st_mtime_ns)
+                # A file that has not changed since the last look is not opened.
+                if self._known.get(name, (None,))[0] != seen:
+                    end = complete_end(path)
+                    mark, tail = (first_line_mark(path), tail_mark(path, end)) if end else (0, 0)
+                    self._known[name] = (seen, {"end": end, "mark": mark, "tail": tail})
+            except FileNotFoundError:  # renamed between the listing and the look
+                continue
+            found[name] = self._known[name][1]
         return found
 
+    def _origin(self, name: str, new: dict, start: dict) -> int:
+        """Where the unread bytes of a file begin: at its own position, at that of its old name, or at 0."""
+        path = os.path.join(self.folder, name)
+        old = start.get(name)
+        if old == new:
+            return new["end"]
+        try:
+            if old and holds(path, old):
+                return old["end"]
+            return max((p["end"] for other, p in start.items() if other != name and p["mark"] == new["mark"] and holds(path, p)), default=0)
+        except FileNotFoundError:  # its range is found under its new name when it is read
+            return old["end"] if old and old["mark"] == new["mark"] and old["end"] <= new["end"] else 0
+
     def partitions(self, start: dict, end: dict) -> list[InputPartition]:
         ranges = []
         for name, new in end.items():
-            old = start.get(name, {"end": 0, "mark": new["mark"]})
-            replaced = new["end"] < old["end"] or (old["end"] > 0 and old["mark"] != new["mark"])
-            origin = 0 if replaced else old["end"]
+            origin = self._origin(name, new, start)
             for first in range(origin, new["end"], self.split_bytes):
                 last = min(first + self.split_bytes, new["end"])
-                ranges.append(TailRange(os.path.join(self.folder, name), origin, first, last, new["end"]))
+                ranges.append(TailRange(os.path.join(self.folder, name), origin, first, last, new["end"], new["mark"], new["tail"]))
         return ranges
 
+    def _find(self, partition: TailRange) -> str | None:
+        """The file that holds the range now: under its own name or, after a rotation, another one."""
+        wanted = {"end": partition.end, "mark": partition.mark, "tail": partition.tail}
+        own = os.path.basename(partition.path)
+        for name in [own, *[n for n in sorted(os.listdir(self.folder)) if n != own]]:
+            path = os.path.join(self.folder, name)
+            try:
+                if os.path.isfile(path) and holds(path, wanted):
+                    return path
+            except FileNotFoundError:
+                continue
+        return None
+
     def read(self, partition: TailRange) -> Iterator[pa.RecordBatch]:
-        if os.path.getsize(partition.path) < partition.end:
-            raise OSError(f"{partition.path} became shorter while it was read")
+        path = self._find(partition)
+        if path is None:
+            if self.fail_on_loss:
+                raise OSError(f"bytes {partition.first} to {partition.last} of {partition.path} are gone")
+            return
         name = os.path.basename(partition.path)
-        lines: list[str] = []
-        with open(partition.path, "rb") as file:
+        with open(path, "rb") as file:
             file.seek(partition.first)
             if partition.first > partition.origin:
                 # The line that spans the cut belongs to the split before.
                 file.seek(partition.first - 1)
                 file.readline()
             while file.tell() < partition.last:
-                line = file.readline()
-                if line.strip():
-                    lines.append(line.rstrip(b"\n").decode("utf-8", errors="replace"))
-                if len(lines) >= BATCH_LINES:
-                    yield _batch(lines, name)
-                    lines = []
-        if lines:
-            yield _batch(lines, name)
+                block = file.read(min(BLOCK_BYTES, partition.last - file.tell()))
+                if not block:
+                    break
+                if not block.endswith(b"\n"):
+                    block += file.readline()
+                lines = pc.split_pattern(pa.array([block.decode("utf-8", errors="replace")], pa.large_string()), "\n").flatten()
+                lines = lines.filter(pc.match_substring_regex(lines, r"[^ \t\n\r\x0b\x0c]")).cast(pa.string())
+                if len(lines):
+                    yield pa.RecordBatch.from_arrays([lines, pa.array([name] * len(lines), pa.string())], ["value", "source_file"])
 
     def commit(self, end: dict) -> None:
         """Positions live in the checkpoint; nothing to release."""
 
 
-def _batch(lines: list[str], name: str) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(lines), pa.array([name] * len(lines))], ["value", "source_file"])
-
-
 class LogTail(DataSource):
-    """Options: ``path``, ``kind`` (access or error), ``splitBytes``, ``names`` (a pattern)."""
+    """Options: ``path``, ``kind`` (access or error), ``splitBytes``, ``names`` (a pattern), ``failOnDataLoss``."""
 
     @classmethod
     def name(cls) -> str:
@@ -142,6 +201,7 @@ class LogTail(DataSource):
             options.get("kind", "access"),
             int(options.get("splitBytes", SPLIT_BYTES)),
             options.get("names", PLAIN_PATTERN),
+            options.get("failOnDataLoss", "true").lower() == "true",
         )
 
 
@@ -159,8 +219,9 @@ def tail_logs(
     kind: str = "access",
     split_bytes: int = SPLIT_BYTES,
     names: str = PLAIN_PATTERN,
+    fail_on_loss: bool = True,
 ) -> DataFrame:
     """Stream of complete lines appended to the plain logs of a folder."""
     register(spark)
     reader = spark.readStream.format("log_tail").option("path", path).option("kind", kind)
-    return reader.option("splitBytes", str(split_bytes)).option("names", names).load()
+    return reader.option("splitBytes", str(split_bytes)).option("names", names).option("failOnDataLoss", str(fail_on_loss).lower()).load()
