@@ -619,6 +619,10 @@ ORACLES["stream_located"] = over_log(
     "first AS (SELECT ip_address, min(log.ts) AS t FROM log GROUP BY 1)",
 )
 ORACLES["stream_tail"] = ORACLES["stream_activity"].replace("// 3600 * 3600", "// 86400 * 86400")
+ORACLES["stream_errors"] = f"WITH errors_ AS ({fx.ERROR_ROWS}) SELECT level, count(*) AS n FROM errors_ GROUP BY 1"
+ORACLES["stream_rotated"] = """SELECT CASE event_id % 3 WHEN 1 THEN 'access.log.1' ELSE 'access.log.2.gz' END AS kind, count(*) AS n
+  FROM events WHERE event_id % 3 > 0 GROUP BY 1"""
+ORACLES["stream_hosts"] = "SELECT CAST(user_id % 4 AS STRING) AS host, count(*) AS n FROM events GROUP BY 1"
 ORACLES["stream_counts"] = over_log("SELECT path, method, status, count(*) AS n FROM log GROUP BY ALL")
 ORACLES["stream_table"] = over_log("SELECT CAST(CAST(ts AS DATE) AS STRING) AS log_date, count(*) AS n FROM log GROUP BY 1")
 

@@ -692,6 +692,21 @@ def stream_counts(spark, sf):
     return stream_checks.replay_counts(spark, sf)
 
 
+@query
+def stream_errors(spark, sf):
+    return stream_checks.replay_errors(spark, sf)
+
+
+@query
+def stream_rotated(spark, sf):
+    return stream_checks.replay_rotated(spark, sf)
+
+
+@query
+def stream_hosts(spark, sf):
+    return stream_checks.replay_hosts(spark, sf)
+
+
 @query
 def stream_table(spark, sf):
     return stream_checks.replay_table(spark, sf)

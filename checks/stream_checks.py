@@ -88,3 +88,29 @@ def replay_located(spark: SparkSession, sf_dir: str) -> DataFrame:
     writer = points.writeStream.format("parquet").outputMode("append").option("path", f"{folder}/points")
     writer.option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start().awaitTermination()
     return spark.read.parquet(f"{folder}/points")
+
+
+def replay_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Running counts by level of error lines that the tail source follows."""
+    folder = work_dir(spark)
+    levels = streams.key_counts(streams.error_stream(spark, fx.write_log_folder(spark, sf_dir)), "level")
+    streams.write_changes(levels, f"{folder}/levels", f"{folder}/checkpoint", once=True).awaitTermination()
+    return streams.read_changes(spark, f"{folder}/levels", "level")
+
+
+def replay_rotated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of rotated and compressed access logs, by kind of file."""
+    folder = work_dir(spark)
+    lines = streams.rotated_stream(spark, fx.write_log_folder(spark, sf_dir))
+    kinds = streams.key_counts(lines, F.regexp_replace("source_file", "-[0-9]+", "").alias("kind"))
+    streams.write_changes(kinds, f"{folder}/kinds", f"{folder}/checkpoint", once=True).awaitTermination()
+    return streams.read_changes(spark, f"{folder}/kinds", "kind")
+
+
+def replay_hosts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Samples by host from JSON files that appear in a folder."""
+    folder = work_dir(spark)
+    fx.host_samples(spark, sf_dir).write.json(f"{folder}/samples")
+    hosts = streams.key_counts(streams.host_stream(spark, f"{folder}/samples"), "host")
+    streams.write_changes(hosts, f"{folder}/hosts", f"{folder}/checkpoint", once=True).awaitTermination()
+    return streams.read_changes(spark, f"{folder}/hosts", "host")

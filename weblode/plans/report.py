@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator, Mapping
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -56,6 +58,24 @@ def labelled_counts(by_dimension: DataFrame, locations: DataFrame | None, profil
     )
 
 
+class Parts(Mapping):
+    """Named frames, each built when it is first asked for: building expressions takes longer than many plans run."""
+
+    def __init__(self, makers: dict[str, Callable[[], DataFrame]]):
+        self._makers, self._made = makers, {}
+
+    def __getitem__(self, name: str) -> DataFrame:
+        if name not in self._made:
+            self._made[name] = self._makers[name]()
+        return self._made[name]
+
+    def __iter__(self) -> Iterator[str]:
+        return iter(self._makers)
+
+    def __len__(self) -> int:
+        return len(self._makers)
+
+
 def traffic_report(
     df: DataFrame,
     wanted: LogFilter = LogFilter(),
@@ -63,7 +83,7 @@ def traffic_report(
     locations: DataFrame | None = None,
     staged: bool = False,
     approximate: bool = False,
-) -> dict[str, DataFrame]:
+) -> Parts:
     """All aggregates of the rows that pass the filter, as lazy frames.
 
     ``counts`` holds every keyed count in long form and costs one scan; ``totals``,
@@ -75,18 +95,17 @@ def traffic_report(
     rows = wanted.apply(df, settings, locations).select(*REPORT_COLUMNS)
     if staged:
         rows = stage(rows, "report")
-    by_dimension = counts.dimension_counts(rows, settings, profile)
-    parts = {
-        "counts": labelled_counts(by_dimension, locations, profile),
-        "totals": totals.totals(rows, period, approximate=approximate),
-        "activity": activity.activity(rows, period, df, approximate=approximate),
-        "sizes": sizes.size_histogram(rows),
+    makers = {
+        "counts": lambda: labelled_counts(counts.dimension_counts(rows, settings, profile), locations, profile),
+        "totals": lambda: totals.totals(rows, period, approximate=approximate),
+        "activity": lambda: activity.activity(rows, period, df, approximate=approximate),
+        "sizes": lambda: sizes.size_histogram(rows),
     }
     if profile == "web":
-        series = activity.trend(rows, period, df, approximate=approximate)
-        parts["trend"] = activity.consolidate(series)
-        parts["trend_rates"] = activity.consolidate_rates(series)
+        series = Parts({"trend": lambda: activity.trend(rows, period, df, approximate=approximate)})
+        makers["trend"] = lambda: activity.consolidate(series["trend"])
+        makers["trend_rates"] = lambda: activity.consolidate_rates(series["trend"])
     else:
-        parts["bins"] = activity.binned_requests(rows, approximate=approximate)
-        parts["success_bins"] = activity.binned_success(rows)
-    return parts
+        makers["bins"] = lambda: activity.binned_requests(rows, approximate=approximate)
+        makers["success_bins"] = lambda: activity.binned_success(rows)
+    return Parts(makers)
