@@ -92,6 +92,23 @@ SELECT 167772160 + n_nationkey * 256 AS network_lo, 167772160 + n_nationkey * 25
   n_name AS country FROM nation
 """
 
+# Nested networks of both families, down to the whole IPv4 space, and addresses in them.
+CIDR_NETWORKS = """
+SELECT concat('10.0.', CAST(n_nationkey AS STRING), '.0/24') AS network, n_name AS country FROM nation
+UNION ALL SELECT concat('2001:db8:', CAST(n_nationkey AS STRING), '::/48') AS network, n_name AS country FROM nation
+UNION ALL SELECT DISTINCT '10.0.0.0/8' AS network, 'EIGHT' AS country FROM nation
+UNION ALL SELECT DISTINCT '0.0.0.0/0' AS network, 'ALL' AS country FROM nation
+UNION ALL SELECT DISTINCT '2001:db8::/32' AS network, 'DOC' AS country FROM nation
+"""
+NESTED_ADDRESSES = """
+SELECT DISTINCT concat('10.0.', CAST(user_id % 32 AS STRING), '.', CAST(user_id % 251 AS STRING)) AS ip_address,
+  user_id % 32 AS part, 'four' AS family FROM events
+UNION ALL SELECT DISTINCT concat('2001:db8:', CAST(user_id % 32 AS STRING), '::', CAST(user_id % 9 AS STRING)),
+  user_id % 32, 'six' FROM events
+UNION ALL SELECT DISTINCT concat('192.0.2.', CAST(user_id % 5 AS STRING)), user_id % 5, 'out' FROM events
+UNION ALL SELECT DISTINCT concat('fe80::', CAST(user_id % 5 AS STRING)), user_id % 5, 'none' FROM events
+"""
+
 # One sample per event: four hosts, nested fields as host-sample records have them.
 HOST_SAMPLES = """
 SELECT CAST(user_id % 4 AS STRING) AS host, event_id AS uptime, CAST(ts AS TIMESTAMP) AS timestamp,
@@ -120,7 +137,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def over_frames(sql: str) -> str:
     """The text with table names as parameters of ``spark.sql``."""
-    return sql.replace("FROM events", "FROM {events}").replace("FROM pages", "FROM {pages}").replace("JOIN pages", "JOIN {pages}")
+    for name in ("events", "pages", "nation"):
+        sql = sql.replace(f"FROM {name}", f"FROM {{{name}}}").replace(f"JOIN {name}", f"JOIN {{{name}}}")
+    return sql
 
 
 def access_rows(spark: SparkSession, sf_dir: str) -> DataFrame:

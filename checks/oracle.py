@@ -619,6 +619,9 @@ ORACLES["stream_located"] = over_log(
     "first AS (SELECT ip_address, min(log.ts) AS t FROM log GROUP BY 1)",
 )
 ORACLES["stream_tail"] = ORACLES["stream_activity"].replace("// 3600 * 3600", "// 86400 * 86400")
+ORACLES["geo_nested"] = f"""WITH addresses AS ({fx.NESTED_ADDRESSES}) SELECT ip_address,
+  CASE family WHEN 'four' THEN coalesce(n_name, 'EIGHT') WHEN 'six' THEN coalesce(n_name, 'DOC') WHEN 'out' THEN 'ALL' ELSE '' END AS country
+  FROM addresses LEFT JOIN nation ON n_nationkey = part"""
 ORACLES["stream_errors"] = f"WITH errors_ AS ({fx.ERROR_ROWS}) SELECT level, count(*) AS n FROM errors_ GROUP BY 1"
 ORACLES["stream_rotated"] = """SELECT CASE event_id % 3 WHEN 1 THEN 'access.log.1' ELSE 'access.log.2.gz' END AS kind, count(*) AS n
   FROM events WHERE event_id % 3 > 0 GROUP BY 1"""

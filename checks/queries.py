@@ -407,6 +407,15 @@ def distinct_addresses(spark, sf):
     return geo.distinct_addresses(fx.access_log(spark, sf))
 
 
+@query
+def geo_nested(spark, sf):
+    """The longest of nested networks, IPv4 and IPv6, with one that holds every IPv4 address."""
+    nation, events = fx.table(spark, sf, "nation"), fx.table(spark, sf, "events")
+    networks = geo.networks_from_cidr(spark.sql(fx.over_frames(fx.CIDR_NETWORKS), nation=nation))
+    addresses = spark.sql(fx.over_frames(fx.NESTED_ADDRESSES), events=events)
+    return geo.resolve(geo.distinct_addresses(addresses), networks).select("ip_address", "country")
+
+
 @query
 def log_with_country(spark, sf):
     placed = geo.with_location(fx.access_log(spark, sf), fx.locations(spark, sf))

@@ -32,6 +32,9 @@ def session(app_name: str = "weblode", master: str | None = None, **extra: str)
     return builder.getOrCreate()
 
 
+_OWN_FOLDERS: dict[str, str] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors can reach, as the cluster names it in ``spark.checkpoint.dir``.
 
@@ -44,6 +47,7 @@ def shared_dir(spark: SparkSession) -> str:
     master = spark.sparkContext.master
     if not master.startswith("local") or master.startswith("local-cluster"):
         raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    found = f"file://{tempfile.mkdtemp(prefix='weblode-shared-')}"
-    spark.conf.set("spark.checkpoint.dir", found)
-    return found
+    application = spark.sparkContext.applicationId
+    if application not in _OWN_FOLDERS:
+        _OWN_FOLDERS[application] = f"file://{tempfile.mkdtemp(prefix='weblode-shared-')}"
+    return _OWN_FOLDERS[application]
