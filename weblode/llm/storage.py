@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -12,26 +11,12 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
-
-def shared_folder(spark: SparkSession) -> str:
-    """The folder named by ``spark.checkpoint.dir``.
-
-    Only a session of one machine may go without it; it gets a folder of its own.
-    """
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if found:
-        return found
-    master = spark.sparkContext.master
-    if not master.startswith("local") or master.startswith("local-cluster"):
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    found = f"file://{tempfile.mkdtemp(prefix='shared-')}"
-    spark.conf.set("spark.checkpoint.dir", found)
-    return found
+from weblode.session import shared_dir
 
 
 def stage(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet and read it back: cuts the lineage, survives lost executors."""
-    path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
@@ -40,7 +25,7 @@ def stage_bucketed(df: DataFrame, name: str, key: str, buckets: int) -> DataFram
     """Like ``stage``, kept in ``buckets`` by ``key``: joins and grouping on it then need no shuffle of this side."""
     spark = df.sparkSession
     table = f"{name}_{uuid.uuid4().hex}"
-    path = f"{shared_folder(spark)}/{table}"
+    path = f"{shared_dir(spark)}/{table}"
     (
         df.repartition(buckets, key).write.format("parquet").option("compression", "zstd").option("path", path)
         .bucketBy(buckets, key).saveAsTable(table)
