@@ -111,18 +111,16 @@ def shingles(data: bytes, size: int = SHINGLE_WORDS) -> np.ndarray:
     return np.unique(value)
 
 
+#: Odd multipliers of the min-hashes, of well mixed numbers.
+_FACTORS = _mixed(np.arange(1, TREES * DEPTH + 1, dtype=np.uint64)) | _U(1)
+
+
 def signature(hashes: np.ndarray) -> np.ndarray:
-    """``TREES * DEPTH`` min-hashes of 32 bits."""
-    out = np.full(TREES * DEPTH, 0xFFFFFFFF, np.uint32)
-    high, low = (hashes >> _U(32)).astype(np.uint32), hashes.astype(np.uint32)
-    for i in range(TREES * DEPTH):
-        a, b = np.uint32((0x9E3779B1 * (2 * i + 1)) & 0xFFFFFFFF), np.uint32((0x85EBCA6B * (i + 1)) & 0xFFFFFFFF | 1)
-        mixed = (high ^ a) * b + low * (a | np.uint32(1))
-        mixed ^= mixed >> np.uint32(15)
-        mixed *= np.uint32(0x2C1B3C6D)
-        mixed ^= mixed >> np.uint32(13)
-        out[i] = mixed.min()
-    return out
+    """``TREES * DEPTH`` min-hashes: the leading 32 bits of the least product with each factor."""
+    least = np.full(len(_FACTORS), 2**64 - 1, np.uint64)
+    for first in range(0, len(hashes), 2048):
+        np.minimum(least, (hashes[first : first + 2048] * _FACTORS[:, None]).min(axis=1), out=least)
+    return (least >> _U(32)).astype(np.uint32)
 
 
 def jaccard(a: np.ndarray, b: np.ndarray) -> float:
