@@ -387,3 +387,23 @@ def without_near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str
 def op3_jaccard(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     return near_duplicates(docs).select("doc_id", "class_id", "text_id", "n_copies", "n_links", "keep")
+
+
+# All pairs of texts that share a shingle, counted exactly. Texts are named by the smallest id of their rows.
+OP3_SQL = r"""
+WITH RECURSIVE rows_ AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+texts AS (SELECT t, count(*) AS copies, min(doc_id) AS id FROM rows_ GROUP BY t),
+words AS (SELECT id, list_filter(string_split_regex(t, '[ \t\n\r\x0b\x0c]+'), lambda w: w <> '') AS w FROM texts),
+places AS (SELECT id, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS i FROM words WHERE len(w) > 0),
+shingles AS (SELECT DISTINCT id, array_to_string(w[i : i + 4], ' ') AS s FROM places),
+sizes AS (SELECT id, count(*) AS n FROM shingles GROUP BY id),
+shared AS (SELECT a.id AS a, b.id AS b, count(*) AS n FROM shingles a JOIN shingles b ON a.s = b.s AND a.id < b.id GROUP BY 1, 2),
+links AS (SELECT shared.a, shared.b FROM shared JOIN sizes x ON x.id = shared.a JOIN sizes y ON y.id = shared.b
+  WHERE shared.n >= 0.8 * (x.n + y.n - shared.n)),
+both_ AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+reached AS (SELECT id, id AS root FROM texts UNION SELECT both_.b, reached.root FROM reached JOIN both_ ON both_.a = reached.id),
+classes AS (SELECT id, min(root) AS class_id FROM reached GROUP BY id),
+degrees AS (SELECT a AS id, count(*) AS n_links FROM both_ GROUP BY a)
+SELECT rows_.doc_id, classes.class_id, texts.id AS text_id, copies - 1 AS n_copies, coalesce(n_links, 0) AS n_links, texts.id = classes.class_id AS keep
+FROM rows_ JOIN texts USING (t) JOIN classes ON classes.id = texts.id LEFT JOIN degrees ON degrees.id = texts.id
+"""

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from weblode.llm.chats import OP10_SQL, op10_chats
 from weblode.llm.fingerprints import op5_fingerprints
-from weblode.llm.jaccard import op3_jaccard
+from weblode.llm.jaccard import OP3_SQL, op3_jaccard
 from weblode.llm.language import op2_language
 from weblode.llm.licenses import op4_licenses
 from weblode.llm.packing import op7_packing
@@ -26,5 +26,5 @@ QUERIES = {
     "op10_chats": op10_chats,
 }
 
-#: Hash sketches, models and tokens have no SQL counterpart; those queries are tested against brute force.
-ORACLES: dict[str, str] = {"op9_topk": OP9_SQL, "op10_chats": OP10_SQL}
+#: Sketches, models, tokens, bins and cuts at byte level have no SQL counterpart; those queries are tested against brute force.
+ORACLES: dict[str, str] = {"op3_jaccard": OP3_SQL, "op9_topk": OP9_SQL, "op10_chats": OP10_SQL}
