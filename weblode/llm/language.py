@@ -172,8 +172,10 @@ def train(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_c
     sample reach the driver: at most per_language * MOST_LANGUAGES rows of BUCKETS counts.
     """
     allowed = df.where(F.col(label_col).isNotNull() & ~is_held_out(F.col(id_col)))
-    common = allowed.groupBy(label_col).count().orderBy(F.desc("count"), label_col).limit(MOST_LANGUAGES)
-    ids = allowed.join(F.broadcast(common.select(label_col)), label_col).select(label_col, id_col)
+    common = allowed.groupBy(label_col).agg(F.count("*").alias("_rows")).orderBy(F.desc("_rows"), label_col).limit(MOST_LANGUAGES)
+    # Of a common language only about three times the wanted rows are ranked: those with small hashes.
+    place = F.xxhash64(id_col) / F.lit(2.0**64) + 0.5
+    ids = allowed.select(label_col, id_col).join(F.broadcast(common), label_col).where(place <= 3.0 * per_language / F.col("_rows"))
     ranked = ids.withColumn(
         "_rank", F.expr(f"row_number() OVER (PARTITION BY `{label_col}` ORDER BY xxhash64(`{id_col}`), `{id_col}`)")
     )
@@ -188,6 +190,7 @@ def train(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_c
 
     # At most per_language * MOST_LANGUAGES ids: a bounded broadcast.
     sample = allowed.select(id_col, label_col, text_col).join(F.broadcast(chosen), id_col)
+    sample = sample.groupBy(label_col, id_col).agg(F.min(text_col).alias(text_col))  # of a repeated id one text
     rows = sample.select(label_col, text_col).mapInPandas(run, schema).toPandas()
     order = sorted(range(len(rows)), key=lambda i: (rows.label[i], len(rows.buckets[i]), bytes(np.asarray(rows.buckets[i])), bytes(np.asarray(rows["counts"][i]))))
     rows = rows.iloc[order]
