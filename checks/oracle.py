@@ -174,10 +174,24 @@ ORACLES["error_sorted"] = (
 
 # --- labels --------------------------------------------------------------------
 
-for _dimension, _by_profile in LABEL_SQL.items():
-    for _profile, _label in _by_profile.items():
+# The expected labels of the fixture's agents, stated one by one (web, tui), known by a mark in the agent.
+EXPECTED_LABELS = {
+    "Edg/": {"client": ("Chrome", "Edge"), "os": ("Windows 10/11", "Windows 10/11"), "device": ("Windows", "Windows PC")},
+    "Firefox/": {"client": ("Firefox", "Firefox"), "os": ("Windows 10/11", "Windows 10/11"), "device": ("Windows", "Windows PC")},
+    "Pixel": {"client": ("Chrome", "Chrome"), "os": ("Android", "Android"), "device": ("Android", "Android Phone")},
+    "Chrome/": {"client": ("Chrome", "Chrome"), "os": ("Windows 10/11", "Windows 10/11"), "device": ("Windows", "Windows PC")},
+    "iPhone": {"client": ("Safari", "Safari"), "os": ("iOS", "iOS"), "device": ("iPhone", "iPhone")},
+    "Macintosh": {"client": ("Safari", "Safari"), "os": ("MacOS", "macOS"), "device": ("Mac", "Mac")},
+    "curl": {"client": ("Curl", "Curl"), "os": ("Other", "Other"), "device": ("Other", "Other")},
+    "python-requests": {"client": ("Python requests", "Python requests"), "os": ("Other", "Other"), "device": ("Other", "Other")},
+    "Googlebot": {"client": ("Other", "Other"), "os": ("Search Bot", "Bot"), "device": ("Other", "Bot")},
+}
+for _dimension in LABEL_SQL:
+    for _i, _profile in enumerate(("web", "tui")):
+        _cases = " ".join(f"WHEN contains(user_agent, '{mark}') THEN '{known[_dimension][_i]}'" for mark, known in EXPECTED_LABELS.items())
+        _empty = ("Other", "Unknown")[_i]
         ORACLES[f"ua_{_dimension}_{_profile}"] = over_log(
-            f"SELECT {_label} AS {_dimension}, count(*) AS n FROM log GROUP BY 1"
+            f"SELECT CASE {_cases} WHEN user_agent = '' THEN '{_empty}' END AS {_dimension}, count(*) AS n FROM log GROUP BY 1"
         )
 ORACLES["agent_counts"] = over_log(
     " UNION ALL ".join(

@@ -671,7 +671,7 @@ def report_tui_bins(spark, sf):
 @query
 def lookup_with_duplicates(spark, sf):
     """Of several rows of an address the smallest counts, in lookups and counts alike."""
-    places = fx.locations(spark, sf).where("country <> ''")
+    places = fx.locations(spark, sf)
     doubled = places.unionByName(places.withColumn("country", F.concat(F.lit("ZZ"), "country")))
     return geo.with_location(fx.access_log(spark, sf), doubled).select("event_id", "ip_address", "country")
 
