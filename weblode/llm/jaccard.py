@@ -179,18 +179,18 @@ def _neighbours(tries: DataFrame, least: int) -> DataFrame:
     return placed.select("tree", "label", "key").mapInPandas(run, "a string, b string")
 
 
-def _leaders(tries: DataFrame, members: DataFrame, least: int, turn: int) -> DataFrame:
+def _leaders(tries: DataFrame, members: DataFrame, turn: int) -> DataFrame:
     """(a, b) of every text and the leader of its group at the shortest prefix, if ``members`` puts them in different classes.
 
     The first leader is the text with most copies, each later turn takes another.
     """
     order = -F.col("copies") if turn == 0 else F.xxhash64("key", F.lit(turn))
-    cut = tries.join(members, "key").select("tree", F.substring("label", 1, 4 * least).alias("prefix"), "key", "class", "copies")
-    grouped = cut.groupBy("tree", "prefix").agg(
+    cut = tries.select("key", "prefix").join(members.select("key", "class", "copies"), "key")
+    grouped = cut.groupBy("prefix").agg(
         F.min(F.struct(order.alias("order"), "key", "class")).alias("lead"), F.min("class").alias("low"), F.max("class").alias("high")
     )
-    grouped = grouped.where("low <> high").select("tree", "prefix", F.col("lead.key").alias("lead"), F.col("lead.class").alias("lead_class"))
-    met = cut.join(grouped, ["tree", "prefix"]).where("class <> lead_class")
+    grouped = grouped.where("low <> high").select("prefix", F.col("lead.key").alias("lead"), F.col("lead.class").alias("lead_class"))
+    met = cut.join(grouped, "prefix").where("class <> lead_class")
     return met.select(F.least("key", "lead").alias("a"), F.greatest("key", "lead").alias("b")).distinct()
 
 
@@ -256,10 +256,14 @@ def join(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshol
     members = keyed.select(id_col, "key")
     texts = stage(members.groupBy("key").agg(F.count("*").alias("copies"), F.min(id_col).alias("first_id")), "texts")
     labels = _labels(keyed).dropDuplicates(["key"])
-    tries = stage(labels.select("key", F.posexplode("labels").alias("tree", "label")), "tries")
     least = least_prefix(threshold)
+    tries = labels.select("key", F.posexplode("labels").alias("tree", "label"))
+    tries = stage(tries.withColumn("prefix", F.xxhash64("tree", F.substring("label", 1, 4 * least))), "tries")
+    # Most texts share their shortest prefix with no other in most trees; only groups go on.
+    groups = tries.groupBy("prefix").agg(F.count("*").alias("n")).where("n > 1")
+    tries = stage(tries.join(groups, "prefix", "left_semi"), "groups")
     classes = texts.withColumn("class", F.col("key"))
-    met = stage(_neighbours(tries, least).unionByName(_leaders(tries, classes, least, 0)).distinct(), "pairs")
+    met = stage(_neighbours(tries, least).unionByName(_leaders(tries, classes, 0)).distinct(), "pairs")
     # Whoever shares a prefix with anyone meets at least the leader, so later rounds need no other texts.
     wanted = texts.join(met.select(F.explode(F.array("a", "b")).alias("key")).distinct(), "key").select("key", F.col("first_id").alias("_id"))
     pool = keyed.join(wanted, (keyed["key"] == wanted["key"]) & keyed[id_col].eqNullSafe(wanted["_id"]), "left_semi")
@@ -273,7 +277,7 @@ def join(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshol
         joined = texts.join(components(links), "key", "left")
         classes = stage(joined.select("key", F.coalesce("class", "key").alias("class"), "copies", "first_id"), "classes")
         turn += 1
-        met = stage(_leaders(tries, classes, least, turn).join(tried, ["a", "b"], "left_anti"), "pairs")
+        met = stage(_leaders(tries, classes, turn).join(tried, ["a", "b"], "left_anti"), "pairs")
         tried = tried.unionByName(met)
 
 

@@ -42,8 +42,8 @@ def documents(spark: SparkSession, sf_dir: str, name: str = "documents") -> Data
 
 
 def text_key(column: str = "text"):
-    """Equal for equal texts; null counts as empty."""
-    return F.sha2(F.coalesce(F.col(column), F.lit("")), 256)
+    """128 bits of a digest as text, equal for equal texts; null counts as empty."""
+    return F.left(F.sha2(F.coalesce(F.col(column), F.lit("")), 256), F.lit(32))
 
 
 def map_texts(df: DataFrame, text_col: str, outputs: str, make: Callable[[], Callable[[list], list[list]]]) -> DataFrame:
