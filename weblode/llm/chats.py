@@ -41,26 +41,26 @@ def _pointers(nodes: DataFrame) -> tuple[list[DataFrame], DataFrame]:
     ``nodes`` has id, up (null at a root) and total. Level i holds (id, up) with ``up``
     the ancestor 2**i steps above. Finished: id, root, total and hops of the whole way.
     """
-    nodes = nodes.withColumn("top", F.col("id")).withColumn("hops", F.lit(1).cast("bigint"))
-    levels, current = [], stage(nodes, "replies")
-    size = current.count()
+    columns = ["id", "up", "total", "top", "hops"]
+    nodes = nodes.withColumn("top", F.col("id")).withColumn("hops", F.lit(1).cast("bigint")).select(*columns)
+    current = stage(nodes, "replies")
+    size, levels, ended = current.count(), [], current.where("up IS NULL")
     while True:
         open_rows = current.where("up IS NOT NULL")
-        levels.append(open_rows.select("id", "up"))
-        if open_rows.isEmpty() or 2 ** (len(levels) - 1) > 2 * size:
+        if open_rows.isEmpty() or 2 ** len(levels) > 2 * size:
             # What is still open after so many steps leads into a cycle.
-            return levels[:-1], current.where("up IS NULL").select("id", F.col("top").alias("root"), "total", "hops")
-        above = current.select(
-            F.col("id").alias("up"), F.col("up").alias("_up"), F.col("total").alias("_total"),
-            F.col("top").alias("_top"), F.col("hops").alias("_hops"),
-        )
+            return levels, ended.select("id", F.col("top").alias("root"), "total", "hops")
+        levels.append(open_rows.select("id", "up"))
+        # Only open messages move on; finished ones are met as they are.
+        above = open_rows.unionByName(ended).toDF("up", "_up", "_total", "_top", "_hops")
         current = stage(
-            current.join(above, "up", "left").select(
-                "id", F.col("_up").alias("up"), (F.col("total") + F.coalesce("_total", F.lit(0.0))).alias("total"),
-                F.coalesce("_top", "top").alias("top"), (F.col("hops") + F.coalesce("_hops", F.lit(0))).alias("hops"),
+            open_rows.join(above, "up").select(
+                "id", F.col("_up").alias("up"), (F.col("total") + F.col("_total")).alias("total"),
+                F.col("_top").alias("top"), (F.col("hops") + F.col("_hops")).alias("hops"),
             ),
             "replies",
         )
+        ended = ended.unionByName(current.where("up IS NULL"))
 
 
 def paths(messages: DataFrame, best: int | None = None) -> DataFrame:
