@@ -23,6 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+from pyspark.core.broadcast import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -119,17 +120,21 @@ def best_in_block(query: np.ndarray, query_id: int, floor: float, ids: np.ndarra
 PAIR_COLUMNS = ["query_block", "q_n", "q_dims", "q_ids", "q_norms", "q_matrix", "floors", "bucket", "salt"]
 
 
-def _compare(pairs: DataFrame, k: int) -> DataFrame:
-    """query_id, query_row, vec_id, score from rows of a query block beside a candidate block."""
+def _compare(pairs: DataFrame, k: int, fixed: Broadcast | None = None) -> DataFrame:
+    """query_id, query_row, vec_id, score from rows of a query block beside a candidate block.
+
+    ``fixed`` is one candidate block for all rows instead.
+    """
     schema = "query_block int, query_row int, query_id bigint, vec_id bigint, score bigint"
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             for row in frame.itertuples():
-                queries, vectors = _matrix(row.q_n, row.q_dims, row.q_matrix), _matrix(row.n, row.dims, row.matrix)
+                n, dims, id_bytes, norm_bytes, matrix = fixed.value if fixed else (row.n, row.dims, row.ids, row.norms, row.matrix)
+                queries, vectors = _matrix(row.q_n, row.q_dims, row.q_matrix), _matrix(n, dims, matrix)
                 width = max(queries.shape[1], vectors.shape[1])
                 queries, vectors = (np.pad(m, ((0, 0), (0, width - m.shape[1]))) for m in (queries, vectors))
-                ids, norms = np.frombuffer(row.ids, np.int64), np.frombuffer(row.norms, np.float64)
+                ids, norms = np.frombuffer(id_bytes, np.int64), np.frombuffer(norm_bytes, np.float64)
                 query_ids = np.frombuffer(row.q_ids, np.int64)
                 floors = np.frombuffer(row.floors, np.float64) if row.floors is not None else np.full(len(queries), -np.inf)
                 floats = vectors.astype(np.float64)
@@ -169,10 +174,12 @@ def search(queries: DataFrame, candidates: DataFrame, k: int = 20) -> DataFrame:
         "query_block", *[F.col(c).alias(f"q_{c}") for c in ("n", "dims", "ids", "norms", "matrix")]
     )
 
-    # The first block of the longest vectors gives the floors.
+    # One block of the longest vectors gives the floors: about BLOCK_ROWS vectors, sent to all.
     seed = (sizes[0][0], 0)
-    seeded = packed.select("*", F.lit(seed[0]).alias("bucket"), F.lit(seed[1]).alias("salt"), F.lit(None).cast("binary").alias("floors"))
-    first = stage(_compare(seeded.join(blocks, ["bucket", "salt"]), k), "floors")
+    block = blocks.where((F.col("bucket") == seed[0]) & (F.col("salt") == seed[1])).select("n", "dims", "ids", "norms", "matrix").first()
+    block = tuple(bytes(x) if isinstance(x, (bytes, bytearray)) else x for x in block) if block else (0, 0, b"", b"", b"")
+    seeded = packed.select("*", F.lit(None).cast("binary").alias("floors"))
+    first = stage(_compare(seeded, k, spark.sparkContext.broadcast(block)), "floors")
 
     # Each query's k-th score so far, in the order of its block.
     kth = first.groupBy("query_block", "query_row").agg(F.count("*").alias("n"), F.min("score").cast("double").alias("low"))
