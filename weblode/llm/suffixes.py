@@ -40,7 +40,7 @@ from weblode.llm.storage import shuffle_partitions, stage, stage_bucketed
 
 WIDTH = 400
 COVER_ORDER = 2
-SLOT_BYTES = 2 << 20
+SLOT_BYTES = 1 << 20
 PIECE = 1 << 18
 _BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 _U = np.uint64
@@ -207,13 +207,13 @@ class Slot:
                 if len(here):
                     piece = Hashes(view[first : end + self.width - 1], self.powers)
                     own.append(piece.at(here, self.width, 1))
-                    other.append(piece.at(here, self.width, 0))
+                    other.append(_bucket(piece.at(here, self.width, 0), self.buckets).astype(np.int32))
             hashes.append(np.concatenate(own) if own else np.empty(0, np.uint64))
             others += other
         values, index, counts = np.unique(
             np.concatenate(hashes) if hashes else np.empty(0, np.uint64), return_index=True, return_counts=True
         )
-        places = _bucket(np.concatenate(others)[index], self.buckets) if others else np.empty(0, np.int64)
+        places = np.concatenate(others)[index].astype(np.int64) if others else np.empty(0, np.int64)
         order = np.argsort(places, kind="stable")
         return starts, hashes, values[order], places[order], counts[order]
 
@@ -246,10 +246,14 @@ def _repeated(sent: DataFrame, keep: int, kind: int) -> DataFrame:
 
     def run(table: pa.Table) -> pa.Table:
         slots, blobs = table.column("slot").to_pylist(), table.column("blob").to_pylist()
-        raw = np.frombuffer(b"".join(blobs), np.uint8).reshape(-1, keep)
-        values = np.zeros((len(raw), 8), np.uint8)
-        values[:, :keep] = raw
-        values = values.view("<u8").ravel()
+        sizes, joined = [len(blob) // keep for blob in blobs], b"".join(blobs)
+        del blobs
+        if keep == 8:
+            values = np.frombuffer(joined, "<u8")
+        else:
+            padded = np.zeros((len(joined) // keep, 8), np.uint8)
+            padded[:, :keep] = np.frombuffer(joined, np.uint8).reshape(-1, keep)
+            values = padded.view("<u8").ravel()
         # The bucket is sorted; every entry with an equal neighbour is marked.
         order = np.argsort(values)
         ranked = values[order]
@@ -260,8 +264,8 @@ def _repeated(sent: DataFrame, keep: int, kind: int) -> DataFrame:
             same[order[:-1][equal]] = True
         out, at = {"slot": [], "kind": [], "bucket": [], "payload": [], "flag": []}, 0
         bucket = table.column("bucket")[0].as_py()
-        for slot, blob in zip(slots, blobs):
-            mask = same[at : at + len(blob) // keep]
+        for slot, size in zip(slots, sizes):
+            mask = same[at : at + size]
             at += len(mask)
             if mask.any():
                 for name, value in zip(out, (slot, kind, bucket, np.packbits(mask).tobytes(), False)):
