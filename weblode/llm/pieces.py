@@ -29,9 +29,10 @@ from pyspark.sql import functions as F
 MODEL_FILE = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
 LITERAL = "\ud800"  # stands for a literal mark; no valid text holds it
-CELLS = 1 << 20
+CELLS = 1 << 19
 STRETCH = 4096
-CACHED = 1 << 19
+CACHED = 1 << 17
+CHUNK = 1 << 20
 _WORD = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
 _BASE = 0x9E3779B97F4A7C15
 
@@ -231,19 +232,19 @@ def encode(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", model_
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         codec = Codec(sent.value)
         for frame in frames:
-            ids, decoded, at = [], [], 0
-            texts = [t if isinstance(t, str) else "" for t in frame[text_col]]
+            texts, at = frame[text_col].to_numpy(), 0
             while at < len(texts):
-                # Some millions of characters at a time, so long texts stand alone.
-                stop, size = at, 0
-                while stop < len(texts) and (stop == at or size + len(texts[stop]) <= 4 << 20):
-                    size += len(texts[stop])
-                    stop += 1
-                found = codec.encode(texts[at:stop])
-                ids += found
-                decoded += [codec.decode(x) for x in found]
-                at = stop
-            yield pd.DataFrame({id_col: frame[id_col], "ids": pd.Series(ids, index=frame.index, dtype=object), "decoded": decoded}, index=frame.index)
+                # About ``CHUNK`` characters at a time go in and out, so long texts stand alone.
+                chosen, size = [], 0
+                while at < len(texts) and (not chosen or size < CHUNK):
+                    chosen.append(texts[at] if isinstance(texts[at], str) else "")
+                    size += len(chosen[-1])
+                    at += 1
+                ids = codec.encode(chosen)
+                names = frame[id_col].iloc[at - len(chosen) : at]
+                yield pd.DataFrame({
+                    id_col: names, "ids": pd.Series(ids, index=names.index, dtype=object), "decoded": [codec.decode(x) for x in ids],
+                })
 
     return df.select(id_col, text_col).mapInPandas(run, schema)
 
