@@ -74,6 +74,22 @@ def test_against_brute_force(make, prose, monkeypatch, block):
     check(rows, jaccard.near_duplicates(make(rows)).collect())
 
 
+def test_crowded_template_group(make, prose, monkeypatch):
+    """Boilerplate texts at 0.75 share their prefixes; pairs at 0.86 among them must meet, side by side or not."""
+    monkeypatch.setattr(jaccard, "BLOCK", 64)
+    base = prose(1, 300)
+    rows = []
+    for i in range(300):
+        tail = prose(1000 + i, 50).split()
+        rows.append((i, f"{base} {' '.join(tail)}"))
+        if i % 6 == 0:
+            rows.append((1000 + i, f"{base} {' '.join(tail[:25])} {prose(5000 + i, 25)}"))
+    # A class that fills blocks of its own.
+    words = prose(9, 300).split()
+    rows += [(2000 + i, " ".join([*words[: i % 140 + 80], f"new{i}", *words[i % 140 + 81 :]])) for i in range(150)]
+    check(rows, jaccard.near_duplicates(make(rows)).collect())
+
+
 def test_odd_rows(make, odd):
     got = jaccard.near_duplicates(make(odd)).collect()
     assert len(got) == len(odd)

@@ -13,7 +13,10 @@ for the threshold. Besides, every text meets the leader (the class with most cop
 the smallest) of its group at that shortest length, so groups of any size hang together
 without all pairs. Each pair met is verified on the whole shingle sets; verified links give
 the classes. Further rounds compare what the first left apart: a group whose members are
-in different classes meets another leader, until a round finds no new link.
+in different classes meets another leader, until a round finds no new link. Last, all pairs
+of such groups that are still in different classes are compared, small groups pair by pair,
+crowded ones in salted blocks that return links only: whoever shares a shortest prefix has
+been compared or is in one class.
 
 Cases: null texts count as empty; texts without words link to nothing but equal ones; a
 text of fewer than five words is one shingle; equal shingle sets are similarity 1; repeated
@@ -22,6 +25,7 @@ rows are copies; null ids are allowed and come back null; an empty table gives n
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -38,7 +42,9 @@ DEPTH = 8
 TARGET_RECALL = 0.995
 PARTNERS = 2
 PIECE = 1 << 22
-#: Texts in a block of link counting, and the width of its distance cells.
+#: Groups of at most so many texts are compared pair by pair in the end, larger ones in blocks.
+SMALL = 8
+#: Texts in a block of comparison, and the width of the distance cells of link counting.
 BLOCK = 128
 CELL = 0.01
 COLUMNS = 1 << 14
@@ -134,19 +140,19 @@ def jaccard(a: np.ndarray, b: np.ndarray) -> float:
 
 
 def _labels(classes: DataFrame) -> DataFrame:
-    """key, tree, label (four bytes a min-hash, so that order is trie order) of each class with words."""
-    schema = "key string, labels array<binary>"
+    """key, size of the shingle set, labels by tree (four bytes a min-hash, so that order is trie order) of each class with words."""
+    schema = "key string, size int, labels array<binary>"
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            keys, labels = [], []
+            keys, sizes, labels = [], [], []
             frame = frame.drop_duplicates("key")
             for key, text in zip(frame["key"], frame["text"]):
                 hashes = shingles(text.encode("utf-8", "surrogatepass"))
                 if len(hashes):
                     rows = signature(hashes).astype(">u4").reshape(TREES, DEPTH)
-                    keys.append(key), labels.append([row.tobytes() for row in rows])
-            yield pd.DataFrame({"key": keys, "labels": labels})
+                    keys.append(key), sizes.append(len(hashes)), labels.append([row.tobytes() for row in rows])
+            yield pd.DataFrame({"key": keys, "size": sizes, "labels": labels})
 
     return classes.select("key", "text").mapInPandas(run, schema)
 
@@ -194,6 +200,89 @@ def _leaders(tries: DataFrame, members: DataFrame, turn: int) -> DataFrame:
     return met.select(F.least("key", "lead").alias("a"), F.greatest("key", "lead").alias("b")).distinct()
 
 
+def _mixed_groups(tries: DataFrame, classes: DataFrame) -> DataFrame:
+    """prefix, key, size, class, n of the groups of n texts that are in different classes; of groups of the same texts one."""
+    cut = tries.select("prefix", "key", "size").join(classes.select("key", "class"), "key")
+    groups = cut.groupBy("prefix").agg(
+        F.count("*").alias("n"), F.min("class").alias("low"), F.max("class").alias("high"),
+        F.sum(F.xxhash64("key").cast("decimal(38,0)")).alias("s"), F.bit_xor(F.xxhash64("key", F.lit(1))).alias("x"),
+    )
+    groups = groups.where("low <> high").groupBy("n", "s", "x").agg(F.min("prefix").alias("prefix")).select("prefix", "n")
+    return stage(cut.join(groups, "prefix"), "mixed")
+
+
+def _small_pairs(groups: DataFrame, tried: DataFrame, threshold: float) -> DataFrame:
+    """(a, b) of different classes not in ``tried`` that share a group of at most ``SMALL`` and whose sizes allow a link."""
+    one = groups.where(F.col("n") <= SMALL).select("prefix", F.col("key").alias("a"), F.col("size").alias("m"), "class")
+    other = one.withColumnsRenamed({"a": "b", "m": "o_m", "class": "o_class"})
+    near = F.least("m", "o_m") >= threshold * F.greatest("m", "o_m") - 1e-9
+    pairs = one.join(other, "prefix").where((F.col("a") < F.col("b")) & (F.col("class") != F.col("o_class")) & near)
+    return pairs.select("a", "b").distinct().join(tried, ["a", "b"], "left_anti")
+
+
+def _crowded_links(groups: DataFrame, pool: DataFrame, threshold: float) -> DataFrame:
+    """(a, b, similarity) of links that connect all classes linked inside a group of more than ``SMALL``.
+
+    A group's texts are dealt to blocks by the size of their sets (linked sets are in the
+    same or the next cell of sizes) and, for a class that fills a block, by class. Blocks
+    meet in tasks of their own, but not those of one class; a task returns at most as many
+    links as it has classes.
+    """
+    step = max(-math.log(threshold), 1e-6) * (1 + 1e-9)
+    crowded = groups.where(F.col("n") > SMALL)
+    full = crowded.groupBy("prefix", "class").agg(F.count("*").alias("m")).where(F.col("m") > BLOCK).select("prefix", "class", F.col("class").alias("part"))
+    placed = crowded.join(full, ["prefix", "class"], "left")
+    placed = stage(
+        placed.select("prefix", "key", "class", F.coalesce("part", F.lit("")).alias("part"), F.floor(F.log("size") / step).alias("cell")), "crowded"
+    )
+    cells = stage(placed.groupBy("prefix", "part", "cell").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")), "cells")
+    other = cells.withColumnsRenamed({c: f"o_{c}" for c in ("part", "cell", "blocks")})
+    own = F.col("part") == F.col("o_part")
+    tasks = cells.join(other, "prefix").where((F.abs(F.col("cell") - F.col("o_cell")) <= 1) & ~(own & (F.col("part") != "")))
+    tasks = tasks.where((F.col("part") < F.col("o_part")) | (own & (F.col("cell") <= F.col("o_cell"))))
+    tasks = tasks.withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    tasks = tasks.withColumn("o_salt", F.explode(F.sequence(F.lit(0), F.col("o_blocks") - 1)))
+    same = own & (F.col("cell") == F.col("o_cell")) & (F.col("salt") == F.col("o_salt"))
+    tasks = tasks.where(~own | (F.col("cell") < F.col("o_cell")) | (F.col("salt") <= F.col("o_salt")))
+    names = ["prefix", "part", "cell", "salt", "o_part", "o_cell", "o_salt"]
+    dealt = placed.join(cells, ["prefix", "part", "cell"])
+    dealt = dealt.select("prefix", "part", "cell", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int").alias("salt"), "key", "class")
+    first = tasks.select(names).join(dealt, names[:4]).select(*names, "key", "class", F.lit(0).alias("side"))
+    moved = dealt.withColumnsRenamed({"part": "o_part", "cell": "o_cell", "salt": "o_salt"})
+    second = tasks.where(~same).select(names).join(moved, ["prefix", *names[4:]]).select(*names, "key", "class", F.lit(1).alias("side"))
+
+    def run(frame: pd.DataFrame) -> pd.DataFrame:
+        frame = frame.sort_values(["side", "key"])
+        keys, groups_, n = frame["key"].to_numpy(), pd.factorize(frame["class"])[0], int((frame["side"] == 0).sum())
+        sets = [shingles(text.encode("utf-8", "surrogatepass")) for text in frame["text"]]
+        sizes = np.array([len(x) for x in sets])
+        # Shingles of one set only are shared with none.
+        _, column, seen = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+        several = np.split(seen[column] > 1, np.cumsum(sizes)[:-1])
+        sets = [x[kept] for x, kept in zip(sets, several)]
+        left, right = (slice(0, n), slice(n, None)) if n < len(sets) else (slice(0, n), slice(0, n))
+        shared = shared_counts(sets[left], sets[right])
+        found = shared / (sizes[left][:, None] + sizes[right][None, :] - shared)
+        linked = (found >= threshold) & (groups_[left][:, None] != groups_[right][None, :])
+        root, out = list(range(len(keys))), []
+
+        def top(x: int) -> int:
+            while root[x] != x:
+                root[x] = x = root[root[x]]
+            return x
+
+        for i, j in zip(*np.nonzero(linked)):
+            x, y = top(groups_[left][i]), top(groups_[right][j])
+            if x != y:
+                root[x] = y
+                a, b = sorted((keys[left][i], keys[right][j]))
+                out.append((a, b, found[i, j]))
+        return pd.DataFrame(out, columns=["a", "b", "similarity"])
+
+    compared = first.unionByName(second).join(pool, "key").groupBy(names)
+    return compared.applyInPandas(run, "a string, b string, similarity double")
+
+
 def _verified(pairs: DataFrame, docs: DataFrame, threshold: float) -> DataFrame:
     """(a, b, similarity) of the pairs whose shingle sets reach the threshold. ``docs`` has key and text, one row a class."""
 
@@ -257,7 +346,7 @@ def join(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshol
     texts = stage(members.groupBy("key").agg(F.count("*").alias("copies"), F.min(id_col).alias("first_id")), "texts")
     labels = _labels(keyed).dropDuplicates(["key"])
     least = least_prefix(threshold)
-    tries = labels.select("key", F.posexplode("labels").alias("tree", "label"))
+    tries = labels.select("key", "size", F.posexplode("labels").alias("tree", "label"))
     tries = stage(tries.withColumn("prefix", F.xxhash64("tree", F.substring("label", 1, 4 * least))), "tries")
     # Most texts share their shortest prefix with no other in most trees; only groups go on.
     groups = tries.groupBy("prefix").agg(F.count("*").alias("n")).where("n > 1")
@@ -272,13 +361,26 @@ def join(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshol
     while True:
         found = stage(_verified(met, pool, threshold), "verified")
         if links is not None and found.isEmpty():
-            return members, links, classes, pool
+            break
         links = found if links is None else links.unionByName(found)
-        joined = texts.join(components(links), "key", "left")
-        classes = stage(joined.select("key", F.coalesce("class", "key").alias("class"), "copies", "first_id"), "classes")
+        classes = _classes(texts, links)
         turn += 1
         met = stage(_leaders(tries, classes, turn).join(tried, ["a", "b"], "left_anti"), "pairs")
         tried = tried.unionByName(met)
+    # What neighbours and leaders left apart: links between different classes, so none is known.
+    groups = _mixed_groups(tries, classes)
+    found = _verified(_small_pairs(groups, tried, threshold), pool, threshold)
+    found = stage(found.unionByName(_crowded_links(groups, pool, threshold)).dropDuplicates(["a", "b"]), "verified")
+    if found.isEmpty():
+        return members, links, classes, pool
+    links = links.unionByName(found)
+    return members, links, _classes(texts, links), pool
+
+
+def _classes(texts: DataFrame, links: DataFrame) -> DataFrame:
+    """key, class, copies, first_id of each text, staged."""
+    joined = texts.join(components(links), "key", "left")
+    return stage(joined.select("key", F.coalesce("class", "key").alias("class"), "copies", "first_id"), "classes")
 
 
 def shared_counts(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
