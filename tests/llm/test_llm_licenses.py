@@ -78,6 +78,22 @@ def test_against_brute_force(spark):
     assert by_path["a/b/c/d/e/x.py"][3:] == ("GPL-3.0", "inherited", "a/b") and by_path["q/r.py"][3:] == ("CC-BY-NC-4.0", "inherited", "")
 
 
+def test_same_line_at_any_size(spark):
+    """Cosine of a line with words besides the notice, alone or in all files, in corpora of one mix but different size."""
+    mix = ["Licensed under the Apache License, Version 2.0."] * 7 + ["Released under the MIT License."] * 4 + ["All rights reserved."] * 4
+    mix += ["This work is licensed under the GNU General Public License, version 3."] * 4 + ["Licensed under CC BY-NC 4.0."]
+    for header in ("", "(c) Example Corp and others. "):
+        cosines = []
+        for n in (20, 260, 20_000):
+            files = [(f"d{i}/x", header + mix[i % len(mix)]) for i in range(n)]
+            files += [("alone/LICENSE", "(c) Acme. Released under the MIT License."), ("alone/y", "z")]
+            by_path = {g[0]: g for g in found(spark, files)}
+            assert by_path["alone/LICENSE"][1] == "MIT" and by_path["alone/y"][3:] == ("MIT", "inherited", "alone")
+            assert by_path["d7/x"][1] == "MIT"
+            cosines.append((by_path["alone/LICENSE"][2], by_path["d7/x"][2]))
+        assert cosines[1] == pytest.approx(cosines[2], abs=0.05)
+
+
 def test_empty_table(spark):
     assert found(spark, []) == [] and found(spark, [("a/b", "text without")]) == [("a/b", None, None, None, "none", None)]
 

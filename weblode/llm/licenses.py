@@ -1,8 +1,9 @@
 """License scans: TF-IDF cosine of headers and licence files to templates, then inheritance by directory.
 
 Units of comparison are the lines of a file that mention licensing, and all such lines of
-the file together. Terms are weighted by how rare they are among all units of the corpus,
-and the sparse vectors meet the templates by joins on the term. A file takes the template
+the file together. Every term, of a template or not, is weighted by the share of all units
+of the corpus that have it, so that a line scores alike in a small and a large corpus of one
+mix, and the sparse vectors meet the templates by joins on the term. A file takes the template
 with the highest cosine at or above the threshold. A licence file licenses its directory;
 files without a licence of their own take that of the nearest directory above (their own
 first), found by joining each distinct directory's ancestors, not each file's.
@@ -21,6 +22,10 @@ from pyspark.sql import functions as F
 from weblode.llm.storage import stage
 
 THRESHOLD = 0.55
+#: Added to the share of units with a term: the weight of rare terms has a limit whatever the number of units.
+SMOOTH = 0.05
+#: Terms with more than this share of the counts, fewer than its inverse, are joined by broadcast.
+COMMON = 0.001
 TRIGGER = r"(?i)licen[cs]e|licensed|copyright|spdx|public domain|permission is hereby|redistribution and use|all rights reserved"
 LICENCE_FILE = r"(?i)^(licen[cs]e|copying|notice)([.-].*)?$"
 
@@ -79,20 +84,21 @@ def matches(found: DataFrame, templates: DataFrame, threshold: float = THRESHOLD
     """file, license, cosine of the best template of each file that reaches the threshold."""
     counted = found.select("file", "unit", F.explode(terms(F.col("text"))).alias("term")).groupBy("file", "unit", "term").agg(F.count("*").alias("tf"))
     counted = stage(counted, "terms")
-    total = found.count()
-    vocabulary = F.broadcast(templates.select("term").distinct())  # words of the templates
-    seen = counted.join(vocabulary, "term").groupBy("term").agg(F.count("*").alias("df"))
-    rare = F.log((F.lit(1.0) + total) / (1.0 + F.coalesce(F.col("df"), F.lit(0)))) + 1.0
-    weights = stage(templates.select("term").distinct().join(seen, "term", "left").select("term", rare.alias("idf")), "idf")
-    highest = F.lit(1.0 + total)
-    # Terms outside the templates are as rare as can be; they only lengthen a unit's vector.
-    weighed = counted.join(F.broadcast(weights), "term", "left")
-    weighed = weighed.withColumn("w", F.col("tf") * F.coalesce("idf", F.log(highest) + 1.0))
+    total, rows = max(1, found.count()), counted.count()
+    seen = stage(counted.groupBy("term").agg(F.count("*").alias("df")), "df")
+    rare = F.log(F.lit(1 + SMOOTH) / (F.coalesce(F.col("df"), F.lit(0)) / F.lit(total) + F.lit(SMOOTH))) + 1.0
+    vocabulary = templates.select("term").distinct()  # words of the templates
+    weights = stage(vocabulary.join(seen, "term", "left").select("term", rare.alias("idf")), "idf")
+    common = F.broadcast(seen.where(F.col("df") > rows * COMMON).select("term", rare.alias("idf")))
+    weighed = counted.join(common, "term").unionByName(
+        counted.join(common, "term", "left_anti").join(seen.select("term", rare.alias("idf")), "term")
+    )
+    weighed = weighed.withColumn("w", F.col("tf") * F.col("idf"))
     lengths = weighed.groupBy("file", "unit").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("length"))
     goal = templates.join(F.broadcast(weights), "term").withColumn("t", F.col("tf") * F.col("idf"))
     goal_length = goal.groupBy("template").agg(F.sqrt(F.sum(F.col("t") * F.col("t"))).alias("goal"))
     goal = goal.select("license", "template", "term", "t").join(goal_length, "template")
-    dots = weighed.where("idf IS NOT NULL").join(F.broadcast(goal), "term").groupBy("file", "unit", "license", "template").agg(
+    dots = weighed.join(F.broadcast(goal), "term").groupBy("file", "unit", "license", "template").agg(
         F.sum(F.col("w") * F.col("t")).alias("dot"), F.first("goal").alias("goal")
     )
     cosine = F.round(F.col("dot") / (F.col("length") * F.col("goal")), 9)
