@@ -14,7 +14,8 @@ def prose(seed, label, n):
 def test_registered():
     names = [n for n in entry.queries() if n.startswith("op") or n == "pipeline"]
     assert names == [
-        "op1_suffixes", "op2_language", "op3_jaccard", "op4_licenses", "op5_fingerprints", "op6_pieces", "op7_packing", "op8_secrets", "op9_topk", "op10_chats", "pipeline",
+        "op1_suffixes", "op2_language", "op3_jaccard", "op4_licenses", "op5_fingerprints", "op6_pieces", "op7_packing", "op8_secrets", "op9_topk", "op10_chats",
+        "op11_tokens", "op12_merkle", "op13_negatives", "pipeline",
     ]
     assert [n for n, _ in corpus_pipeline.STAGES] == ["language_id", "jaccard_join", "suffix_dedup", "secret_scan", "best_fit_packing"]
 
