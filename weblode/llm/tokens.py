@@ -10,8 +10,10 @@ can hold them, and one that wants lengths and places reads no token at all.
 A row's place among all tokens is the offset inside its part plus the tokens of the parts
 before; the latter are one row a part, in a table beside the files.
 
-Tokenizing: no token of a byte-level vocabulary goes over a single space between two other
-characters, so texts fall apart there, and each distinct chunk is tokenized once a task.
+Tokenizing: no token of a byte-level vocabulary goes over a single space or newline between
+two other characters, so texts fall apart there, and each distinct chunk is worked out once a
+task. A new chunk falls apart further where the vocabulary splits letters, digits and marks;
+the library tokenizes each of these atoms once, many in one call with newlines between them.
 
 Cases: null and empty texts have only the end id; null ids come first; rows that repeat an
 id are ordered by a hash of the text, equal rows as they come; texts of any length are
@@ -22,10 +24,12 @@ left out.
 from __future__ import annotations
 
 import json
+import os
 import re
 import uuid
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -42,13 +46,22 @@ PART_BYTES = 1 << 28
 ROW_GROUP_BYTES = 16 << 20
 PAGE_BYTES = 64 << 10
 #: Characters that a batch of output is made of.
-BATCH = 1 << 21
-#: Chunks, and ids of chunks, that a task remembers between batches.
-CACHED = 1 << 17
-CACHED_IDS = 1 << 21
-# A space with white space beside it, or at an end, is no place to cut.
-_UNSAFE = re.compile(r"\s | \s|\A | \Z")
+BATCH = 1 << 20
+#: Chunks and atoms that a task remembers between batches.
+CACHED = 1 << 18
+#: Atoms that the library gets in one text.
+JOINED = 500
+# A space or newline with white space beside it, or at an end, is no place to cut.
+_UNSAFE = re.compile(r"\s[ \n]|[ \n]\s|\A[ \n]|[ \n]\Z")
+_RARE_SPACE = re.compile(r"[\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
+_BESIDE = ("  ", "\n\n", " \n", "\n ", " \t", "\t ", "\n\t", "\t\n", "\n\r", "\r\n", " \r", "\r ")
 _CUT = re.compile(r"(?<=\S) (?=\S)")
+# --- fixed values -----------------------------------------------------------
+# How the vocabulary splits ASCII text.
+ASCII_ATOMS = r"'s|'t|'re|'ve|'m|'ll|'d| ?[A-Za-z]+| ?[0-9]+| ?[^\sA-Za-z0-9]+|\s+(?!\S)|\s+"
+# --- end of fixed values ----------------------------------------------------
+_ATOM = re.compile(ASCII_ATOMS, re.ASCII)
+_PLAIN = re.compile(r" ?[^\s\x1c-\x1f]+")
 
 
 def vocabulary_path(name: str = VOCABULARY) -> str:
@@ -65,37 +78,73 @@ def byte_level(vocabulary: str) -> bool:
     return bool(plain) and all(" " not in t["content"] and not t["lstrip"] and not t["rstrip"] for t in made.get("added_tokens", []))
 
 
+def safe(text: str) -> bool:
+    """Whether every space and newline stands alone between two other characters."""
+    if text[:1] in ("", " ", "\n") or text[-1] in (" ", "\n") or any(pair in text for pair in _BESIDE):
+        return False
+    return not _RARE_SPACE.search(text) or not _UNSAFE.search(text)
+
+
 def chunks(text: str) -> list[str]:
     """Parts of a text that are tokenized alike alone and in it; joined they are the text."""
-    parts = _CUT.split(text) if _UNSAFE.search(text) else text.split(" ")
-    return [parts[0], *[" " + part for part in parts[1:]]]
+    if not safe(text):
+        first, *rest = _CUT.split(text)
+        return [first, *[" " + part for part in rest]]
+    found = []
+    for line in text.split("\n"):
+        first, *rest = line.split(" ")
+        found += [first, *[" " + part for part in rest], "\n"]
+    found.pop()
+    return found
 
 
 class Encoder:
     """Ids of batches of texts."""
 
     def __init__(self, vocabulary: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # tasks are the parallelism
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(vocabulary)
         self.apart = byte_level(vocabulary)
+        added = [re.escape(t["content"]) for t in json.loads(vocabulary).get("added_tokens", [])]
+        self.whole = re.compile("|".join(["[^ -~]", *added]))  # chunks with these are left to the library
+        self.newline = self.plain(["\n"])[0] if self.apart else []
         self.clear()
 
     def clear(self) -> None:
         self.numbers: dict[str, int] = {}
-        self.sizes, self.ids = np.empty(0, np.int64), np.empty(0, np.int32)
-        self.starts = np.empty(0, np.int64)
+        self.atoms: dict[str, list[int]] = {}
+        self.sizes, self.starts = np.empty(0, np.int64), np.empty(0, np.int64)
+        self.ids = np.empty(0, np.int32)
 
     def plain(self, texts: list[str]) -> list[list[int]]:
         return [x.ids for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _learn_atoms(self, new: list[str]) -> None:
+        joined = [a for a in new if _PLAIN.fullmatch(a)] if len(self.newline) == 1 else []
+        for first in range(0, len(joined), JOINED):
+            group = joined[first : first + JOINED]
+            ids = np.array(self.plain(["\n".join(group)])[0], np.int32)
+            edges = [-1, *np.flatnonzero(ids == self.newline[0]).tolist(), len(ids)]
+            ids = ids.tolist()
+            self.atoms.update((a, ids[i + 1 : j]) for a, i, j in zip(group, edges, edges[1:]))
+        alone = [a for a in new if a not in self.atoms]
+        for first in range(0, len(alone), JOINED):
+            self.atoms.update(zip(alone[first : first + JOINED], self.plain(alone[first : first + JOINED])))
+
     def _learn(self, new: list[str]) -> None:
-        found = self.plain(new)
-        for chunk in new:
-            self.numbers[chunk] = len(self.numbers)
-        sizes = np.array([len(x) for x in found], np.int64)
+        search, split = self.whole.search, _ATOM.findall
+        parts = [[chunk] if search(chunk) else split(chunk) for chunk in new]
+        unknown = set(chain.from_iterable(parts)).difference(self.atoms)
+        if unknown:
+            self._learn_atoms(list(unknown))
+        atoms = self.atoms
+        found = [atoms[p[0]] if len(p) == 1 else [i for a in p for i in atoms[a]] for p in parts]
+        self.numbers.update(zip(new, range(len(self.numbers), len(self.numbers) + len(new))))
+        sizes = np.fromiter(map(len, found), np.int64, len(found))
         self.sizes = np.concatenate([self.sizes, sizes])
-        self.ids = np.concatenate([self.ids, np.fromiter((i for x in found for i in x), np.int32, int(sizes.sum()))])
+        self.ids = np.concatenate([self.ids, np.fromiter(chain.from_iterable(found), np.int32, int(sizes.sum()))])
         self.starts = np.cumsum(self.sizes) - self.sizes
 
     def encode(self, texts: list[str], end: int | None) -> tuple[np.ndarray, np.ndarray]:
@@ -104,23 +153,22 @@ class Encoder:
         if not self.apart:
             found = [x + tail for x in self.plain(texts)]
             sizes = np.array([len(x) for x in found], np.int64)
-            return sizes, np.fromiter((i for x in found for i in x), np.int32, int(sizes.sum()))
-        if len(self.numbers) > CACHED or len(self.ids) > CACHED_IDS:
+            return sizes, np.fromiter(chain.from_iterable(found), np.int32, int(sizes.sum()))
+        if len(self.numbers) > CACHED or len(self.atoms) > CACHED:
             self.clear()
-        split = [chunks(t) for t in texts]
-        once: dict[str, None] = {}
-        for parts in split:
-            for part in parts:
-                if part not in self.numbers:
-                    once[part] = None
-        if once:
-            self._learn(list(once))
-        flat = np.fromiter((self.numbers[part] for parts in split for part in parts), np.int64, sum(map(len, split)))
+        flat, counts = [], []
+        for text in texts:
+            before = len(flat)
+            flat += chunks(text)
+            counts.append(len(flat) - before)
+        new = set(flat).difference(self.numbers)
+        if new:
+            self._learn(list(new))
+        flat = np.fromiter(map(self.numbers.__getitem__, flat), np.int64, len(flat))
         sizes = self.sizes[flat]
         ends = np.cumsum(sizes)
         ids = self.ids[np.repeat(self.starts[flat] - (ends - sizes), sizes) + np.arange(int(sizes.sum()))]
-        last = np.cumsum([len(parts) for parts in split]) - 1
-        bounds = ends[last] if len(split) else np.empty(0, np.int64)
+        bounds = ends[np.cumsum(counts) - 1] if counts else np.empty(0, np.int64)
         if tail:
             ids = np.insert(ids, bounds, end).astype(np.int32)
         return np.diff(bounds, prepend=0) + len(tail), ids
