@@ -136,3 +136,16 @@ def test_pieces_of_a_long_text(prose, monkeypatch):
 def test_query(spark, sf):
     docs = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
     check(docs, jaccard.op3_jaccard(spark, sf).collect())
+
+
+def test_parts_without_any_word(make):
+    rows = [(i, t) for i, t in enumerate([None, "", "  ", None, "\n"])]
+    frame = make(rows).repartition(3).unionByName(make([(10, "one two three four five six seven")]).coalesce(1))
+    assert sorted(r.doc_id for r in jaccard.without_near_duplicates(frame).collect()) == [0, 2, 4, 10]
+    assert jaccard.near_duplicates(make(rows).coalesce(1)).count() == 5
+
+
+def test_own_columns_come_back(make):
+    frame = make([(1, "a b c d e f g"), (2, "a b c d e f g")]).selectExpr("*", "doc_id + 5 AS _key", "'k' AS _kept", "7 AS _id")
+    kept = jaccard.without_near_duplicates(frame)
+    assert kept.columns == frame.columns and [(r.doc_id, r._key, r._kept, r._id) for r in kept.collect()] == [(1, 6, "k", 7)]

@@ -58,3 +58,14 @@ def test_query_accuracy(spark):
     held = [r for r in rows if r.held_out]
     assert sum(r.lang_pred == truth[r.doc_id] for r in held) / len(held) > 0.97
     assert sum(not r.accepted for r in rows) / len(rows) < 0.01
+
+
+def test_languages_on_one_id_and_on_null_ids(make, prose):
+    many = texts(prose, "aa", 1000)
+    rows = [(3, t, "aa", "s") for t in many] + [(3, many[0], "aa", "s")] * 2000
+    rows += [(i, t, "bb", "s") for i, t in enumerate(texts(prose, "bb", 100)) if i != 3]
+    rows += [(None, f"zyx wvu tsr {t}", "cc", "s") for t in texts(prose, "bb", 5)]
+    model = language.train(make(rows))
+    assert model.languages == ["aa", "bb", "cc"]
+    got = language.predict(make([(1, texts(prose, "aa", 1001)[-1]), (2, texts(prose, "bb", 101)[-1])]), model).collect()
+    assert [r.lang_pred for r in got] == ["aa", "bb"]

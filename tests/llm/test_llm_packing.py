@@ -81,3 +81,11 @@ def test_query(spark, sf):
         fill[r.bin_id] += r.n_tokens
     assert max(fill.values()) <= packing.CAPACITY and sum(fill.values()) == sum(len((d.text or "").split()) for d in docs)
     assert len(fill) <= 1.1 * (sum(fill.values()) / packing.CAPACITY) + 5
+
+
+def test_one_repeated_row_spreads_over_shards(make):
+    frame = packing.with_measures(make([(7, "the same row")] * 400 + [(i, f"row {i}") for i in range(100, 300)]))
+    packed = packing.best_fit(frame, "doc_id", "_words", "source", "_copies", shard_rows=100).collect()
+    here = Counter(r.bin_id >> 32 for r in packed if r.doc_id == 7)
+    assert sum(here.values()) == 400 and len(here) == 6 and max(here.values()) < 120
+    assert len({r.bin_id for r in packed if r.doc_id == 7}) == 400

@@ -62,6 +62,14 @@ def test_each_stage_takes_effect(spark, make):
     assert all(words[i] == r.text.split() for i, r in kept["secret_scan"].items())
 
 
+def test_repeated_passages_of_short_words_go(spark, make):
+    rng = random.Random(4)
+    passage = " ".join("".join(rng.choices("kalumit", k=rng.choice([2, 3, 4, 5]))) for _ in range(51))
+    docs = make([(1, f"{prose(1, 'aa', 60)} {passage} {prose(2, 'aa', 60)}", "aa", "a"), (2, f"{prose(3, 'aa', 90)} {passage}", "aa", "a"), (3, prose(4, "aa", 90), "aa", "a")])
+    kept = {r.doc_id: r.text for r in corpus_pipeline.without_repeated_passages(spark, docs, None).collect()}
+    assert len(passage) < 260 and all(passage[5:-5] not in kept[i] for i in (1, 2)) and kept[3] == prose(4, "aa", 90)
+
+
 def test_empty_table(spark, make):
     docs = make([])
     for _, stage in corpus_pipeline.STAGES:

@@ -26,6 +26,7 @@ rows are copies; null ids are allowed and come back null; an empty table gives n
 from __future__ import annotations
 
 import math
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -152,7 +153,8 @@ def _labels(classes: DataFrame) -> DataFrame:
                 if len(hashes):
                     rows = signature(hashes).astype(">u4").reshape(TREES, DEPTH)
                     keys.append(key), sizes.append(len(hashes)), labels.append([row.tobytes() for row in rows])
-            yield pd.DataFrame({"key": keys, "size": sizes, "labels": labels})
+            if keys:  # columns of an empty frame would have no type
+                yield pd.DataFrame({"key": keys, "size": sizes, "labels": labels})
 
     return classes.select("key", "text").mapInPandas(run, schema)
 
@@ -485,9 +487,10 @@ def without_near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str
     _, _, classes, _ = join(df, id_col, text_col)
     first = classes.groupBy("class").agg(F.min(F.struct("first_id", "key")).alias("_first"))
     kept = stage(first.select(F.col("_first.first_id").alias("_id"), F.col("_first.key").alias("_kept")), "kept")
-    rows = df.withColumn("_key", text_key(text_col))
-    rows = rows.join(kept, rows[id_col].eqNullSafe(kept["_id"]) & (rows["_key"] == kept["_kept"]), "left_semi")
-    return rows.dropDuplicates([id_col, "_key"]).drop("_key")
+    key = f"key_{uuid.uuid4().hex}"  # no column of the caller's
+    rows = df.withColumn(key, text_key(text_col))
+    rows = rows.join(kept, rows[id_col].eqNullSafe(kept["_id"]) & (rows[key] == kept["_kept"]), "left_semi")
+    return rows.dropDuplicates([id_col, key]).drop(key)
 
 
 def op3_jaccard(spark, sf_dir: str) -> DataFrame:

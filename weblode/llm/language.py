@@ -8,7 +8,7 @@ Prediction uses every subword of the whole text and nothing but the text.
 
 Cases: a null text or one without letters gets ``und``, score 0, not accepted; without
 any labelled row every text gets ``und``; equal texts get equal predictions; a text of any
-length is summed in pieces; null labels are not learned from.
+length is summed in pieces; null labels are not learned from, null ids are ids like others.
 """
 
 from __future__ import annotations
@@ -166,32 +166,34 @@ def is_held_out(id_col: Column) -> Column:
 
 def train(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "lang",
           per_language: int = PER_LANGUAGE) -> Model:
-    """Fit on the ``per_language`` rows of each language with the smallest hashes of the id.
+    """Fit on the ``per_language`` rows of each language with the smallest hashes of id and text.
 
-    Held-out rows and rows without label are never read. Only the subword counts of the
-    sample reach the driver: at most per_language * MOST_LANGUAGES rows of BUCKETS counts.
+    Held-out rows and rows without label are never read; rows without an id are rows like
+    others, repeated rows count once. Only the subword counts of the sample reach the driver:
+    at most per_language * MOST_LANGUAGES rows of BUCKETS counts.
     """
-    allowed = df.where(F.col(label_col).isNotNull() & ~is_held_out(F.col(id_col)))
-    common = allowed.groupBy(label_col).agg(F.count("*").alias("_rows")).orderBy(F.desc("_rows"), label_col).limit(MOST_LANGUAGES)
+    place = F.xxhash64(F.col(id_col), F.coalesce(F.col(text_col), F.lit("")))
+    usable = F.col(label_col).isNotNull() & ~is_held_out(F.col(id_col))
+    allowed = df.where(usable).select(F.col(label_col).alias("label"), F.col(text_col).alias("text"), place.alias("place"))
+    common = allowed.groupBy("label").agg(F.count("*").alias("rows"), F.approx_count_distinct("place").alias("kinds"))
+    common = stage(common.orderBy(F.desc("rows"), "label").limit(MOST_LANGUAGES), "languages")
     # Of a common language only about three times the wanted rows are ranked: those with small hashes.
-    place = F.xxhash64(id_col) / F.lit(2.0**64) + 0.5
-    ids = allowed.select(label_col, id_col).join(F.broadcast(common), label_col).where(place <= 3.0 * per_language / F.col("_rows"))
-    ranked = ids.withColumn(
-        "_rank", F.expr(f"row_number() OVER (PARTITION BY `{label_col}` ORDER BY xxhash64(`{id_col}`), `{id_col}`)")
-    )
-    chosen = stage(ranked.where(F.col("_rank") <= per_language).select(id_col).distinct(), "sample")
+    # ``kinds`` counts different rows, so copies of a few rows do not make the bound too low.
+    share = F.col("place") / F.lit(2.0**64) + 0.5
+    near = allowed.select("label", "place").join(F.broadcast(common), "label").where(share <= 3.0 * per_language / F.col("kinds"))
+    ranked = near.select("label", "place").distinct().withColumn("rank", F.expr("row_number() OVER (PARTITION BY label ORDER BY place)"))
+    chosen = stage(ranked.where(F.col("rank") <= per_language).select("label", "place"), "sample")
     schema = "label string, buckets array<int>, counts array<float>"
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         letters = letter_table()
         for frame in frames:
-            found = [counts(text, letters) for text in frame[text_col]]
-            yield pd.DataFrame({"label": frame[label_col], "buckets": [x for x, _ in found], "counts": [w for _, w in found]})
+            found = [counts(text, letters) for text in frame["text"]]
+            yield pd.DataFrame({"label": frame["label"], "buckets": [x for x, _ in found], "counts": [w for _, w in found]})
 
-    # At most per_language * MOST_LANGUAGES ids: a bounded broadcast.
-    sample = allowed.select(id_col, label_col, text_col).join(F.broadcast(chosen), id_col)
-    sample = sample.groupBy(label_col, id_col).agg(F.min(text_col).alias(text_col))  # of a repeated id one text
-    rows = sample.select(label_col, text_col).mapInPandas(run, schema).toPandas()
+    # At most per_language * MOST_LANGUAGES hashes: a bounded broadcast.
+    sample = allowed.join(F.broadcast(chosen), ["label", "place"]).groupBy("label", "place").agg(F.min("text").alias("text"))
+    rows = sample.select("label", "text").mapInPandas(run, schema).toPandas()
     order = sorted(range(len(rows)), key=lambda i: (rows.label[i], len(rows.buckets[i]), bytes(np.asarray(rows.buckets[i])), bytes(np.asarray(rows["counts"][i]))))
     rows = rows.iloc[order]
     return fit(

@@ -11,6 +11,9 @@ A bin holds at most ``per_source`` documents of a source and one of a cluster. A
 longer than a bin is cut: full pieces fill bins of their own, the rest is packed like a
 document (its cluster keeps it from copies of itself).
 
+The hash takes in where a row stands in the table, so repeated rows are dealt to many shards
+as well.
+
 Cases: null and empty texts have length 0 and are placed like any other row; null
 sources and null clusters conflict with nothing; equal lengths are ordered by id, cluster
 and source; repeated rows are packed each for itself, in different bins if they have a
@@ -80,19 +83,19 @@ def pack(lengths: list[int], sources: list, clusters: list, capacity: int, per_s
     return placed
 
 
-def best_fit(df: DataFrame, id_col: str, length_col: str, source_col: str, cluster_col: str, *,
+def best_fit(df: DataFrame, id_col: str, length: str | Column, source_col: str, cluster: str | Column, *,
              capacity: int = CAPACITY, shard_rows: int = SHARD_ROWS, per_source: int = PER_SOURCE, keep_text: str | None = None) -> DataFrame:
     """One row for each piece: id, piece, pieces, bin_id, bin_offset, n_tokens, and text if ``keep_text`` names its column.
 
-    ``length_col`` is a count of tokens; ``bin_id`` is unique over all shards. The text of an
+    ``length`` is a count of tokens; ``bin_id`` is unique over all shards. The text of an
     uncut document is as it was, that of a piece its words with single spaces.
     """
     text = [F.col(keep_text).alias("_text")] if keep_text else []
     columns = df.select(
-        F.col(id_col), F.col(length_col).cast("bigint").alias("_length"), F.col(source_col).alias("_source"), F.col(cluster_col).alias("_cluster"), *text
+        F.col(id_col), _column(length).cast("bigint").alias("_length"), F.col(source_col).alias("_source"), _column(cluster).alias("_cluster"), *text
     )
     shards = max(1, -(-df.count() // shard_rows))
-    dealt = columns.withColumn("_shard", F.pmod(F.xxhash64(id_col, "_cluster", "_length"), F.lit(shards)).cast("int"))
+    dealt = columns.withColumn("_shard", F.pmod(F.xxhash64(id_col, "_cluster", "_length", F.monotonically_increasing_id()), F.lit(shards)).cast("int"))
     schema = f"{id_col} {df.schema[id_col].dataType.simpleString()}, piece int, pieces int, bin_id bigint, bin_offset bigint, n_tokens bigint"
     schema += ", text string" if keep_text else ""
 
@@ -122,18 +125,30 @@ def best_fit(df: DataFrame, id_col: str, length_col: str, source_col: str, clust
     return dealt.groupBy("_shard").applyInPandas(run, schema)
 
 
+def _column(given: str | Column) -> Column:
+    return F.col(given) if isinstance(given, str) else given
+
+
 def words_between(text: str, first: int, end: int) -> str:
     """Words ``first`` to ``end`` of a text, split as ``n_words`` counts them."""
     return b" ".join(text.encode().split()[first:end]).decode()
 
 
-def with_measures(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """Adds ``_words`` and ``_copies``: the length in words and the cluster of texts equal but for case and white space."""
-    flat = F.lower(F.trim(F.regexp_replace(F.coalesce(F.col(text_col), F.lit("")), r"\s+", " ")))
-    return docs.withColumn("_words", n_words(F.col(text_col))).withColumn("_copies", F.when(flat != "", F.xxhash64(flat)))
+def copies_of(text: Column) -> Column:
+    """The cluster of texts equal but for case and white space; null for texts without words."""
+    flat = F.lower(F.trim(F.regexp_replace(F.coalesce(text, F.lit("")), r"\s+", " ")))
+    return F.when(flat != "", F.xxhash64(flat))
+
+
+def with_measures(docs: DataFrame, text_col: str = "text", words: str = "_words", copies: str = "_copies") -> DataFrame:
+    """Adds the length in words and the cluster of copies, under names that ``docs`` must not have."""
+    taken = {words, copies} & set(docs.columns)
+    if taken:
+        raise ValueError(f"columns {sorted(taken)} exist; name others")
+    return docs.withColumns({words: n_words(F.col(text_col)), copies: copies_of(F.col(text_col))})
 
 
 def op7_packing(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    measured = with_measures(docs.select("doc_id", "text", "source")).select("doc_id", "source", "_words", "_copies")
-    return best_fit(measured, "doc_id", "_words", "source", "_copies")
+    text = F.col("text")
+    return best_fit(docs, "doc_id", n_words(text), "source", copies_of(text))

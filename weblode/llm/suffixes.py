@@ -12,13 +12,17 @@ found blockwise with a difference cover:
    of their first ``width`` bytes, one bucket at a time; equal neighbours are repeats.
 3. Each document gets the union of its repeated strings as removed runs.
 
+A shorter width can be asked for beside ``width``: its repeats (passages) are found first,
+and the suffixes of the larger width are then only those that repeat at the shorter one where
+they start and where they end.
+
 Names are hashes, not ranks of sorted strings: ranks would need the samples' whole text in
 the shuffle. Names have 40 bits and suffixes 64 bits beyond their bucket, and a wrong name
 can only add work; a suffix hash is decisive (two families of 64 bits, buckets by one and
 order by the other).
 
-Rows live in slots of about ``slot_bytes`` of text, kept in a bucketed table, so the three
-passes shuffle no text. A slot sends each distinct hash once, so a hot passage costs one
+Rows live in slots of about ``slot_bytes`` of text, kept in a bucketed table, so the
+passes shuffle no text; buckets grow in number with the text, not in size. A slot sends each distinct hash once, so a hot passage costs one
 entry a slot; of equal texts of ``width`` bytes or more only one takes part, and all are
 removed whole.
 
@@ -41,6 +45,11 @@ from weblode.llm.storage import shuffle_partitions, stage, stage_bucketed
 WIDTH = 400
 COVER_ORDER = 2
 SLOT_BYTES = 1 << 20
+#: Text bytes whose samples and suffixes one bucket holds, where the session's shuffle partitions are fewer.
+BUCKET_BYTES = 1 << 26
+#: Repeats of the shorter width count as passages from so many words (or ``WIDTH`` bytes) on.
+PASSAGE = 200
+PASSAGE_WORDS = 50
 PIECE = 1 << 18
 _BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 _U = np.uint64
@@ -125,30 +134,31 @@ def _bucket(hashes: np.ndarray, buckets: int) -> np.ndarray:
 class Slot:
     """The rows of one slot, in an order that every pass repeats."""
 
-    def __init__(self, rows: pa.Table, replies: pa.Table, width: int, buckets: int):
-        self.width, self.buckets = width, buckets
-        self.cover, self.v = cover_for(width)
-        self.name_width = width - self.v + 1
+    def __init__(self, rows: pa.Table, replies: pa.Table, widths: tuple[int, ...], buckets: int):
+        self.widths, self.width, self.buckets = widths, widths[0], buckets
+        self.cover, self.v = cover_for(self.width)
+        self.name_width = self.width - self.v + 1
         digests = rows.column("digest").to_pylist()
         self.order = sorted(range(len(digests)), key=digests.__getitem__)
         data = rows.column("data")
         self.data = [data[i].as_buffer() for i in self.order]
         kinds, flags = replies.column("kind").to_pylist(), replies.column("flag").to_pylist()
         places, payloads = replies.column("bucket").to_pylist(), replies.column("payload").to_pylist()
-        self.powers = _powers(min(PIECE + width, max(map(len, self.data), default=0)) + 1)
+        self.powers = _powers(min(PIECE + widths[-1], max(map(len, self.data), default=0)) + 1)
         copies = {p: f for k, p, f in zip(kinds, payloads, flags) if k == 0}
-        self.masks = {1: {}, 2: {}}
+        self.masks = {kind: {} for kind in range(1, len(widths) + 2)}
         for kind, place, payload in zip(kinds, places, payloads):
             if kind:
                 self.masks[kind][place] = payload
         # Equal texts: whole ones go, and one of them stands for all.
-        self.whole, self.idle, seen = [], [], set()
-        for i in self.order:
+        self.again, self.idle, seen = [], [], set()
+        for i, text in zip(self.order, self.data):
             digest = digests[i]
-            again = digest in copies and len(data[i].as_buffer()) >= width
-            self.whole.append(again)
-            self.idle.append(len(data[i].as_buffer()) < width or (again and (not copies[digest] or digest in seen)))
+            again = digest in copies
+            self.again.append(again)
+            self.idle.append(len(text) < self.width or (again and (not copies[digest] or digest in seen)))
             seen.add(digest)
+        self.found: dict[int, list[np.ndarray]] = {}
 
     def samples(self) -> list[np.ndarray]:
         """Name of each cover sample of each row that takes part."""
@@ -197,17 +207,26 @@ class Slot:
             found.append(np.flatnonzero(np.cumsum(edges[:-1]) > 0))
         return found
 
-    def suffixes(self) -> tuple[list[np.ndarray], list[np.ndarray], np.ndarray, np.ndarray, np.ndarray]:
+    def narrowed(self, level: int) -> list[np.ndarray]:
+        """Starts of strings of this level's width whose first and last part repeat at the level before."""
+        step, width, found = self.widths[level] - self.widths[level - 1], self.widths[level], []
+        for data, hits in zip(self.data, self.hits(level - 1)):
+            hits = hits[hits <= len(data) - width]
+            found.append(hits[np.isin(hits + step, self.found[level - 1][len(found)], assume_unique=True)])
+        return found
+
+    def suffixes(self, level: int) -> tuple[list[np.ndarray], list[np.ndarray], np.ndarray, np.ndarray, np.ndarray]:
         """Candidate starts and hashes of each row; then the distinct hashes, their buckets and local counts, by bucket."""
-        starts, hashes, others = self.candidates(), [], []
+        width = self.widths[level]
+        starts, hashes, others = self.narrowed(level) if level else self.candidates(), [], []
         for data, wanted in zip(self.data, starts):
             own, other, view = [], [], memoryview(data)
-            for first, end in _pieces(len(view), self.width):
+            for first, end in _pieces(len(view), width):
                 here = wanted[(wanted >= first) & (wanted < end)] - first
                 if len(here):
-                    piece = Hashes(view[first : end + self.width - 1], self.powers)
-                    own.append(piece.at(here, self.width, 1))
-                    other.append(_bucket(piece.at(here, self.width, 0), self.buckets).astype(np.int32))
+                    piece = Hashes(view[first : end + width - 1], self.powers)
+                    own.append(piece.at(here, width, 1))
+                    other.append(_bucket(piece.at(here, width, 0), self.buckets).astype(np.int32))
             hashes.append(np.concatenate(own) if own else np.empty(0, np.uint64))
             others += other
         values, index, counts = np.unique(
@@ -217,27 +236,34 @@ class Slot:
         order = np.argsort(places, kind="stable")
         return starts, hashes, values[order], places[order], counts[order]
 
-    def removed(self) -> list[list[tuple[int, int]]]:
-        """Maximal removed runs of each row, in the order of ``self.order``."""
-        starts, hashes, values, places, counts = self.suffixes()
-        again = np.sort(values[(counts > 1) | self.marked(2, places)])
-        runs = []
-        for data, whole, wanted, own in zip(self.data, self.whole, starts, hashes):
-            if whole:
+    def hits(self, level: int) -> list[np.ndarray]:
+        """Starts of the repeated strings of each row that takes part."""
+        if level not in self.found:
+            starts, hashes, values, places, counts = self.suffixes(level)
+            again = np.sort(values[(counts > 1) | self.marked(2 + level, places)])
+            found = []
+            for wanted, own in zip(starts, hashes):
+                if len(own) and len(again):
+                    at = np.minimum(np.searchsorted(again, own), len(again) - 1)
+                    found.append(wanted[again[at] == own])
+                else:
+                    found.append(np.empty(0, np.int64))
+            self.found[level] = found
+        return self.found[level]
+
+    def repeated(self, level: int) -> list[list[tuple[int, int]]]:
+        """Maximal repeated runs of each row, in the order of ``self.order``."""
+        width, runs = self.widths[level], []
+        for data, again, hits in zip(self.data, self.again, self.hits(level)):
+            if again and len(data) >= width:
                 runs.append([(0, len(data))])
-                continue
-            if not len(own) or not len(again):
-                runs.append([])
-                continue
-            at = np.minimum(np.searchsorted(again, own), len(again) - 1)
-            hits = wanted[again[at] == own]
-            if not len(hits):
+            elif not len(hits):
                 runs.append([])
-                continue
-            # Runs of windows that touch or overlap.
-            gaps = np.flatnonzero(np.diff(hits) > self.width)
-            firsts, lasts = hits[np.concatenate([[0], gaps + 1])], hits[np.concatenate([gaps, [len(hits) - 1]])]
-            runs.append([(int(a), int(b) + self.width) for a, b in zip(firsts, lasts)])
+            else:
+                # Runs of windows that touch or overlap.
+                gaps = np.flatnonzero(np.diff(hits) > width)
+                firsts, lasts = hits[np.concatenate([[0], gaps + 1])], hits[np.concatenate([gaps, [len(hits) - 1]])]
+                runs.append([(int(a), int(b) + width) for a, b in zip(firsts, lasts)])
         return runs
 
 
@@ -281,13 +307,15 @@ SENT = "slot int, bucket int, blob binary"
 _SENT = pa.schema([("slot", pa.int32()), ("bucket", pa.int32()), ("blob", pa.binary())])
 
 
-def _send(rows: DataFrame, replies: DataFrame, width: int, buckets: int, suffixes: bool) -> DataFrame:
+def _send(rows: DataFrame, replies: DataFrame, widths: tuple[int, ...], buckets: int, level: int | None) -> DataFrame:
+    """The distinct hashes of each slot by bucket: of its suffixes at a level, or of its samples."""
+
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         out = {"slot": [], "bucket": [], "blob": []}
         if left.num_rows:
-            slot = Slot(left, right, width, buckets)
-            if suffixes:
-                _, _, values, places, _ = slot.suffixes()
+            slot = Slot(left, right, widths, buckets)
+            if level is not None:
+                _, _, values, places, _ = slot.suffixes(level)
                 blobs = slot.blobs(values, places, 8)
             else:
                 values = np.unique(np.concatenate(slot.samples()))
@@ -300,27 +328,38 @@ def _send(rows: DataFrame, replies: DataFrame, width: int, buckets: int, suffixe
     return rows.select("slot", "digest", "data").groupBy("slot").cogroup(replies.groupBy("slot")).applyInArrow(run, SENT)
 
 
-def find_repeats(df: DataFrame, text_col: str = "text", *, width: int = WIDTH, slot_bytes: int = SLOT_BYTES,
-                 buckets: int | None = None, whole_characters: bool = False) -> DataFrame:
-    """Each row of ``df`` as struct ``row`` with n_bytes, n_removed, runs (array of start, end) and kept (binary).
+def passages(data: bytes | memoryview, runs: list[tuple[int, int]], least_words: int) -> list[tuple[int, int]]:
+    """The runs of at least ``least_words`` words or ``WIDTH`` bytes."""
+    return [(a, b) for a, b in runs if b - a >= WIDTH or len(bytes(data[a:b]).split()) >= least_words]
+
+
+def find_repeats(df: DataFrame, text_col: str = "text", *, width: int = WIDTH, shorter: int | None = None, least_words: int = 0,
+                 slot_bytes: int = SLOT_BYTES, buckets: int | None = None, whole_characters: bool = False) -> DataFrame:
+    """Each row of ``df`` as struct ``row`` with n_bytes, n_removed, runs (array of start, end), passages (likewise) and kept (binary).
 
-    ``whole_characters`` drops from ``kept`` what is no longer a whole UTF-8 character.
-    ``width`` must be at least 16.
+    ``runs`` are covered by repeated strings of ``width`` bytes and removed from ``kept``;
+    ``passages`` by those of ``shorter`` bytes (default: ``width``), as far as they have
+    ``least_words`` words (or ``WIDTH`` bytes, for scripts without spaces). Without ``shorter``
+    the runs are held to ``least_words`` too. ``whole_characters`` drops from ``kept`` what is
+    no longer a whole UTF-8 character. Widths must be at least 16, ``shorter`` below ``width``.
     """
     spark = df.sparkSession
-    buckets = buckets or shuffle_partitions(spark)
+    widths = (width,) if shorter is None else (shorter, width)
+    if min(widths) < 16 or widths[0] > width or (shorter == width):
+        raise ValueError("widths must be at least 16, the shorter one below width")
     names = [f"c{i}" for i in range(len(df.columns))]
     data = F.coalesce(F.col(f"c{df.columns.index(text_col)}").cast("binary"), F.lit(b""))
     inner = df.toDF(*names).withColumn("data", data)
     total = inner.agg(F.sum(F.octet_length("data")).alias("bytes")).first()["bytes"] or 0
     slots = max(1, -(-total // slot_bytes))
+    buckets = buckets or max(shuffle_partitions(spark), -(-total // BUCKET_BYTES))
     passed = [n for n, c in zip(names, df.columns) if c != text_col]
     rows = inner.withColumn("slot", F.pmod(F.xxhash64(*passed, "data"), F.lit(slots)).cast("int"))
     rows = rows.withColumn("digest", F.unhex(F.sha2("data", 256))).drop(f"c{df.columns.index(text_col)}")
     rows = stage_bucketed(rows, "slots", "slot", shuffle_partitions(spark))
 
     # Equal texts: how many there are, and the slot whose copy stands for all.
-    here = rows.where(F.octet_length("data") >= width).groupBy("slot", "digest").agg(F.count("*").alias("n"))
+    here = rows.where(F.octet_length("data") >= widths[0]).groupBy("slot", "digest").agg(F.count("*").alias("n"))
     several = here.groupBy("digest").agg(F.sum("n").alias("n"), F.min("slot").alias("home")).where("n > 1")
     copies = stage(
         here.select("slot", "digest").join(several, "digest").select(
@@ -328,17 +367,21 @@ def find_repeats(df: DataFrame, text_col: str = "text", *, width: int = WIDTH, s
         ),
         "copies",
     )
-    samples = stage(_repeated(_send(rows, copies, width, buckets, False), 5, 1), "samples")
+    samples = stage(_repeated(_send(rows, copies, widths, buckets, None), 5, 1), "samples")
     known = copies.unionByName(samples)
-    ranked = stage(_repeated(_send(rows, known, width, buckets, True), 8, 2), "suffixes")
+    for level in range(len(widths)):
+        known = known.unionByName(stage(_repeated(_send(rows, known, widths, buckets, level), 8, 2 + level), "suffixes"))
 
     kinds = [f for f in rows.schema.fields if f.name in passed]
-    shown = ", ".join([f"{f.name} {f.dataType.simpleString()}" for f in kinds] + ["text binary, n_bytes bigint, n_removed bigint, runs array<struct<start:bigint,end:bigint>>, kept binary"])
+    shown = ", ".join([f"{f.name} {f.dataType.simpleString()}" for f in kinds] + ["text binary, n_bytes bigint, n_removed bigint, runs array<struct<start:bigint,end:bigint>>, passages array<struct<start:bigint,end:bigint>>, kept binary"])
     run_type = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 
     def finish(left: pa.Table, right: pa.Table) -> pa.Table:
-        slot = Slot(left, right, width, buckets)
-        runs = slot.removed()
+        slot = Slot(left, right, widths, buckets)
+        runs, spans = slot.repeated(len(widths) - 1), slot.repeated(0)
+        spans = [passages(data, found, least_words) for data, found in zip(slot.data, map(list, spans))]
+        if len(widths) == 1:
+            runs = spans
         kept = []
         for data, gone in zip(slot.data, runs):
             view, at, parts = memoryview(data), 0, []
@@ -352,15 +395,15 @@ def find_repeats(df: DataFrame, text_col: str = "text", *, width: int = WIDTH, s
         columns += [
             ordered.column("data"), pa.array([len(d) for d in slot.data], pa.int64()),
             pa.array([sum(b - a for a, b in gone) for gone in runs], pa.int64()),
-            pa.array([[{"start": a, "end": b} for a, b in gone] for gone in runs], run_type), pa.array(kept, pa.binary()),
+            *[pa.array([[{"start": a, "end": b} for a, b in x] for x in found], run_type) for found in (runs, spans)], pa.array(kept, pa.binary()),
         ]
-        return pa.table(columns, names=[*passed, "text", "n_bytes", "n_removed", "runs", "kept"])
+        return pa.table(columns, names=[*passed, "text", "n_bytes", "n_removed", "runs", "passages", "kept"])
 
-    cogrouped = rows.groupBy("slot").cogroup(known.unionByName(ranked).groupBy("slot"))
+    cogrouped = rows.groupBy("slot").cogroup(known.groupBy("slot"))
     # Replies come for slots with rows only, so the left side is never empty.
     found = cogrouped.applyInArrow(finish, shown)
     back = [F.col("text").cast("string").alias(c) if c == text_col else F.col(n).alias(c) for n, c in zip(names, df.columns)]
-    return found.select(F.struct(*back).alias("row"), "n_bytes", "n_removed", "runs", "kept")
+    return found.select(F.struct(*back).alias("row"), "n_bytes", "n_removed", "runs", "passages", "kept")
 
 
 def without_repeats(df: DataFrame, text_col: str = "text", **options) -> DataFrame:
@@ -377,8 +420,9 @@ def without_repeats(df: DataFrame, text_col: str = "text", **options) -> DataFra
 
 def op1_suffixes(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    found = find_repeats(docs)
+    found = find_repeats(docs, shorter=PASSAGE, least_words=PASSAGE_WORDS)
     return found.select(
         F.col("row.doc_id").alias("doc_id"), "n_bytes", "n_removed", F.size("runs").cast("bigint").alias("n_spans"),
-        F.sha2("kept", 256).alias("kept_sha256"),
+        F.sha2("kept", 256).alias("kept_sha256"), F.size("passages").cast("bigint").alias("n_passages"),
+        F.aggregate("passages", F.lit(0).cast("bigint"), lambda n, p: n + p["end"] - p["start"]).alias("passage_bytes"),
     )
