@@ -32,8 +32,12 @@ def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def without_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Cuts strings of 400 bytes that occur more than once; documents of which nothing is left go."""
-    cut = suffixes.without_repeats(docs)
+    """Cuts passages that occur more than once; documents of which nothing is left go.
+
+    A passage is what repeated strings of ``suffixes.PASSAGE`` bytes cover, if it has
+    ``suffixes.PASSAGE_WORDS`` words.
+    """
+    cut = suffixes.without_repeats(docs, width=suffixes.PASSAGE, least_words=suffixes.PASSAGE_WORDS)
     return with_length(cut, docs)
 
 
@@ -44,8 +48,8 @@ def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Sequences: where each piece of each document stands, with its words."""
-    measured = packing.with_measures(docs)
-    return packing.best_fit(measured, "doc_id", "_words", "source", "_copies", keep_text="text")
+    text = F.col("text")
+    return packing.best_fit(docs, "doc_id", packing.n_words(text), "source", packing.copies_of(text), keep_text="text")
 
 
 def with_length(changed: DataFrame, like: DataFrame) -> DataFrame:
