@@ -26,7 +26,7 @@ def whole(library, text):
 TEXTS = [
     "", " ", "  ", " a", "a ", "a  b", "a \n b", "a\n\nb c", "it's we'll ' s '' x", "x<|endoftext|>y z", "漢字 😀 é ñ   b", "1 234  5,6 .. -- !", "\t tab \t", "a\x1c b \x1c c",
     "one two three " * 50, "ab" * 5000, "don 't  don't", " lead and trail ", "\r\n x \r\n",
-    "line one\nline two, three.\nfour's 5th 6,7 (eight)", "a\n\n\nb", "\nx", "x\n", "x\ty\nz", "é\nñ x", "a\xa0 b\xa0\nc", "a\x1f\nb c", "end.<|endoftext|>\nnext", "don't\n't 's\ns",
+    "line one\nline two, three.\nfour's 5th 6,7 (eight)", "a\n\n\nb", "\nx", "x\n", "x\ty\nz", "é\nñ x", "a\xa0 b\xa0\nc", "a\x1f\nb c", "end.<|endoftext|>\nnext", "don't\n't 's\ns", "a\x01b c", "\x01",
 ]
 
 

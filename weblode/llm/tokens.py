@@ -13,7 +13,8 @@ before; the latter are one row a part, in a table beside the files.
 Tokenizing: no token of a byte-level vocabulary goes over a single space or newline between
 two other characters, so texts fall apart there, and each distinct chunk is worked out once a
 task. A new chunk falls apart further where the vocabulary splits letters, digits and marks;
-the library tokenizes each of these atoms once, many in one call with newlines between them.
+the library's model tokenizes each of these atoms once. Chunks with other characters go to the
+library as they are.
 
 Cases: null and empty texts have only the end id; null ids come first; rows that repeat an
 id are ordered by a hash of the text, equal rows as they come; texts of any length are
@@ -33,6 +34,7 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -46,11 +48,12 @@ PART_BYTES = 1 << 28
 ROW_GROUP_BYTES = 16 << 20
 PAGE_BYTES = 64 << 10
 #: Characters that a batch of output is made of.
-BATCH = 1 << 20
+BATCH = 1 << 21
 #: Chunks and atoms that a task remembers between batches.
 CACHED = 1 << 18
-#: Atoms that the library gets in one text.
+#: Chunks that the library gets in one call.
 JOINED = 500
+MARK = "\x01"
 # A space or newline with white space beside it, or at an end, is no place to cut.
 _UNSAFE = re.compile(r"\s[ \n]|[ \n]\s|\A[ \n]|[ \n]\Z")
 _RARE_SPACE = re.compile(r"[\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
@@ -59,9 +62,9 @@ _CUT = re.compile(r"(?<=\S) (?=\S)")
 # --- fixed values -----------------------------------------------------------
 # How the vocabulary splits ASCII text.
 ASCII_ATOMS = r"'s|'t|'re|'ve|'m|'ll|'d| ?[A-Za-z]+| ?[0-9]+| ?[^\sA-Za-z0-9]+|\s+(?!\S)|\s+"
+SPACE = "Ġ"
 # --- end of fixed values ----------------------------------------------------
 _ATOM = re.compile(ASCII_ATOMS, re.ASCII)
-_PLAIN = re.compile(r" ?[^\s\x1c-\x1f]+")
 
 
 def vocabulary_path(name: str = VOCABULARY) -> str:
@@ -109,7 +112,6 @@ class Encoder:
         self.apart = byte_level(vocabulary)
         added = [re.escape(t["content"]) for t in json.loads(vocabulary).get("added_tokens", [])]
         self.whole = re.compile("|".join(["[^ -~]", *added]))  # chunks with these are left to the library
-        self.newline = self.plain(["\n"])[0] if self.apart else []
         self.clear()
 
     def clear(self) -> None:
@@ -122,31 +124,46 @@ class Encoder:
         return [x.ids for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _learn_atoms(self, new: list[str]) -> None:
-        joined = [a for a in new if _PLAIN.fullmatch(a)] if len(self.newline) == 1 else []
-        for first in range(0, len(joined), JOINED):
-            group = joined[first : first + JOINED]
-            ids = np.array(self.plain(["\n".join(group)])[0], np.int32)
-            edges = [-1, *np.flatnonzero(ids == self.newline[0]).tolist(), len(ids)]
-            ids = ids.tolist()
-            self.atoms.update((a, ids[i + 1 : j]) for a, i, j in zip(group, edges, edges[1:]))
-        alone = [a for a in new if a not in self.atoms]
-        for first in range(0, len(alone), JOINED):
-            self.atoms.update(zip(alone[first : first + JOINED], self.plain(alone[first : first + JOINED])))
+        one = self.tokenizer.model.tokenize
+        # Printable ASCII stands for itself in a byte-level vocabulary, the space for another mark.
+        self.atoms.update((a, [t.id for t in one(a.replace(" ", SPACE))]) for a in new)
 
     def _learn(self, new: list[str]) -> None:
-        search, split = self.whole.search, _ATOM.findall
-        parts = [[chunk] if search(chunk) else split(chunk) for chunk in new]
-        unknown = set(chain.from_iterable(parts)).difference(self.atoms)
-        if unknown:
-            self._learn_atoms(list(unknown))
-        atoms = self.atoms
+        search, split, atoms = self.whole.search, _ATOM.findall, self.atoms
+        alone = [chunk for chunk in new if search(chunk)]
+        apart = [chunk for chunk in new if not search(chunk)] if alone else new
+        parts = [split(chunk) for chunk in apart]
+        self._learn_atoms(list(set(chain.from_iterable(parts)).difference(atoms)))
         found = [atoms[p[0]] if len(p) == 1 else [i for a in p for i in atoms[a]] for p in parts]
-        self.numbers.update(zip(new, range(len(self.numbers), len(self.numbers) + len(new))))
+        for first in range(0, len(alone), JOINED):
+            found += self.plain(alone[first : first + JOINED])
+        self.numbers.update(zip(apart + alone if alone else apart, range(len(self.numbers), len(self.numbers) + len(new))))
         sizes = np.fromiter(map(len, found), np.int64, len(found))
         self.sizes = np.concatenate([self.sizes, sizes])
         self.ids = np.concatenate([self.ids, np.fromiter(chain.from_iterable(found), np.int32, int(sizes.sum()))])
         self.starts = np.cumsum(self.sizes) - self.sizes
 
+    def _numbered(self, names: list[str]) -> np.ndarray:
+        """The number of each chunk, all of them known."""
+        new = [name for name in dict.fromkeys(names) if name not in self.numbers]
+        if new:
+            self._learn(new)
+        return np.fromiter(map(self.numbers.__getitem__, names), np.int64, len(names))
+
+    def _plain_texts(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(chunks of each text, number of every chunk) of safe texts, by array operations: Python sees distinct chunks only."""
+        # A chunk without a leading space is marked, so that a plain split tells the two kinds apart.
+        lines = pc.replace_substring(pa.array(texts, pa.large_string()), "\n", f" \n {MARK}")
+        marked = pc.binary_join_element_wise(*[pa.scalar(x, pa.large_string()) if isinstance(x, str) else x for x in (MARK, lines, "")])
+        lists = pc.split_pattern(marked, " ")
+        coded = lists.flatten().dictionary_encode()
+        names = [w[1:] if w[:1] == MARK else w if w == "\n" else " " + w for w in coded.dictionary.to_pylist()]
+        return np.asarray(lists.value_lengths()).astype(np.int64), self._numbered(names)[np.asarray(coded.indices)]
+
+    def _other_texts(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        split = [chunks(text) for text in texts]
+        return np.array([len(x) for x in split], np.int64), self._numbered(list(chain.from_iterable(split)))
+
     def encode(self, texts: list[str], end: int | None) -> tuple[np.ndarray, np.ndarray]:
         """(number of ids of each text, all ids one after the other), ``end`` behind each text."""
         tail = [] if end is None else [end]
@@ -156,24 +173,28 @@ class Encoder:
             return sizes, np.fromiter(chain.from_iterable(found), np.int32, int(sizes.sum()))
         if len(self.numbers) > CACHED or len(self.atoms) > CACHED:
             self.clear()
-        flat, counts = [], []
-        for text in texts:
-            before = len(flat)
-            flat += chunks(text)
-            counts.append(len(flat) - before)
-        new = set(flat).difference(self.numbers)
-        if new:
-            self._learn(list(new))
-        flat = np.fromiter(map(self.numbers.__getitem__, flat), np.int64, len(flat))
+        plain = np.array([safe(text) and MARK not in text for text in texts], bool)
+        parts = [(np.flatnonzero(plain), self._plain_texts), (np.flatnonzero(~plain), self._other_texts)]
+        made = [(at, *work([texts[i] for i in at])) for at, work in parts if len(at)]
+        order = np.argsort(np.concatenate([at for at, _, _ in made]))
+        counts = np.concatenate([n for _, n, _ in made])
+        flat = _runs(np.cumsum(counts) - counts, counts, order, np.concatenate([numbers for _, _, numbers in made]))
+        counts = counts[order]
         sizes = self.sizes[flat]
-        ends = np.cumsum(sizes)
-        ids = self.ids[np.repeat(self.starts[flat] - (ends - sizes), sizes) + np.arange(int(sizes.sum()))]
-        bounds = ends[np.cumsum(counts) - 1] if counts else np.empty(0, np.int64)
+        ids = _runs(self.starts, self.sizes, flat, self.ids)
+        bounds = np.cumsum(sizes)[np.cumsum(counts) - 1]
         if tail:
             ids = np.insert(ids, bounds, end).astype(np.int32)
         return np.diff(bounds, prepend=0) + len(tail), ids
 
 
+def _runs(starts: np.ndarray, sizes: np.ndarray, order: np.ndarray, values: np.ndarray) -> np.ndarray:
+    """Stretches of ``values``, each from its start on, one after the other in the given order."""
+    sizes = sizes[order]
+    ends = np.cumsum(sizes)
+    return values[np.repeat(starts[order] - (ends - sizes), sizes) + np.arange(int(sizes.sum()))]
+
+
 def _batches(texts: list[str | None]) -> Iterator[tuple[int, list[str]]]:
     """Stretches of texts of about ``BATCH`` characters."""
     at = 0
