@@ -145,8 +145,8 @@ def located(rows: DataFrame, locations: DataFrame, watermark: str = "1 hour", sa
     return left.join(right, near).select("r.ts", "l.lat", "l.lon", "r.status")
 
 
-def _trigger(once: bool) -> dict:
-    return {"availableNow": True} if once else {"processingTime": POLL_INTERVAL}
+def trigger(once: bool, interval: str = POLL_INTERVAL) -> dict:
+    return {"availableNow": True} if once else {"processingTime": interval}
 
 
 def write_changes(stream: DataFrame, path: str, checkpoint: str, once: bool = False) -> StreamingQuery:
@@ -156,7 +156,7 @@ def write_changes(stream: DataFrame, path: str, checkpoint: str, once: bool = Fa
         batch.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
 
     writer = stream.writeStream.outputMode("update").foreachBatch(save)
-    return writer.option("checkpointLocation", checkpoint).trigger(**_trigger(once)).start()
+    return writer.option("checkpointLocation", checkpoint).trigger(**trigger(once)).start()
 
 
 def read_changes(spark: SparkSession, path: str, *keys: str) -> DataFrame:
@@ -171,4 +171,4 @@ def append_rows(stream: DataFrame, path: str, checkpoint: str, once: bool = Fals
     """Append parsed rows to the stored log table, by day; filters recompute from there."""
     dated = stream.withColumn("log_date", F.to_date("ts"))
     writer = dated.writeStream.format("parquet").partitionBy("log_date").outputMode("append")
-    return writer.option("path", path).option("checkpointLocation", checkpoint).trigger(**_trigger(once)).start()
+    return writer.option("path", path).option("checkpointLocation", checkpoint).trigger(**trigger(once)).start()
