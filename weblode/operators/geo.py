@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -16,6 +17,8 @@ IPV6_GROUPS = 8
 IPV4_BITS, IPV6_BITS = 32, 128
 # --- end of fixed values ----------------------------------------------------
 
+#: Networks of at most so many prefix bits are looked up by block, not by address.
+BLOCK_BITS = {4: 16, 6: 48}
 _KEY_TYPE = "struct<family:int,hi:bigint,lo:bigint>"
 _LONG = "bigint"
 
@@ -147,7 +150,8 @@ def networks_from_cidr(networks: DataFrame, cidr: str = "network") -> DataFrame:
         F.get(parts, F.lit(1)).try_cast("int").alias("given"),
         *_place_columns(networks),
     )
-    keyed = with_address_key(texts, "_address").where("key is not null")
+    keyed = with_address_key(texts, "_address")
+    keyed = keyed.select("given", *_PLACE, F.explode(F.array("key")).alias("key")).where("key is not null")
     full = F.when(F.col("key.family") == 4, IPV4_BITS).otherwise(IPV6_BITS)
     prefixed = keyed.select(F.coalesce("given", full).alias("prefix"), "key", *_PLACE)
     return _one_place(prefixed.select("prefix", network_of(F.col("key"), F.col("prefix")).alias("net"), *_PLACE))
@@ -190,38 +194,44 @@ def distinct_addresses(df: DataFrame, address: str = "ip_address") -> DataFrame:
     return df.select(F.col(address).alias("ip_address")).distinct().where(is_address(F.col("ip_address")))
 
 
+def _longest(keyed: DataFrame, names: list[str], networks: DataFrame, lengths: Column, wanted: Callable[[Column], Column]) -> DataFrame:
+    """``keyed`` with the ``place`` of the longest network of a wanted prefix length that holds ``key``, or null; ``names`` tell its rows apart."""
+    fitting = F.filter("lengths", lambda length: (length["family"] == F.col("key.family")) & wanted(length))
+    tries = keyed.withColumn("lengths", lengths).select(*names, "key", F.explode_outer(fitting).alias("length")).select(
+        *names, F.col("length.prefix").alias("prefix"), network_of(F.col("key"), F.col("length.prefix")).alias("net")
+    )
+    table = networks.select("prefix", "net", F.struct(*_PLACE).alias("place"), F.col("prefix").alias("found"))
+    return tries.join(table, ["prefix", "net"], "left").groupBy(*names).agg(F.max_by("place", "found").alias("place"))
+
+
 def resolve(addresses: DataFrame, networks: DataFrame) -> DataFrame:
     """Location of each address: the longest network that holds it, else empty texts.
 
-    ``addresses`` holds distinct addresses. Each one is looked up at every prefix
-    length the table has (at most 33 + 129), by equality on the network address. No
-    range comparison is left over, so a crowded prefix costs nothing extra, and
-    Spark broadcasts the table only when its size allows.
+    ``addresses`` holds distinct addresses. Networks larger than a block (/16, IPv6 /48) are
+    looked up once a block that occurs, smaller ones once an address, at every prefix length
+    the table has, by equality on the network address. So the keys of a join are never as few
+    as the large networks: /0 meets as many rows as there are blocks, at most 65,536 of IPv4,
+    however many addresses lie in it, and a /17 at most 32,768. Spark broadcasts a side only
+    when its size allows.
     """
     lengths = networks.agg(
         F.collect_set(F.struct(F.col("net.family").alias("family"), "prefix")).alias("lengths")
     ).scalar()
-    keyed = with_address_key(addresses.select("ip_address"), "ip_address").withColumn("lengths", lengths)
-    fitting = F.filter("lengths", lambda length: length["family"] == F.col("key.family"))
-    tries = keyed.select("ip_address", "key", F.explode_outer(fitting).alias("length")).select(
+    block_bits = lambda family: F.when(family == 4, BLOCK_BITS[4]).otherwise(BLOCK_BITS[6])
+    keyed = with_address_key(addresses.select("ip_address"), "ip_address")
+    # The generator pins the key, so that no step below takes the text apart again.
+    keyed = keyed.select("ip_address", F.explode(F.array("key")).alias("key"))
+    keyed = keyed.withColumn("block", F.when(F.col("key").isNotNull(), network_of(F.col("key"), block_bits(F.col("key.family")))))
+    small = _longest(keyed, ["ip_address", "block"], networks, lengths, lambda length: length["prefix"] > block_bits(length["family"]))
+    blocks = small.where(F.col("block").isNotNull()).select("block", F.col("block").alias("key")).distinct()
+    large = _longest(blocks, ["block"], networks, lengths, lambda length: length["prefix"] <= block_bits(length["family"]))
+    placed = small.join(large.select("block", F.col("place").alias("around")), "block", "left").select("ip_address", F.coalesce("place", "around").alias("place"))
+    return placed.select(
         "ip_address",
-        F.col("length.prefix").alias("prefix"),
-        network_of(F.col("key"), F.col("length.prefix")).alias("net"),
-    )
-    place = F.struct(*_PLACE).alias("place")
-    table = networks.select("prefix", "net", place, F.col("prefix").alias("found"))
-    best = F.max_by("place", "found").alias("place")
-    return (
-        tries.join(table, ["prefix", "net"], "left")
-        .groupBy("ip_address")
-        .agg(best)
-        .select(
-            "ip_address",
-            F.coalesce("place.country", F.lit("")).alias("country"),
-            F.coalesce("place.city", F.lit("")).alias("city"),
-            F.col("place.lat").alias("lat"),
-            F.col("place.lon").alias("lon"),
-        )
+        F.coalesce("place.country", F.lit("")).alias("country"),
+        F.coalesce("place.city", F.lit("")).alias("city"),
+        F.col("place.lat").alias("lat"),
+        F.col("place.lon").alias("lon"),
     )
 
 

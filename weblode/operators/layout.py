@@ -59,6 +59,7 @@ CONSUMED = {
 }
 ANY_VARIABLE = r"\S+"
 # --- end of fixed values ----------------------------------------------------
+VARIABLE = re.compile(r"\$(\w*)", re.ASCII)
 
 
 @dataclass(frozen=True)
@@ -83,15 +84,10 @@ def layout_of(log_format: str | None) -> Layout:
     """Layout for a format string; an empty format means the default layout."""
     if not log_format:
         return DEFAULT_LAYOUT
-    fields: list[str] = []
-
-    def translate(token: re.Match) -> str:
-        name = token["name"]
-        if name is None:
-            return re.sub(r"([.*+?^${}()|\[\]\\])", r"\\\1", token[0])
-        pattern, names = CAPTURED.get(name, (CONSUMED.get(name, ANY_VARIABLE), []))
-        fields.extend(names)
-        return pattern
-
-    body = re.sub(r"\$(?P<name>\w*)|[^$]+", translate, log_format, flags=re.ASCII)
-    return Layout("^" + body, tuple(fields))
+    pattern, fields, at = "^", [], 0
+    for variable in VARIABLE.finditer(log_format):
+        kept, names = CAPTURED.get(variable[1], (CONSUMED.get(variable[1], ANY_VARIABLE), []))
+        pattern += re.escape(log_format[at : variable.start()]) + kept
+        fields += names
+        at = variable.end()
+    return Layout(pattern + re.escape(log_format[at:]), tuple(fields))

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from weblode.plans.staging import stage
+
 # --- fixed values -----------------------------------------------------------
 TOP_ENDPOINTS = 50
 TOP_REFERRERS = {"web": 50, "tui": 16}
@@ -59,27 +61,64 @@ def one_method(ranked: DataFrame) -> DataFrame:
     return ranked.agg((F.count_distinct("method") == 1).alias("one_method"))
 
 
+def first_rows(df: DataFrame, n: int, *order: Column) -> DataFrame:
+    """The first ``n`` rows in an order, found without gathering them in one task.
+
+    The rows are range-partitioned and kept as a table. Ranges before the ``n``-th row stay
+    whole; only the one range it falls into is ranked, so no task sees more rows than a range.
+    Fully equal rows are told apart by where they stand, so they spread as well.
+    """
+    if n <= 0:
+        return df.limit(0)
+    place, part = "place_in_table", "range_number"
+    numbered = df.withColumn(place, F.monotonically_increasing_id())
+    keys = [*order, F.asc(place)]
+    ranged = numbered.repartitionByRange(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+    ranged = stage(ranged.withColumn(part, F.spark_partition_id()), "ranges")
+    sizes = sorted((r[part], r["m"]) for r in ranged.groupBy(part).agg(F.count("*").alias("m")).collect())  # one row a range
+    whole, before, edge = [], 0, None
+    for number, m in sizes:
+        if before + m > n:
+            edge = (number, n - before)
+            break
+        whole.append(number)
+        before += m
+    kept = ranged.where(F.col(part).isin(whole))
+    if edge and edge[1]:
+        kept = kept.unionByName(ranged.where(F.col(part) == edge[0]).orderBy(*keys).limit(edge[1]))
+    return kept.drop(place, part)
+
+
 def newest_rows(df: DataFrame, n: int = NEWEST_ROWS, *ties: str) -> DataFrame:
     """The latest rows by time, rows without a time last.
 
-    Counts per hour tell from which hour on there are ``n`` rows; only rows from then
-    on are ranked, because a limit of this size over all tasks would send ``n`` rows
-    from each of them to one. Rows without a time count when there are too few others.
-    Equal times are ordered by ``ties``, by default all columns that can be ordered.
+    Counts by hour, then by second of the hour in question, tell which second the ``n``-th row
+    falls into. Newer rows stay without being ranked; of that second (or of the rows without a
+    time, if there are too few others) the first are taken by ``first_rows``. Equal times are
+    ordered by ``ties``, by default all columns that can be ordered.
     """
     ties = ties or tuple(name for name, kind in df.dtypes if name != "ts" and not kind.startswith(("map", "variant")))
-    hours = df.where("ts IS NOT NULL").groupBy(F.date_trunc("hour", "ts").alias("hour")).agg(F.count("*").alias("m"))
-    newer = F.sum("m").over(Window.orderBy(F.desc("hour"))) - F.col("m")
-    edge = hours.withColumn("newer", newer).agg(
-        F.struct(
-            F.min(F.when(F.col("newer") < n, F.col("hour"))).alias("first"),
-            F.coalesce(F.sum("m"), F.lit(0)).alias("dated"),
-        ).alias("edge")
-    )
-    late = df.withColumn("_edge", edge.scalar()).where(
-        (F.col("ts") >= F.col("_edge.first")) | (F.col("ts").isNull() & (F.col("_edge.dated") < n))
-    )
-    return late.drop("_edge").orderBy(F.desc_nulls_last("ts"), *ties).limit(n)
+
+    def edge(rows: DataFrame, unit: str, wanted: int) -> tuple:
+        """(first instant of the unit that holds the wanted row from the end, rows after it); (None, all rows) if there are too few."""
+        counted = rows.groupBy(F.date_trunc(unit, "ts").alias("at")).agg(F.count("*").alias("m"))
+        newer = F.sum("m").over(Window.orderBy(F.desc("at"))) - F.col("m")
+        reached = counted.withColumn("newer", newer).where((F.col("newer") < wanted) & (F.col("newer") + F.col("m") >= wanted))
+        found = reached.select(F.struct("at", "newer").alias("edge"))
+        row = rows.sparkSession.range(1).select(found.scalar().alias("edge"), counted.agg(F.coalesce(F.sum("m"), F.lit(0)).alias("all")).scalar().alias("all")).first()
+        return (row["edge"]["at"], row["edge"]["newer"]) if row["edge"] else (None, row["all"])
+
+    dated = df.where(F.col("ts").isNotNull())
+    hour, newer = edge(dated, "hour", n)
+    if hour is None:
+        kept, rest = dated, first_rows(df.where(F.col("ts").isNull()), n - newer, *[F.asc(tie) for tie in ties])
+    else:
+        within = dated.where((F.col("ts") >= F.lit(hour)) & (F.col("ts") < F.lit(hour) + F.expr("INTERVAL 1 HOUR")))
+        second, later = edge(within, "second", n - newer)
+        after = F.lit(second) + F.expr("INTERVAL 1 SECOND")
+        kept = dated.where(F.col("ts") >= after)
+        rest = first_rows(within.where((F.col("ts") >= F.lit(second)) & (F.col("ts") < after)), n - newer - later, F.desc("ts"), *[F.asc(tie) for tie in ties])
+    return kept.unionByName(rest).orderBy(F.desc_nulls_last("ts"), *ties)
 
 
 def sort_by_time(df: DataFrame) -> DataFrame:

@@ -62,14 +62,25 @@ def read_named_files(spark: SparkSession, paths: list[str]) -> tuple[DataFrame,
     return lines.where(~error), lines.where(error)
 
 
+def is_folder(path: str) -> bool:
+    """Whether a path is a folder, as its file system says; a path that does not exist counts as one if it has no extension."""
+    spark = SparkSession.getActiveSession()
+    if spark is not None:
+        at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        system = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        if system.exists(at):
+            return system.getFileStatus(at).isDirectory()
+    elif os.path.exists(path):
+        return os.path.isdir(path)
+    return not os.path.splitext(path.rstrip("/"))[1]
+
+
 def log_location(access_path: str | None = None, error_path: str | None = None, kind: str = "access") -> str:
     """Path to read for a kind of log: its own, else the other one if that is a folder, else the default."""
     own, other = (access_path, error_path) if kind == "access" else (error_path, access_path)
     if own:
         return own
-    if other and not os.path.splitext(other.rstrip("/"))[1]:
-        return other
-    return DEFAULT_LOG_DIR
+    return other if other and is_folder(other) else DEFAULT_LOG_DIR
 
 
 def log_file_catalog(spark: SparkSession, path: str) -> DataFrame:
