@@ -49,7 +49,7 @@ def bucket_counts(
     )
 
 
-def _with_rates(series: DataFrame, profile: str) -> DataFrame:
+def with_rates(series: DataFrame, profile: str) -> DataFrame:
     none = F.lit(None).cast("double") if profile == "web" else F.lit(NO_DATA)
     rate = F.when(F.col("total") > 0, F.col("success") / F.col("total")).otherwise(none)
     return series.withColumns({"rate": rate, "other_requests": F.col("requests") - F.col("users")})
@@ -96,10 +96,15 @@ def activity(
         step, _ = web_steps(period, unfiltered if unfiltered is not None else df)
     else:
         step = tui_step(period, df)
-    counts = bucket_counts(df, step, profile, success_range, approximate)
+    return filled_series(bucket_counts(df, step, profile, success_range, approximate), df, step, period)
+
+
+def filled_series(counts: DataFrame, df: DataFrame, step: Column, period: Period) -> DataFrame:
+    """The activity chart from counted buckets; all time spans the rows of ``df`` (its column ``ts``)."""
+    profile = period.profile
     fixed = F.struct(period.start().alias("lo"), period.end().alias("hi")) if period.bounded else None
     span = time_span(df) if fixed is None else fixed
-    return _with_rates(zero_fill(counts, step, span, clip=profile == "tui"), profile)
+    return with_rates(zero_fill(counts, step, span, clip=profile == "tui"), profile)
 
 
 def trend(
@@ -110,7 +115,7 @@ def trend(
 ) -> DataFrame:
     """The same figures at the coarser trend step, without empty buckets."""
     _, step = web_steps(period, unfiltered if unfiltered is not None else df)
-    return _with_rates(bucket_counts(df, step, approximate=approximate), "web")
+    return with_rates(bucket_counts(df, step, approximate=approximate), "web")
 
 
 def consolidate(series: DataFrame, points: int = TREND_POINTS) -> DataFrame:

@@ -126,24 +126,32 @@ def dimension_counts(
     are classified after the aggregation, by the report.
     """
 
-    def entry(dimension: str, key: Column, detailed: bool = False) -> Column:
-        return F.struct(
-            F.lit(dimension).alias("dimension"),
-            key.cast("string").alias("key"),
-            (F.col("method") if detailed else F.lit(None).cast("string")).alias("method"),
+    entries = [
+        F.struct(
+            F.lit(dimension).alias("dimension"), key.cast("string").alias("key"), (F.col("method") if detailed else F.lit(None).cast("string")).alias("method"),
             (F.col("status") if detailed else F.lit(None).cast("int")).alias("status"),
         )
-
-    entries = [
-        entry("endpoint", settings.counted_path(), detailed=True),
-        entry("referrer", F.col("referrer"), detailed=profile == "tui"),
-        entry("version", api_version(F.col("path"), profile)),
-        entry("user_agent", F.col("user_agent")),
-        entry("ip_address", F.col("ip_address")),
-        entry("hour", F.hour("ts")),
-        entry("day_of_week", F.dayofweek("ts") - 1),
-    ]
+        for dimension, key, detailed in dimensions(settings, profile)
+    ]
     counts = df.select(F.inline(F.array(*entries))).groupBy("dimension", "key", "method", "status").agg(_rows())
+    return counts.where(counted_keys(profile))
+
+
+def dimensions(settings: Settings, profile: str) -> list[tuple[str, Column, bool]]:
+    """(name, key, whether method and status count too) of the simple counts."""
+    return [
+        ("endpoint", settings.counted_path(), True),
+        ("referrer", F.col("referrer"), profile == "tui"),
+        ("version", api_version(F.col("path"), profile), False),
+        ("user_agent", F.col("user_agent"), False),
+        ("ip_address", F.col("ip_address"), False),
+        ("hour", F.hour("ts"), False),
+        ("day_of_week", F.dayofweek("ts") - 1, False),
+    ]
+
+
+def counted_keys(profile: str) -> Column:
+    """Which keys a count shows."""
     kept = F.col("key").isNotNull() & (
         F.col("dimension").isin("user_agent", "ip_address")
         | ((F.col("dimension") == "endpoint") & F.lit(profile == "web"))
@@ -152,4 +160,4 @@ def dimension_counts(
     )
     if profile == "tui":
         kept = kept & (~F.col("dimension").isin("endpoint", "referrer") | F.col("status").isNotNull())
-    return counts.where(kept)
+    return kept

@@ -69,7 +69,11 @@ def size_histogram(df: DataFrame) -> DataFrame:
     bounds go to bin -1 instead of a filter, because a filter would be pushed below
     that aggregation and make the logs be read again.
     """
-    counts = size_counts(df)
+    return histogram_of(size_counts(df))
+
+
+def histogram_of(counts: DataFrame) -> DataFrame:
+    """``size_histogram`` of ``size, n``."""
     bounds = (
         ranked_sizes(counts)
         .agg(size_at(LOW_SHARE).alias("lo"), size_at(HIGH_SHARE).alias("hi"))
@@ -89,7 +93,7 @@ def size_histogram(df: DataFrame) -> DataFrame:
     )
 
     last = F.when(by_byte, reach).otherwise(MOST_BINS - 1).cast("int")
-    numbered = df.sparkSession.range(1).select(bounds.alias("bounds")).select(
+    numbered = counts.sparkSession.range(1).select(bounds.alias("bounds")).select(
         "bounds", F.explode(F.sequence(F.lit(0), last)).alias("bin")
     )
     start = low + F.when(by_byte, F.col("bin").cast("double")).otherwise(F.col("bin") * width)

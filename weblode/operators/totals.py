@@ -65,6 +65,12 @@ def totals(
         F.avg(size).alias("size_avg"),
         F.max(size).alias("size_max"),
     )
+    return with_rates(row, period)
+
+
+def with_rates(row: DataFrame, period: Period) -> DataFrame:
+    """Rates, hours and labels beside the counted figures."""
+    profile = period.profile
     no_rate = F.lit(None).cast("double") if profile == "web" else F.lit(-1.0)
     hours = hours_in_range(period)
     first, last = period.labels() if profile == "web" else Period().labels()
