@@ -220,3 +220,39 @@ def write_log_folder(spark: SparkSession, sf_dir: str) -> str:
         for i, found in enumerate(f for f in system.listStatus(source) if f.getPath().getName().startswith("part-")):
             system.rename(found.getPath(), files.Path(f"{folder}/{name.format(i)}"))
     return folder
+
+
+NAMED_FILES = 3
+
+
+def write_named_files(spark: SparkSession, sf_dir: str) -> str:
+    """A folder ``log.d`` with one access and one error log for each remainder of the event number, lines in its order."""
+    folder = f"{shared_dir(spark)}/named-{uuid.uuid4().hex}"
+    files = spark.sparkContext._jvm.org.apache.hadoop.fs
+    part = F.col("event_id") % NAMED_FILES
+    for kind, rows in (("access", access_lines(spark, sf_dir)), ("error", error_lines(spark, sf_dir))):
+        dealt = rows.withColumn("part", part).repartition(NAMED_FILES, "part").sortWithinPartitions("part", "event_id")
+        dealt.select("part", "value").write.partitionBy("part").text(f"{folder}/parts/{kind}")
+        for number in range(NAMED_FILES):
+            source = files.Path(f"{folder}/parts/{kind}/part={number}")
+            system = source.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+            system.mkdirs(files.Path(f"{folder}/log.d"))
+            for found in system.listStatus(source):
+                system.rename(found.getPath(), files.Path(f"{folder}/log.d/{kind}-{number}.log"))
+    return f"{folder}/log.d"
+
+
+# Lines without an address, and their layout.
+NAMELESS_FORMAT = '[$time_local] "$request" $status $body_bytes_sent "$http_referer" "$http_user_agent"'
+
+
+def nameless_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return access_lines(spark, sf_dir).select("event_id", F.regexp_replace("value", r"^\S+ - - ", "").alias("value"))
+
+
+def host_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Host samples under the names their JSON records have."""
+    return host_samples(spark, sf_dir).select(
+        "host", "uptime", "timestamp", F.struct("cpu.model", "cpu.cores", "cpu.speed", "cpu.usage", F.col("cpu.core_usage").alias("coreUsage")).alias("cpu"), "memory",
+        F.transform("disk", lambda d: F.struct(d["filesystem"].alias("filesystem"), d["size"].alias("size"), d["used"].alias("used"), d["mounted_on"].alias("mountedOn"))).alias("disk"),
+    )

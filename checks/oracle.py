@@ -670,5 +670,70 @@ ORACLES["log_files_read"] = (
 )
 
 
+# --- late rows, restarts, rotation, rollups -----------------------------------------
+
+_passed = "(SELECT max(log.ts) - INTERVAL 10 MINUTES FROM log WHERE event_id % 10 < {})"
+ORACLES["stream_late"] = over_log(
+    f"""SELECT {ts("make_timestamp(b * 1000000)")} AS bucket, requests, users, success, total, success / total AS rate FROM f
+    WHERE make_timestamp((b + 3600) * 1000000) <= {_passed.format(10)}""",
+    f"f AS ({figures('3600')})",
+)
+_hour = "date_trunc('hour', log.ts)"
+ORACLES["stream_late_rows"] = over_log(
+    f"""SELECT event_id, {ts(_hour)} AS bucket FROM log
+    WHERE event_id % 10 >= 7 AND {_hour} + INTERVAL 1 HOUR <= CASE event_id % 10
+      WHEN 7 THEN {_passed.format(7)} WHEN 8 THEN {_passed.format(8)} ELSE {_passed.format(9)} END"""
+)
+ORACLES["stream_restarted"] = ORACLES["stream_counts"]
+ORACLES["stream_pending"] = over_log(
+    f"""SELECT {ts("log.ts")} AS ts, CAST(split_part(ip_address, '.', 3) AS DOUBLE) AS lat, CAST(split_part(ip_address, '.', 4) AS DOUBLE) AS lon, status
+    FROM log WHERE CAST(split_part(ip_address, '.', 3) AS INTEGER) < 29 OR CAST(split_part(ip_address, '.', 3) AS INTEGER) % 2 = 0"""
+)
+ORACLES["stream_rotation"] = over_log("SELECT CAST(CAST(ts AS DATE) AS STRING) AS log_date, status, count(*) AS n FROM log GROUP BY 1, 2")
+_cells = f"SELECT '{{}}' AS source, {ts(_hour)} AS bucket, method, path, status, count(*) AS n FROM log WHERE {WEEK} AND method = 'GET' AND {{}} GROUP BY ALL"
+ORACLES["rollup_filters"] = over_log(
+    _cells.format("cells", "status BETWEEN 200 AND 299 AND path LIKE '%/v1/%'") + " UNION ALL " + _cells.format("rows", "referrer = '-'")
+)
+ORACLES["rollup_users"] = over_log(
+    f"SELECT {ts("date_trunc('day', log.ts)")} AS bucket, count(*) AS requests, count(DISTINCT (ip_address, user_agent)) AS users, true AS close FROM log GROUP BY 1"
+)
+ORACLES["rollup_sizes"] = over_log(
+    "SELECT CAST(unnest([0.1, 0.25, 0.5, 0.75, 0.95]) AS DOUBLE) AS share, true AS close FROM (SELECT 1 FROM log LIMIT 1) one"
+)
+
+
+# --- named files, catalogs, layouts without fields --------------------------------
+
+_error_lines = f"errors_ AS ({fx.ERROR_ROWS}), error_ AS (SELECT event_id, " + fx.ERROR_LINE.format(time="strftime(ts, '%Y/%m/%d %H:%M:%S')") + " AS value FROM errors_)"
+_named = f"""WITH {ACCESS_LINES}, {_error_lines}, named AS (
+  SELECT 'access' AS kind, event_id % 3 AS part, value FROM lines_ UNION ALL SELECT 'error' AS kind, event_id % 3 AS part, value FROM error_)"""
+ORACLES["log_file_read"] = f"WITH {ACCESS_LINES} SELECT value, 'access-1.log' AS source_file FROM lines_ WHERE event_id % 3 = 1"
+ORACLES["named_files_read"] = f"""{_named} SELECT kind, concat(kind, '-', part, '.log') AS source_file, count(*) AS n, CAST(sum(length(value)) AS BIGINT) AS chars
+  FROM named WHERE (kind = 'error') = (part = 1) GROUP BY kind, part"""
+ORACLES["log_catalog"] = f"""{_named}, sized AS (SELECT concat(kind, '-', part, '.log') AS name, CAST(sum(length(value) + 1) AS BIGINT) AS size FROM named GROUP BY kind, part)
+  SELECT name, size, '.log' AS extension FROM sized UNION ALL SELECT 'all', CAST(sum(size) AS BIGINT), '' FROM sized"""
+ORACLES["parse_fallback_format"] = over_log(f"SELECT event_id, ip_address, {ts('ts')} AS ts, method, path, status, referrer FROM log")
+ORACLES["parse_without_address"] = over_log(
+    "SELECT 'web' AS profile, count(*) AS n, count(*) AS nameless FROM log UNION ALL SELECT 'tui', CAST(0 AS BIGINT), CAST(0 AS BIGINT)"
+)
+_limited = "least(value, CAST(100 AS DOUBLE))"
+ORACLES["host_samples_read"] = f"""WITH disks AS (
+    SELECT 0 AS disk_number, 'tmp' AS filesystem, 10 AS size, '/tmp' AS mounted_on UNION ALL SELECT 1, 'root', 500, '/')
+  SELECT CAST(user_id % 4 AS STRING) AS host, event_id AS uptime, {ts("ts")} AS timestamp, 'm' AS model, 2 AS cores, CAST(2.5 AS DOUBLE) AS speed, {_limited} AS usage,
+    {_limited} AS core_0, CAST(user_id % 100 AS DOUBLE) AS core_1, 1000 - event_id % 1000 AS free, 1000 - event_id % 1000 AS available, event_id % 1000 AS used,
+    CAST(1000 AS BIGINT) AS total, CAST(disk_number AS INTEGER) AS disk_number, filesystem, CAST(size AS BIGINT) AS size,
+    CASE disk_number WHEN 0 THEN CAST(1 AS BIGINT) ELSE user_id % 500 END AS disk_used, mounted_on FROM events, disks"""
+ORACLES["networks_read"] = over_log(
+    """SELECT ip_address, coalesce(n_name, '') AS country, CASE source WHEN 'city' THEN coalesce(lower(n_name), '') ELSE '' END AS city,
+      CASE WHEN source = 'city' AND n_name IS NOT NULL THEN CAST(1.5 AS DOUBLE) END AS lat, CASE WHEN source = 'city' AND n_name IS NOT NULL THEN CAST(-2.5 AS DOUBLE) END AS lon, source
+    FROM (SELECT DISTINCT ip_address FROM log) a LEFT JOIN nation ON n_nationkey = CAST(split_part(ip_address, '.', 3) AS INTEGER), (SELECT unnest(['city', 'country']) AS source) s"""
+)
+ORACLES["report_trend_rates"] = ORACLES["trend_rates_consolidated"]
+ORACLES["report_success_bins"] = ORACLES["bins50_success"]
+for _part in ("counts", "totals", "activity", "trend", "trend_rates", "sizes"):
+    ORACLES[f"report_{_part}_staged"] = ORACLES[f"report_{_part}"]
+ORACLES["stream_backfill"] = ORACLES["stream_table"]
+
+
 def oracle_sql() -> dict[str, str]:
     return dict(ORACLES)

@@ -28,6 +28,8 @@ from weblode.operators.filters import ErrorFilter, LogFilter, Settings
 from weblode.operators.periods import Period, initial_period
 from weblode.plans import report
 from weblode.sources import files, sinks
+from weblode.sources.hosts import read_host_samples
+from weblode.sources.networks import read_networks
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -721,5 +723,177 @@ def stream_table(spark, sf):
     return stream_checks.replay_table(spark, sf)
 
 
+# --- named files, catalogs, layouts without fields --------------------------------
+
+
+@query
+def log_file_read(spark, sf):
+    """The lines of one file."""
+    return files.read_log_file(spark, f"{fx.write_named_files(spark, sf)}/access-1.log")
+
+
+@query
+def named_files_read(spark, sf):
+    """Access and error lines of files given by name."""
+    folder = fx.write_named_files(spark, sf)
+    access, error = files.read_named_files(spark, [f"{folder}/{name}" for name in ("access-0.log", "error-1.log", "access-2.log")])
+    both = access.withColumn("kind", F.lit("access")).unionByName(error.withColumn("kind", F.lit("error")))
+    return both.groupBy("kind", "source_file").agg(F.count("*").alias("n"), F.sum(F.length("value")).alias("chars"))
+
+
+@query
+def log_catalog(spark, sf):
+    """Files of a folder that is found through the other kind's path, with their sizes and the summary of all."""
+    folder = files.log_location(None, fx.write_named_files(spark, sf))
+    catalog = files.log_file_catalog(spark, folder)
+    total = log_files.file_summary(catalog).select(F.lit("all").alias("name"), F.col("total_size").alias("size"), F.lit("").alias("extension"))
+    return catalog.unionByName(total)
+
+
+@query
+def parse_fallback_format(spark, sf):
+    """An empty layout is the default one."""
+    rows = parse.parse_access(fx.access_lines(spark, sf), "", keep=("event_id",))
+    return with_time_text(rows.select("event_id", "ip_address", "ts", "method", "path", "status", "referrer"), "ts")
+
+
+@query
+def parse_without_address(spark, sf):
+    """Rows of a layout without an address: all in web, none in tui."""
+    found = [
+        parse.parse_access(fx.nameless_lines(spark, sf), fx.NAMELESS_FORMAT, profile).agg(
+            F.lit(profile).alias("profile"), F.count("*").alias("n"), F.count_if(F.col("ip_address") == "").alias("nameless")
+        )
+        for profile in ("web", "tui")
+    ]
+    return found[0].unionByName(found[1])
+
+
+@query
+def host_samples_read(spark, sf):
+    """Every field of host samples read from JSON records."""
+    path = f"{stream_checks.work_dir(spark)}/samples"
+    fx.host_records(spark, sf).write.json(path)
+    rows = read_host_samples(spark, path)
+    wide = rows.select("host", "uptime", time_text("timestamp").alias("timestamp"), "cpu.*", "memory.*", F.posexplode("disk").alias("disk_number", "d"))
+    return wide.select(
+        "host", "uptime", "timestamp", "model", "cores", "speed", "usage", F.get("core_usage", F.lit(0)).alias("core_0"), F.get("core_usage", F.lit(1)).alias("core_1"),
+        "free", "available", "used", "total", "disk_number", "d.filesystem", "d.size", F.col("d.used").alias("disk_used"), "d.mounted_on",
+    )
+
+
+@query
+def networks_read(spark, sf):
+    """Addresses resolved by networks from files: city data, and country data where there is none."""
+    folder = stream_checks.work_dir(spark)
+    nation = fx.table(spark, sf, "nation")
+    text_ = nation.select(F.concat(F.lit("10.0."), "n_nationkey", F.lit(".0/24")).alias("network"), F.col("n_name").alias("country"))
+    text_.withColumns({"city": F.lower("country"), "lat": F.lit(1.5), "lon": F.lit(-2.5)}).write.option("header", True).csv(f"{folder}/city")
+    text_.write.parquet(f"{folder}/country.parquet")
+    addresses = geo.distinct_addresses(fx.access_log(spark, sf))
+    by_city = geo.resolve(addresses, read_networks(spark, f"{folder}/city", f"{folder}/country.parquet"))
+    by_country = geo.resolve(addresses, read_networks(spark, None, f"{folder}/country.parquet"))
+    return by_city.withColumn("source", F.lit("city")).unionByName(by_country.withColumn("source", F.lit("country")))
+
+
+@query
+def report_trend_rates(spark, sf):
+    return report.traffic_report(fx.access_log(spark, sf))["trend_rates"]
+
+
+def _staged_query(part: str) -> Query:
+    """A part of the report that reads the rows once."""
+
+    def run(spark, sf):
+        week = part in ("counts", "totals", "activity")
+        found = report.traffic_report(
+            fx.access_log(spark, sf), LogFilter(WEEK) if week else LogFilter(), locations=fx.locations(spark, sf) if part == "counts" else None, staged=True
+        )[part]
+        if part == "totals":
+            return with_time_text(found.select(*TOTALS), "min_ts", "max_ts")
+        return with_time_text(found.select(*SERIES), "bucket") if part == "activity" else found
+
+    return run
+
+
+for _part in ("counts", "totals", "activity", "trend", "trend_rates", "sizes"):
+    QUERIES[f"report_{_part}_staged"] = _staged_query(_part)
+
+
+@query
+def report_success_bins(spark, sf):
+    return report.traffic_report(fx.access_log(spark, sf, "tui"), LogFilter(ALL_TUI))["success_bins"]
+
+
+@query
+def stream_backfill(spark, sf):
+    """Rows by day of a table that got the compressed logs once and follows the plain ones."""
+    return stream_checks.replay_backfill(spark, sf)
+
+
+@query
+def stream_late(spark, sf):
+    """Closed windows after rows have come days late."""
+    return with_time_text(stream_checks.replay_late(spark, sf).closed(), "bucket")
+
+
+@query
+def stream_late_rows(spark, sf):
+    """The side output: rows that came for windows already closed."""
+    late = stream_checks.replay_late(spark, sf).late_rows()
+    return late.select("event_id", time_text("bucket").alias("bucket"))
+
+
+@query
+def stream_restarted(spark, sf):
+    return stream_checks.replay_restarted(spark, sf)
+
+
+@query
+def stream_pending(spark, sf):
+    return with_time_text(stream_checks.replay_pending(spark, sf), "ts")
+
+
+@query
+def stream_rotation(spark, sf):
+    return stream_checks.replay_rotation(spark, sf)
+
+
+@query
+def rollup_filters(spark, sf):
+    """The same counts from hourly cells and, for a filter they cannot decide, from the rows."""
+    hourly, log = stream_checks.replay_rollup(spark, sf), fx.access_log(spark, sf)
+    by_cells = hourly.cells(LogFilter(WEEK, method="GET", status=((200, 299),), version="v1"), Settings(ignore_404=True))
+    by_rows = hourly.cells(LogFilter(WEEK, method="GET", referrer="-"), stored=log)
+    return by_cells.withColumn("source", F.lit("cells")).unionByName(by_rows.withColumn("source", F.lit("rows"))).select(
+        "source", time_text("bucket").alias("bucket"), "method", "path", "status", "n"
+    )
+
+
+@query
+def rollup_users(spark, sf):
+    """Exact distinct users of each day, and whether the merged sketches are within 3 % of them."""
+    estimated = stream_checks.replay_rollup(spark, sf).users(step="day")
+    exact = fx.access_log(spark, sf).groupBy(F.date_trunc("day", "ts").alias("bucket")).agg(F.count_distinct("ip_address", "user_agent").alias("exact"))
+    close = F.abs(F.col("users") - F.col("exact")) <= F.greatest(F.lit(0.03) * F.col("exact"), F.lit(1))
+    return exact.join(estimated, "bucket").select(time_text("bucket").alias("bucket"), "requests", F.col("exact").alias("users"), close.alias("close"))
+
+
+@query
+def rollup_sizes(spark, sf):
+    """Whether the merged sketches give each quantile of the sizes within 2 % of all ranks."""
+    shares = [0.1, 0.25, 0.5, 0.75, 0.95]
+    estimated = stream_checks.replay_rollup(spark, sf).size_quantiles(shares)
+    # One row of estimates beside the sizes; each size says for every share on which side it lies.
+    asked = estimated.agg(F.sort_array(F.collect_list(F.struct("share", "size"))).alias("asked")).scalar()
+    sized = fx.access_log(spark, sf).where("response_size IS NOT NULL").select("response_size", asked.alias("asked"))
+    each = sized.select("response_size", F.inline("asked"))
+    ranks = each.groupBy("share").agg(
+        F.avg((F.col("response_size") < F.col("size")).cast("int")).alias("below"), F.avg((F.col("response_size") <= F.col("size")).cast("int")).alias("upto")
+    )
+    close = (F.col("below") <= F.col("share") + 0.02) & (F.col("upto") >= F.col("share") - 0.02)
+    return ranks.select("share", close.alias("close"))
+
+
 def queries() -> dict[str, Query]:
     return dict(QUERIES)

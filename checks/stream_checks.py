@@ -4,14 +4,19 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from checks import fixtures as fx
 from weblode.operators.parse import parse_access
+from weblode.plans.staging import stage
 from weblode.session import shared_dir
 from weblode.sources.tail import tail_logs
 from weblode.streaming import streams
+from weblode.streaming.changes import ChangeTable
+from weblode.streaming.late import LateWindows
+from weblode.streaming.pending import located_later
+from weblode.streaming.rollup import HourRollup
 
 
 def work_dir(spark: SparkSession) -> str:
@@ -34,17 +39,19 @@ def event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
 def replay_activity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Hourly activity from the change table of a stream."""
     folder = work_dir(spark)
-    users = streams.user_windows(event_stream(spark, sf_dir), "1 hour")
-    streams.write_changes(users, f"{folder}/users", f"{folder}/checkpoint", once=True).awaitTermination()
-    return streams.windows_from_users(streams.read_changes(spark, f"{folder}/users", *streams.USER_KEYS))
+    table = ChangeTable(spark, f"{folder}/users", streams.USER_KEYS, {"requests": "sum", "success": "sum", "total": "sum"})
+    add = lambda batch: streams.user_windows(batch, "1 hour")
+    table.write(event_stream(spark, sf_dir), f"{folder}/checkpoint", once=True, aggregate=add).awaitTermination()
+    return streams.windows_from_users(table.read())
 
 
 def replay_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Running endpoint counts of a stream."""
+    """Running endpoint counts of a stream with state, whose newest values are kept."""
     folder = work_dir(spark)
+    table = ChangeTable(spark, f"{folder}/counts", ("path", "method", "status"), {"n": "newest"})
     counted = streams.key_counts(event_stream(spark, sf_dir), "path", "method", "status")
-    streams.write_changes(counted, f"{folder}/counts", f"{folder}/checkpoint", once=True).awaitTermination()
-    return streams.read_changes(spark, f"{folder}/counts", "path", "method", "status")
+    table.write(counted, f"{folder}/checkpoint", once=True).awaitTermination()
+    return table.read()
 
 
 def replay_table(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -114,3 +121,134 @@ def replay_hosts(spark: SparkSession, sf_dir: str) -> DataFrame:
     hosts = streams.key_counts(streams.host_stream(spark, f"{folder}/samples"), "host")
     streams.write_changes(hosts, f"{folder}/hosts", f"{folder}/checkpoint", once=True).awaitTermination()
     return streams.read_changes(spark, f"{folder}/hosts", "host")
+
+
+def event_files(spark: SparkSession, sf_dir: str, folder: str, late_from: int) -> str:
+    """The events as two batches of files: those with a number below ``late_from`` of 10, then the others, far too late."""
+    events = fx.table(spark, sf_dir, "events")
+    events.where(f"event_id % 10 < {late_from}").write.parquet(f"{folder}/events")
+    return f"{folder}/events"
+
+
+def events_from(spark: SparkSession, sf_dir: str, folder: str) -> DataFrame:
+    events = spark.readStream.schema(fx.table(spark, sf_dir, "events").schema).parquet(folder)
+    rows = spark.sql(fx.over_frames(fx.ACCESS_ROWS), events=events, pages=fx.table(spark, sf_dir, "pages"))
+    return rows.where("NOT is_malformed")
+
+
+def replay_late(spark: SparkSession, sf_dir: str) -> LateWindows:
+    """Hourly windows that close, and are mended when three tenths of the rows come after all others."""
+    folder = work_dir(spark)
+    source = event_files(spark, sf_dir, folder, 7)
+    windows = LateWindows(spark, f"{folder}/table", "1 hour", "10 minutes", compact_every=2)
+    for batch in ("7", "8", "9"):
+        windows.write(events_from(spark, sf_dir, source), f"{folder}/checkpoint", once=True).awaitTermination()
+        fx.table(spark, sf_dir, "events").where(f"event_id % 10 = {batch}").write.mode("append").parquet(source)
+    windows.write(events_from(spark, sf_dir, source), f"{folder}/checkpoint", once=True).awaitTermination()
+    return windows
+
+
+def replay_rollup(spark: SparkSession, sf_dir: str) -> HourRollup:
+    """Hourly figures of a stream in three batches, merged into a base on the way."""
+    folder = work_dir(spark)
+    source = event_files(spark, sf_dir, folder, 4)
+    rollup = HourRollup(spark, f"{folder}/table", compact_every=2)
+    for first, end in ((4, 7), (7, 10)):
+        rollup.write(events_from(spark, sf_dir, source), f"{folder}/checkpoint", once=True).awaitTermination()
+        fx.table(spark, sf_dir, "events").where(f"event_id % 10 >= {first} AND event_id % 10 < {end}").write.mode("append").parquet(source)
+    rollup.write(events_from(spark, sf_dir, source), f"{folder}/checkpoint", once=True).awaitTermination()
+    return rollup
+
+
+def replay_restarted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Endpoint counts of a stream that starts over with a new checkpoint, before and after its changes are merged."""
+    folder = work_dir(spark)
+    keys = ("path", "method", "status")
+    table = ChangeTable(spark, f"{folder}/counts", keys, {"n": "sum"}, compact_every=2)
+    source = event_files(spark, sf_dir, folder, 6)
+    rows = events_from(spark, sf_dir, source)
+    add = lambda batch: streams.key_counts(batch, *keys)
+    table.write(rows, f"{folder}/first", once=True, aggregate=add).awaitTermination()
+    fx.table(spark, sf_dir, "events").where("event_id % 10 >= 6").write.mode("append").parquet(source)
+    table.write(rows, f"{folder}/first", once=True, aggregate=add).awaitTermination()
+    table.write(rows, f"{folder}/second", once=True, aggregate=add).awaitTermination()
+    table.compact()
+    return table.read()
+
+
+def replay_pending(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Requests placed by a stateful operator: half of the locations come after the requests."""
+    folder = work_dir(spark)
+    octet = F.split("ip_address", r"\.")
+    places = fx.access_log(spark, sf_dir).select("ip_address").distinct().withColumn("located_at", F.lit(fx.AS_OF).cast("timestamp"))
+    places = places.withColumns({"lat": F.get(octet, F.lit(2)).cast("double"), "lon": F.get(octet, F.lit(3)).cast("double")})
+    early = F.col("lat").cast("int") % 2 == 0
+    places.where(early).write.parquet(f"{folder}/places")
+
+    def run() -> None:
+        known = spark.readStream.schema(places.schema).parquet(f"{folder}/places")
+        points = located_later(event_stream(spark, sf_dir).select("ts", "ip_address", "status"), known)
+        writer = points.writeStream.format("parquet").outputMode("append").option("path", f"{folder}/points")
+        writer.option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+
+    run()
+    places.where(~early & (F.col("lat") < 29)).write.mode("append").parquet(f"{folder}/places")
+    run()
+    return spark.read.parquet(f"{folder}/points")
+
+
+def replay_backfill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Compressed logs go to the table first and once, then the stream of plain ones is appended."""
+    folder, logs = work_dir(spark), fx.write_log_folder(spark, sf_dir)
+    streams.backfill_compressed(spark, logs, f"{folder}/log")
+    for _ in range(2):  # the second run finds nothing new
+        streams.append_rows(streams.access_stream(spark, logs), f"{folder}/plain", f"{folder}/checkpoint", once=True).awaitTermination()
+    both = [spark.read.parquet(f"{folder}/{name}").select(F.col("log_date").cast("string").alias("log_date")) for name in ("log", "plain")]
+    return both[0].unionByName(both[1]).groupBy("log_date").agg(F.count("*").alias("n"))
+
+
+LOG_PARTS = 3
+
+
+def put_log_files(spark: SparkSession, lines: DataFrame, upto: int, folder: str, name: str) -> None:
+    """Files of the lines of steps up to ``upto`` and half of the next line, in place of files of that name."""
+    files = spark.sparkContext._jvm.org.apache.hadoop.fs
+    parts = f"{folder}/parts-{uuid.uuid4().hex}"
+    next_line = F.row_number().over(Window.partitionBy("part").orderBy("step", "event_id")) - F.count_if(F.col("step") <= upto).over(Window.partitionBy("part"))
+    text = F.when(F.col("step") <= upto, F.concat("value", F.lit("\n"))).otherwise(F.expr("left(value, 20)"))
+    shown = lines.withColumn("next", next_line).where((F.col("step") <= upto) | (F.col("next") == 1))
+    shown = shown.repartition(LOG_PARTS, "part").sortWithinPartitions("part", "step", "event_id").select("part", text.alias("value"))
+    shown.write.partitionBy("part").option("lineSep", "\x00").text(parts)
+    system = files.Path(parts).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    for part in range(LOG_PARTS):
+        for found in system.listStatus(files.Path(f"{parts}/part={part}")):
+            target = files.Path(f"{folder}/logs/{name.format(part)}")
+            system.mkdirs(target.getParent())
+            system.delete(target, False)
+            system.rename(found.getPath(), target)
+
+
+def replay_rotation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Requests by day and status from log files that grow, end inside a line, are rotated and replaced, read in bounded batches."""
+    folder = work_dir(spark)
+    lines = fx.access_lines(spark, sf_dir).withColumns({"step": F.expr("event_id % 5"), "part": F.expr(f"event_id DIV 5 % {LOG_PARTS}")})
+    lines = stage(lines, "lines")
+    table = ChangeTable(spark, f"{folder}/days", ("log_date", "status"), {"n": "sum"}, compact_every=4)
+    add = lambda batch: batch.groupBy(F.to_date("ts").cast("string").alias("log_date"), "status").agg(F.count("*").alias("n"))
+
+    def follow() -> None:
+        rows = parse_access(tail_logs(spark, f"{folder}/logs", max_bytes=400_000, positions=f"{folder}/positions"))
+        query = table.write(rows, f"{folder}/checkpoint", aggregate=add, interval="0 seconds")
+        query.processAllAvailable()
+        query.stop()
+
+    put_log_files(spark, lines, 0, folder, "access-{}.log")
+    follow()
+    put_log_files(spark, lines, 1, folder, "access-{}.log")  # grown, and the cut line is whole now
+    follow()
+    put_log_files(spark, lines.where("step <= 2"), 2, folder, "access-{}.log.1")  # rotated with what came last
+    put_log_files(spark, lines.where("step = 3"), 3, folder, "access-{}.log")
+    follow()
+    put_log_files(spark, lines.where("step = 4"), 4, folder, "access-{}.log")  # replaced by a new file
+    follow()
+    return table.read()
