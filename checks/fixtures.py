@@ -256,3 +256,48 @@ def host_records(spark: SparkSession, sf_dir: str) -> DataFrame:
         "host", "uptime", "timestamp", F.struct("cpu.model", "cpu.cores", "cpu.speed", "cpu.usage", F.col("cpu.core_usage").alias("coreUsage")).alias("cpu"), "memory",
         F.transform("disk", lambda d: F.struct(d["filesystem"].alias("filesystem"), d["size"].alias("size"), d["used"].alias("used"), d["mounted_on"].alias("mountedOn"))).alias("disk"),
     )
+
+# One agent or more for every rule, with the labels it must get: agent, then client, system and
+# device in web, then client, system and device in tui. ``None`` stands for ``Other``.
+_NO_SYSTEM = (None, None)
+_TOOLS = [
+    ("curl/8.1", "Curl", "Curl"), ("PostmanRuntime/7.2", "Postman", "Postman"), ("insomnia/9.0", "Insomnia", "Insomnia"),
+    ("python-requests/2.9", "Python requests", "Python requests"), ("node-fetch/3", "Nodejs fetch", "Nodejs fetch"), ("aiohttp/3.9", "aiohttp", "aiohttp"),
+    ("Python/3.11 plain", "Python", "Python"), ("Go-http-client/2.0", "Go http", "Go http"), ("go-http-client/1.1", "Go http", "Go http"), ("Java/21", "Java", "Java"),
+    ("axios/1.6", "axios", "axios"), ("Dart/3.1", "Dart", "Dart"), ("OkHttp/5", "OkHttp", "OkHttp"), ("okhttp/4.9", None, "OkHttp"),
+    ("Uptime-Kuma/1.2", "Uptime Kuma", "Uptime Kuma"), ("undici/6", "undici", "undici"), ("Lush/2", "Lush", "Lush"), ("Zabbix 6.4", "Zabbix", "Zabbix"),
+    ("GuzzleHttp/7", "Guzzle", "Guzzle"), ("Better Uptime check", "Uptime", "Uptime"), ("github-camo (77ab)", "GitHub Camo", "GitHub Camo"), ("Ruby 3.2", "Ruby", "Ruby"),
+    ("node 20", "Node.js", "Node.js"), ("Next.js Middleware", "Next.js", "Next.js"), ("Vercel Edge Functions", "Vercel Edge Functions", "Vercel Edge Functions"),
+    ("OpenAI Image Downloader", "OpenAI Image Downloader", "OpenAI Image Downloader"), ("OpenAI fetch", "OpenAI", "OpenAI"),
+    ("TsunamiSecurityScanner", "Tsunami Security Scanner", "Tsunami Security Scanner"), ("something else", None, None), ("Mozilla/5.0 nothing known", None, None),
+]
+_BROWSERS = [
+    ("Seamonkey/2.5", "Seamonkey", "Seamonkey"), ("Firefox/120.0", "Firefox", "Firefox"), ("Chrome/120 Safari/537", "Chrome", "Chrome"), ("Chromium/99 Safari/537", "Chromium", "Chromium"),
+    ("Chrome/120 Safari/537 Edg/120", "Chrome", "Edge"), ("Safari/537 Edg/18", "Safari", "Edge"), ("Chrome/120 OPR/106", "Chrome", "Opera"), ("Opera/12", "Opera", "Opera"),
+    ("iOS/17 app", "iOS", "iOS"), ("Version/17 Safari/605", "Safari", "Safari"), ("(any; MSIE 9.0)", "Internet Explorer", "Internet Explorer"), ("Trident/7.0", "Internet Explorer", "Internet Explorer"),
+    ("Edg/120 alone", "Edge", "Edge"),
+]
+_SYSTEMS = [
+    ("Win16", "Windows 3.11", None, "Windows 3.11", None), ("Windows 95", "Windows 95", "Windows", "Windows 95", None), ("Win95", "Windows 95", None, "Windows 95", None),
+    ("Windows 98", "Windows 98", "Windows", "Windows 98", None), ("Win98", "Windows 98", None, "Windows 98", None), ("Windows ME", "Windows ME", "Windows", "Windows ME", None),
+    ("Windows NT 5.0", "Windows 2000", "Windows", "Windows 2000", "Windows PC"), ("Windows NT 5.1", "Windows XP", "Windows", "Windows XP", "Windows PC"),
+    ("Windows NT 5.2", "Windows Server 2003", "Windows", "Windows Server 2003", "Windows PC"), ("Windows NT 6.0", "Windows Vista", "Windows", "Windows Vista", "Windows PC"),
+    ("Windows NT 6.1", "Windows 7", "Windows", "Windows 7", "Windows PC"), ("Windows NT 6.2", "Windows 8", "Windows", "Windows 8", "Windows PC"),
+    ("Windows NT 6.3", "Windows NT 4.0", "Windows", "Windows 8.1", "Windows PC"), ("Windows NT 10.0", "Windows 10/11", "Windows", "Windows 10/11", "Windows PC"),
+    ("Windows NT 4.0", "Windows NT 4.0", "Windows", "Windows NT 4.0", "Windows PC"), ("OpenBSD amd64", "OpenBSD", None, "OpenBSD", None), ("SunOS sun4u", "SunOS", None, "SunOS", None),
+    ("Linux; Android 14; Phone Mobile", "Android", "Android", "Android", "Android Phone"), ("Linux; Android 13; Slate", "Android", "Android", "Android", "Android Tablet"),
+    ("X11; Linux x86_64", "Linux", None, "Linux", "Linux"), ("Linux armv7l", "Linux", None, "Linux", "Linux"), ("Linux; Tizen/6.0", "Linux", "Samsung", "Linux", "Samsung"),
+    ("Macintosh; Intel", "MacOS", "Mac", "macOS", "Mac"), ("Mac_PowerPC", "MacOS", None, "macOS", "Mac"), ("QNX nto", "QNX", None, "QNX", None), ("BeOS BePC", "BeOS", None, "BeOS", None),
+    ("OS/2 Warp", "OS/2", None, "OS/2", None), ("iPhone; CPU iPhone OS 17_1", "iOS", "iPhone", "iOS", "iPhone"), ("X11; CrOS x86_64", "Linux", None, "ChromeOS", "Chromebook"),
+]
+AGENTS = [
+    *[(agent, web, *_NO_SYSTEM, tui, *_NO_SYSTEM) for agent, web, tui in _TOOLS],
+    *[(f"Mozilla/5.0 {agent}", web, *_NO_SYSTEM, tui, *_NO_SYSTEM) for agent, web, tui in _BROWSERS],
+    *[(f"Mozilla/5.0 ({system}) Firefox/1.0", "Firefox", web, web_device, "Firefox", tui, tui_device) for system, web, web_device, tui, tui_device in _SYSTEMS],
+]
+
+
+def with_agents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every event with one of the agents above, in turn."""
+    agents = spark.createDataFrame([(i, row[0]) for i, row in enumerate(AGENTS)], "place bigint, user_agent string")
+    return table(spark, sf_dir, "events").select((F.col("event_id") % len(AGENTS)).alias("place")).join(agents, "place").select("user_agent")

@@ -193,6 +193,11 @@ for _dimension in LABEL_SQL:
         ORACLES[f"ua_{_dimension}_{_profile}"] = over_log(
             f"SELECT CASE {_cases} WHEN user_agent = '' THEN '{_empty}' END AS {_dimension}, count(*) AS n FROM log GROUP BY 1"
         )
+_texts = lambda row: ", ".join("'Other'" if text is None else f"'{text}'" for text in row)
+_stated = ", ".join(f"({i}, {_texts(row)})" for i, row in enumerate(fx.AGENTS))
+ORACLES["agent_labels"] = f"""WITH stated(place, user_agent, client_web, os_web, device_web, client_tui, os_tui, device_tui) AS (VALUES {_stated})
+  SELECT user_agent, count(*) AS n, client_web, os_web, device_web, client_tui, os_tui, device_tui
+  FROM events JOIN stated ON place = event_id % {len(fx.AGENTS)} GROUP BY ALL"""
 ORACLES["agent_counts"] = over_log(
     " UNION ALL ".join(
         f"SELECT '{name}' AS dimension, {sql['web']} AS label, count(*) AS n FROM log GROUP BY 2"

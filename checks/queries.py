@@ -113,6 +113,15 @@ def agent_counts(spark, sf):
     return counts.agent_counts(fx.access_log(spark, sf))
 
 
+@query
+def agent_labels(spark, sf):
+    """Labels of agents that hit every rule, worked out once an agent."""
+    agent = F.col("user_agent")
+    by_agent = fx.with_agents(spark, sf).groupBy("user_agent").agg(F.count("*").alias("n"))
+    labels = {"client": user_agent.client, "os": user_agent.operating_system, "device": user_agent.device}
+    return by_agent.select("user_agent", "n", *[label(agent, profile).alias(f"{name}_{profile}") for profile in ("web", "tui") for name, label in labels.items()])
+
+
 @query
 def bots(spark, sf):
     agent = F.col("user_agent")
