@@ -354,3 +354,45 @@ def test_host_metrics_and_history(spark):
     assert web.where("host = 'b'").first().disk_percent == 0.0
     kept = hosts.host_history(web, samples=2).where("host = 'a'").orderBy(F.desc("ts")).collect()
     assert [r.cpu_percent for r in kept] == [4.0, 3.0]
+
+
+@pytest.mark.parametrize("n", [0, 1, 5, 39, 40, 41, 70, 200, 500])
+def test_newest_rows_of_a_crowded_second(spark, n):
+    second = at("2024-01-10 08:30:00")
+    rows = [{"ts": second, "path": f"/{i % 120:03d}"} for i in range(300)] + [{"ts": at(f"2024-01-10 {8 + i % 3:02d}:{i:02d}:31"), "path": "/x"} for i in range(30, 59)]
+    rows += [{"ts": None, "path": f"/n{i}"} for i in range(40)]
+    wanted = sorted(rows, key=lambda r: (r["ts"] is None, -(r["ts"] or second).timestamp(), r["path"]))[:n]
+    got = topk.newest_rows(log(spark, rows), n, "path").collect()
+    assert [(r.ts, r.path) for r in got] == [(r["ts"], r["path"]) for r in wanted]
+
+
+def test_first_rows_come_from_many_tasks(spark):
+    frame = spark.range(0, 1000, 1, 8).selectExpr("7 AS same", "id")
+    kept = topk.first_rows(frame, 637, F.asc("same"))
+    sizes = kept.groupBy(F.spark_partition_id()).count().collect()
+    assert sum(r["count"] for r in sizes) == 637 and len(sizes) > 1
+    assert topk.first_rows(frame, 0, F.asc("id")).count() == 0 and topk.first_rows(frame, 5000, F.asc("id")).count() == 1000
+    assert sorted(r.id for r in topk.first_rows(frame, 10, F.desc("id")).collect()) == list(range(990, 1000))
+
+
+def test_large_networks_are_looked_up_by_block(spark):
+    networks = geo.networks_from_cidr(spark.createDataFrame(
+        [("0.0.0.0/0", "ALL"), ("10.0.0.0/8", "TEN"), ("10.1.0.0/16", "ONE"), ("10.1.2.0/24", "TWO"), ("10.1.2.3/32", "SELF"), ("::/0", "SIX"), ("2001:db8::/32", "DOC"), ("2001:db8:0:1::/64", "NET")],
+        "network string, country string",
+    ))
+    addresses = [f"10.{i % 7}.{i % 11}.{i % 250}" for i in range(3000)] + ["10.1.2.3", "192.0.2.1", "2001:db8::1", "2001:db8:0:1::9", "fe80::1", "no address"]
+    frame = spark.createDataFrame([(a,) for a in set(addresses)], "ip_address string")
+    import ipaddress
+
+    tables = [(ipaddress.ip_network(n), c) for n, c in (
+        ("0.0.0.0/0", "ALL"), ("10.0.0.0/8", "TEN"), ("10.1.0.0/16", "ONE"), ("10.1.2.0/24", "TWO"), ("10.1.2.3/32", "SELF"), ("::/0", "SIX"), ("2001:db8::/32", "DOC"), ("2001:db8:0:1::/64", "NET"),
+    )]
+
+    def country(text):
+        try:
+            ip = ipaddress.ip_address(text)
+        except ValueError:
+            return ""
+        return max(((n.prefixlen, c) for n, c in tables if n.version == ip.version and ip in n), default=(0, ""))[1]
+
+    assert {(r.ip_address, r.country) for r in geo.resolve(frame, networks).collect()} == {(a, country(a)) for a in set(addresses)}

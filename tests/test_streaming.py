@@ -245,3 +245,72 @@ def test_stored_stream_and_filter_change(spark, tmp_path):
     stored = spark.read.parquet(table)
     assert stored.where("status = 500").count() == 1
     assert "log_date" in plan(stored)
+
+
+def test_tail_takes_no_more_than_the_limits(tmp_path):
+    for name, n in (("access.log", 10), ("access.log.1", 4), ("access.log.2", 6)):
+        (tmp_path / name).write_text("".join(f"{name} line {i:03d}\n" for i in range(n)))
+
+    def drain(reader, start):
+        """Lines of each batch until nothing is left, and the last offset."""
+        batches = []
+        while True:
+            end = reader.latestOffset()
+            parts = reader.partitions(start, end)
+            if not parts:
+                return batches, end
+            batches.append([line for part in parts for batch in reader.read(part) for line in batch.column(0).to_pylist()])
+            start = end
+
+    reader = tail.LogTailReader(str(tmp_path), "access", 1 << 20, max_bytes=100)
+    assert reader.initialOffset() == {}
+    batches, end = drain(reader, {})
+    assert sorted(x for b in batches for x in b) == sorted(f"{n} line {i:03d}" for n, k in (("access.log", 10), ("access.log.1", 4), ("access.log.2", 6)) for i in range(k))
+    assert len(batches) > 3 and all(sum(len(x) + 1 for x in b) <= 100 for b in batches)
+    # By files, and a line that is longer than the limit.
+    (tmp_path / "access.log.3").write_text("x" * 500 + "\nshort\n")
+    small = tail.LogTailReader(str(tmp_path), "access", 1 << 20, max_bytes=50, max_files=1)
+    small._at = end
+    batches, end = drain(small, end)
+    assert [len(x) for b in batches for x in b] == [500, 5]
+    one = tail.LogTailReader(str(tmp_path), "access", 1 << 20, max_files=1)
+    one.initialOffset()
+    assert sorted(len(b) for b in drain(one, {})[0]) == [2, 4, 6, 10]
+
+
+def test_tail_limits_after_a_restart_and_a_rotation(tmp_path):
+    logs, positions = tmp_path / "logs", str(tmp_path / "positions")
+    logs.mkdir()
+    (logs / "access.log").write_text("".join(f"a{i}\n" for i in range(20)))
+
+    def reader(**options):
+        return tail.LogTailReader(f"file://{logs}", "access", 1 << 20, max_bytes=12, positions=positions, **options)
+
+    def step(one, start):
+        end = one.latestOffset()
+        parts = one.partitions(start, end)
+        return end, [x for p in parts for b in one.read(p) for x in b.column(0).to_pylist()]
+
+    first = reader()
+    at, lines = step(first, first.initialOffset())
+    assert lines == ["a0", "a1", "a2", "a3"]
+    # The file is rotated before the rest of it is read, and a restarted source has only its notes.
+    (logs / "access.log").rename(logs / "access.log.1")
+    (logs / "access.log").write_text("b0\nb1\n")
+    again, seen = reader(), list(lines)
+    for _ in range(12):
+        at, lines = step(again, at)
+        assert sum(len(x) + 1 for x in lines) <= 12
+        seen += lines
+    assert sorted(seen) == sorted([f"a{i}" for i in range(20)] + ["b0", "b1"])
+    # Without notes the first batch after a restart is not bounded.
+    assert tail.LogTailReader(str(logs), "access", 1 << 20, max_bytes=4).latestOffset()["access.log.1"]["end"] == (logs / "access.log.1").stat().st_size
+
+
+def test_tail_through_a_file_system(tailed, spark):
+    folder, _ = tailed
+    (folder / "access.log").write_text("one\n" + "y" * 3_000_000 + "\ntwo\n")
+    reader = tail.LogTailReader(f"file://{folder}", "access", 1 << 20)
+    parts = reader.partitions({}, reader.latestOffset())
+    lines = [x for p in parts for b in reader.read(p) for x in b.column(0).to_pylist()]
+    assert len(parts) == 3 and [len(x) for x in lines] == [3, 3_000_000, 3]

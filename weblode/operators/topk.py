@@ -99,6 +99,9 @@ def newest_rows(df: DataFrame, n: int = NEWEST_ROWS, *ties: str) -> DataFrame:
     """
     ties = ties or tuple(name for name, kind in df.dtypes if name != "ts" and not kind.startswith(("map", "variant")))
 
+    if n <= 0:
+        return df.limit(0)
+
     def edge(rows: DataFrame, unit: str, wanted: int) -> tuple:
         """(first instant of the unit that holds the wanted row from the end, rows after it); (None, all rows) if there are too few."""
         counted = rows.groupBy(F.date_trunc(unit, "ts").alias("at")).agg(F.count("*").alias("m"))
