@@ -16,8 +16,9 @@ A shorter width can be asked for beside ``width``: its repeats (passages) are fo
 and the suffixes of the larger width are then only those that repeat at the shorter one where
 they start and where they end.
 
-Names are hashes, not ranks of sorted strings: ranks would need the samples' whole text in
-the shuffle. Names have 40 bits and suffixes 64 bits beyond their bucket, and a wrong name
+Names are hashes, not ranks of sorted strings: a suffix would have to carry the ranks of all
+samples within a period, which is more than four times the input in one shuffle (figures in the
+README). Names have 40 bits and suffixes 64 bits beyond their bucket, and a wrong name
 can only add work; a suffix hash is decisive (two families of 64 bits, buckets by one and
 order by the other).
 
