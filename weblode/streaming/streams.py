@@ -150,10 +150,17 @@ def trigger(once: bool, interval: str = POLL_INTERVAL) -> dict:
 
 
 def write_changes(stream: DataFrame, path: str, checkpoint: str, once: bool = False) -> StreamingQuery:
-    """Write the keys each batch changed to ``path/batch=<id>``."""
+    """Write the keys each batch changed to ``path/batch=<version>``.
+
+    A version is the epoch of the checkpoint, then the number of the batch, so those of a
+    stream that starts over are newer. ``changes.ChangeTable`` merges its batches; this keeps them.
+    """
+    from weblode.streaming.changes import change_epoch
+
+    first = change_epoch(stream.sparkSession, f"{path}-of", checkpoint) << 40
 
     def save(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+        batch.write.mode("overwrite").parquet(f"{path}/batch={first + batch_id}")
 
     writer = stream.writeStream.outputMode("update").foreachBatch(save)
     return writer.option("checkpointLocation", checkpoint).trigger(**trigger(once)).start()
