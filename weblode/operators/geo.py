@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import datetime as dt
-from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -194,12 +193,10 @@ def distinct_addresses(df: DataFrame, address: str = "ip_address") -> DataFrame:
     return df.select(F.col(address).alias("ip_address")).distinct().where(is_address(F.col("ip_address")))
 
 
-def _longest(keyed: DataFrame, names: list[str], networks: DataFrame, lengths: Column, wanted: Callable[[Column], Column]) -> DataFrame:
-    """``keyed`` with the ``place`` of the longest network of a wanted prefix length that holds ``key``, or null; ``names`` tell its rows apart."""
-    fitting = F.filter("lengths", lambda length: (length["family"] == F.col("key.family")) & wanted(length))
-    tries = keyed.withColumn("lengths", lengths).select(*names, "key", F.explode_outer(fitting).alias("length")).select(
-        *names, F.col("length.prefix").alias("prefix"), network_of(F.col("key"), F.col("length.prefix")).alias("net")
-    )
+def _longest(keyed: DataFrame, names: list[str], networks: DataFrame, prefixes: Column) -> DataFrame:
+    """``keyed`` with the ``place`` of the longest network of one of the ``prefixes`` that holds ``key``, or null; ``names`` tell its rows apart."""
+    tries = keyed.select(*names, "key", F.explode_outer(prefixes).alias("prefix"))
+    tries = tries.select(*names, "prefix", network_of(F.col("key"), F.col("prefix")).alias("net"))
     table = networks.select("prefix", "net", F.struct(*_PLACE).alias("place"), F.col("prefix").alias("found"))
     return tries.join(table, ["prefix", "net"], "left").groupBy(*names).agg(F.max_by("place", "found").alias("place"))
 
@@ -214,17 +211,19 @@ def resolve(addresses: DataFrame, networks: DataFrame) -> DataFrame:
     however many addresses lie in it, and a /17 at most 32,768. Spark broadcasts a side only
     when its size allows.
     """
-    lengths = networks.agg(
-        F.collect_set(F.struct(F.col("net.family").alias("family"), "prefix")).alias("lengths")
-    ).scalar()
     block_bits = lambda family: F.when(family == 4, BLOCK_BITS[4]).otherwise(BLOCK_BITS[6])
+    small_only = networks.where(F.col("prefix") > block_bits(F.col("net.family")))
+    lengths = small_only.agg(F.collect_set(F.struct(F.col("net.family").alias("family"), "prefix")).alias("lengths")).scalar()
     keyed = with_address_key(addresses.select("ip_address"), "ip_address")
     # The generator pins the key, so that no step below takes the text apart again.
     keyed = keyed.select("ip_address", F.explode(F.array("key")).alias("key"))
     keyed = keyed.withColumn("block", F.when(F.col("key").isNotNull(), network_of(F.col("key"), block_bits(F.col("key.family")))))
-    small = _longest(keyed, ["ip_address", "block"], networks, lengths, lambda length: length["prefix"] > block_bits(length["family"]))
+    keyed = keyed.withColumn("lengths", lengths)
+    fitting = F.transform(F.filter("lengths", lambda length: length["family"] == F.col("key.family")), lambda length: length["prefix"])
+    small = _longest(keyed, ["ip_address", "block"], networks, fitting)
     blocks = small.where(F.col("block").isNotNull()).select("block", F.col("block").alias("key")).distinct()
-    large = _longest(blocks, ["block"], networks, lengths, lambda length: length["prefix"] <= block_bits(length["family"]))
+    # Blocks are few, so every length is tried; the table need not be read for those it has.
+    large = _longest(blocks, ["block"], networks, F.sequence(F.lit(0), block_bits(F.col("key.family"))))
     placed = small.join(large.select("block", F.col("place").alias("around")), "block", "left").select("ip_address", F.coalesce("place", "around").alias("place"))
     return placed.select(
         "ip_address",
