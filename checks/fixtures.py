@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import datetime as dt
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -222,23 +223,54 @@ def write_log_folder(spark: SparkSession, sf_dir: str) -> str:
     return folder
 
 
+#: Rows that a task sorts when files are written in order, so that its memory does not follow the input.
+SLICE_ROWS = 100_000
+
+
+def write_in_order(rows: DataFrame, order: tuple[str, ...], folder: str, targets: dict[int, str], line_sep: str = "\n") -> None:
+    """A text file, named below ``folder``, for each number in ``targets``: ``value`` of the rows of that ``part``, in the given order.
+
+    Ranges of the order are sorted and written by tasks of their own. The file system has one
+    writer a file: a task that appends the ranges block by block and holds one block.
+    """
+    spark = rows.sparkSession
+    files = spark.sparkContext._jvm.org.apache.hadoop.fs
+    slices = f"{folder}/slices-{uuid.uuid4().hex}"
+    dealt = rows.repartitionByRange(max(1, -(-rows.count() // SLICE_ROWS)), "part", *order).sortWithinPartitions("part", *order)
+    dealt.select("part", "value").write.partitionBy("part").option("lineSep", line_sep).text(slices)
+
+    def join(numbers: Iterator[int]) -> None:
+        import shutil
+
+        from pyarrow import fs
+
+        system, inner = fs.FileSystem.from_uri(slices) if "://" in slices else (fs.LocalFileSystem(), slices.removeprefix("file:"))
+        for number in numbers:
+            found = system.get_file_info(fs.FileSelector(f"{inner}/part={number}"))
+            with system.open_output_stream(f"{inner}/joined-{number}") as out:
+                for path in sorted(info.path for info in found if info.base_name.startswith("part-")):
+                    with system.open_input_stream(path) as file:
+                        shutil.copyfileobj(file, out, 1 << 20)
+
+    spark.sparkContext.parallelize(list(targets), len(targets)).foreachPartition(join)
+    system = files.Path(slices).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    for number, target in targets.items():
+        placed = files.Path(f"{folder}/{target}")
+        system.mkdirs(placed.getParent())
+        system.delete(placed, False)  # a file of that name is replaced
+        system.rename(files.Path(f"{slices}/joined-{number}"), placed)
+    system.delete(files.Path(slices), True)
+
+
 NAMED_FILES = 3
 
 
 def write_named_files(spark: SparkSession, sf_dir: str) -> str:
     """A folder ``log.d`` with one access and one error log for each remainder of the event number, lines in its order."""
     folder = f"{shared_dir(spark)}/named-{uuid.uuid4().hex}"
-    files = spark.sparkContext._jvm.org.apache.hadoop.fs
-    part = F.col("event_id") % NAMED_FILES
     for kind, rows in (("access", access_lines(spark, sf_dir)), ("error", error_lines(spark, sf_dir))):
-        dealt = rows.withColumn("part", part).repartition(NAMED_FILES, "part").sortWithinPartitions("part", "event_id")
-        dealt.select("part", "value").write.partitionBy("part").text(f"{folder}/parts/{kind}")
-        for number in range(NAMED_FILES):
-            source = files.Path(f"{folder}/parts/{kind}/part={number}")
-            system = source.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-            system.mkdirs(files.Path(f"{folder}/log.d"))
-            for found in system.listStatus(source):
-                system.rename(found.getPath(), files.Path(f"{folder}/log.d/{kind}-{number}.log"))
+        dealt = rows.withColumn("part", F.col("event_id") % NAMED_FILES)
+        write_in_order(dealt, ("event_id",), folder, {number: f"log.d/{kind}-{number}.log" for number in range(NAMED_FILES)})
     return f"{folder}/log.d"
 
 

@@ -6,6 +6,7 @@ import pytest
 from helpers import at, log, plan
 from pyspark.sql import functions as F
 
+from checks import fixtures as fx
 from weblode.operators import hosts, log_files
 from weblode.operators.filters import LogFilter
 from weblode.operators.lookup import lookup
@@ -185,3 +186,23 @@ def test_plans(spark, sf):
         (lookup(events, places, "ip_address", ["country"]), 2),
     ):
         assert round(input_records(spark, frame.collect) / rows, 1) == passes
+
+
+def test_files_written_in_order_by_slices(spark, tmp_path, monkeypatch):
+    """Small slices make many tasks; the files hold the rows of their part in order all the same."""
+    monkeypatch.setattr(fx, "SLICE_ROWS", 7)
+    rows = spark.range(100).select((F.lit(99) - F.col("id")).alias("event_id")).withColumns({"part": F.expr("event_id % 3"), "value": F.expr("concat('line ', event_id)")})
+    monkeypatch.setattr(fx, "access_lines", lambda *_: rows.drop("part"))
+    monkeypatch.setattr(fx, "error_lines", lambda *_: rows.drop("part"))
+    monkeypatch.setattr(fx, "shared_dir", lambda _: str(tmp_path))
+    status = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("in-order", "files in order")
+    folder = fx.write_named_files(spark, "")
+    stages = [s for j in status.getJobIdsForGroup("in-order") for s in status.getJobInfo(j).stageIds]
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    # Rows are sorted by one task for every seven of them, not by one a file.
+    assert max(info.numTasks for s in stages if (info := status.getStageInfo(s))) >= 15
+    for number in range(3):
+        with open(f"{folder}/access-{number}.log") as file:
+            assert file.read() == "".join(f"line {i}\n" for i in range(number, 100, 3))
+    assert sorted(os.listdir(folder)) == sorted(f"{kind}-{n}.log" for kind in ("access", "error") for n in range(3))
