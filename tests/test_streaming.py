@@ -4,7 +4,7 @@ import pytest
 from helpers import at, log, plan
 from pyspark.sql import functions as F
 
-from checks import fixtures as fx
+from checks import fixtures as fx, stream_checks
 from weblode.operators import activity
 from weblode.operators.parse import parse_access
 from weblode.sources import tail
@@ -314,3 +314,25 @@ def test_tail_through_a_file_system(tailed, spark):
     parts = reader.partitions({}, reader.latestOffset())
     lines = [x for p in parts for b in reader.read(p) for x in b.column(0).to_pylist()]
     assert len(parts) == 3 and [len(x) for x in lines] == [3, 3_000_000, 3]
+
+
+def test_rotation_batches_have_counted_columns_and_one_task(spark, tmp_path, monkeypatch):
+    lines = spark.range(60).select(
+        F.col("id").alias("event_id"),
+        F.expr("""concat('10.0.0.1 - - [30/Jan/2024:10:00:00 +0000] "GET /', id, ' HTTP/1.1" ', 200 + id % 2, ' 5 "-" "curl/8"')""").alias("value"),
+    )
+    monkeypatch.setattr(fx, "access_lines", lambda *_: lines)
+    seen, write = [], stream_checks.ChangeTable.write
+
+    def watched(self, stream, checkpoint, once=False, aggregate=None, **options):
+        def add(batch):
+            seen.append((batch.columns, aggregate(batch)._jdf.queryExecution().executedPlan().toString()))
+            return aggregate(batch)
+
+        return write(self, stream, checkpoint, once, add, **options)
+
+    monkeypatch.setattr(stream_checks.ChangeTable, "write", watched)
+    found = stream_checks.replay_rotation(spark, "").collect()
+    assert sorted((r.log_date, r.status, r.n) for r in found) == [("2024-01-30", 200, 30), ("2024-01-30", 201, 30)]
+    # All columns of a batch are computed, so it must not carry labels; 400 kB need no shuffle.
+    assert len(seen) >= 4 and all(columns == ["ts", "status"] and "Exchange" not in plan for columns, plan in seen)
