@@ -149,3 +149,16 @@ def test_own_columns_come_back(make):
     frame = make([(1, "a b c d e f g"), (2, "a b c d e f g")]).selectExpr("*", "doc_id + 5 AS _key", "'k' AS _kept", "7 AS _id")
     kept = jaccard.without_near_duplicates(frame)
     assert kept.columns == frame.columns and [(r.doc_id, r._key, r._kept, r._id) for r in kept.collect()] == [(1, 6, "k", 7)]
+
+
+@pytest.mark.parametrize("block", [4, 1 << 17])
+def test_components_of_a_chain_in_blocks(spark, monkeypatch, block):
+    """Links of one block are connected in one step; a chain over many blocks comes out the same."""
+    monkeypatch.setattr(jaccard, "LINKS", block)
+    steps, stage = [], jaccard.stage
+    monkeypatch.setattr(jaccard, "stage", lambda df, name: steps.append(name) or stage(df, name))
+    pairs = [(f"{i:03d}", f"{i + 1:03d}") for i in range(30)] + [("x", "y"), ("x", "y"), ("z", "x"), ("w", "w")]
+    found = jaccard.components(spark.createDataFrame(pairs, "a string, b string")).collect()
+    assert sorted((r["key"], r["class"]) for r in found) == sorted([(f"{i:03d}", "000") for i in range(31)] + [(k, "x") for k in "xyz"])
+    assert block == 4 or len(steps) == 1
+    assert jaccard.components(spark.createDataFrame([], "a string, b string")).count() == 0

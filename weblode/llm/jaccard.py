@@ -49,6 +49,8 @@ SMALL = 8
 BLOCK = 128
 CELL = 0.01
 COLUMNS = 1 << 14
+#: Links that one task connects.
+LINKS = 1 << 17
 _U = np.uint64
 _SPACES = np.isin(np.arange(256), np.frombuffer(b" \t\n\r\x0b\x0c", np.uint8))
 
@@ -307,13 +309,47 @@ def _verified(pairs: DataFrame, docs: DataFrame, threshold: float) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").select("a", "b", "text", "other").mapInPandas(run, "a string, b string, similarity double")
 
 
+def _stars(links: DataFrame, blocks: int) -> DataFrame:
+    """(a, b) of every text b of a block of links and the smallest text a that the block connects it to."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        root: dict[str, str] = {}
+
+        def top(x: str) -> str:
+            while root.setdefault(x, x) != x:
+                root[x] = x = root[root[x]]
+            return x
+
+        for frame in frames:
+            for a, b in zip(frame["a"], frame["b"]):
+                x, y = top(a), top(b)
+                root[max(x, y)] = min(x, y)
+        out = [(top(x), x) for x in list(root)]
+        if out:
+            yield pd.DataFrame([(a, b) for a, b in out if a != b], columns=["a", "b"])
+
+    return links.repartition(blocks).mapInPandas(run, "a string, b string")
+
+
 def components(links: DataFrame) -> DataFrame:
     """key and class (smallest key connected) of every linked key.
 
-    Alternates joining every neighbour that is larger to the smallest neighbour, and every
+    Blocks of ``LINKS`` links are connected in a task each. With several blocks, rounds
+    alternate joining every neighbour that is larger to the smallest neighbour, and every
     neighbour that is smaller, until nothing changes; each round is written out.
     """
-    edges = stage(links.select("a", "b").where("a <> b").distinct(), "links")
+    edges = links.select("a", "b").where("a <> b")
+    blocks = max(1, -(-edges.count() // LINKS))
+    edges = stage(_stars(edges, blocks), "links")
+    if blocks > 1:
+        edges = _joined(edges)
+    return edges.groupBy("b").agg(F.min("a").alias("class")).select(F.col("b").alias("key"), "class").unionByName(
+        edges.select(F.col("a").alias("key"), F.col("a").alias("class")).distinct()
+    )
+
+
+def _joined(edges: DataFrame) -> DataFrame:
+    """(a, b) of the smallest text connected and every other one."""
     before = None
     while True:
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
@@ -328,11 +364,8 @@ def components(links: DataFrame) -> DataFrame:
         edges = stage(small.where("a <> b").distinct(), "links")
         now = edges.agg(F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("s")).first()
         if now == before:
-            break
+            return edges
         before = now
-    return edges.groupBy("b").agg(F.min("a").alias("class")).select(F.col("b").alias("key"), "class").unionByName(
-        edges.select(F.col("a").alias("key"), F.col("a").alias("class")).distinct()
-    )
 
 
 def join(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
