@@ -1,4 +1,5 @@
 import glob
+import random
 import zlib
 
 import numpy as np
@@ -44,6 +45,27 @@ def test_chunks_are_tokenized_as_in_the_whole_text(library, vocabulary, monkeypa
     assert not tokens.byte_level(open(tokens.vocabulary_path("word_bpe_49k.json"), encoding="utf-8").read())
 
 
+def test_only_new_atoms_and_special_strings_reach_the_library(library, vocabulary, monkeypatch):
+    texts = ["Où étaient-ils l'été ? Là\u00a0!\n", "x\u3000 y", "漢字 और ½Ⅷ²", "a\u2003\u2003b 'tis 'll's 's", *(t for t in TEXTS if "<|" not in t)]
+    encoder = tokens.worker_encoder(vocabulary)
+    assert tokens.worker_encoder(vocabulary) is encoder  # the next task of the worker
+    # Texts without special strings, whatever their letters and white space, are no work for the whole tokenizer.
+    monkeypatch.setattr(encoder, "plain", lambda rest: pytest.fail(f"tokenized whole: {rest}"))
+    first = encoder.encode(texts, 2)
+    # Atoms that are known are no work for the library at all.
+    monkeypatch.setattr(encoder, "_learn", lambda new: pytest.fail(f"tokenized again: {new}"))
+    for sizes, ids in (first, encoder.encode(texts, 2)):
+        assert [list(x) for x in np.split(ids, np.cumsum(sizes)[:-1])] == [whole(library, t) for t in texts]
+
+
+def test_atoms_are_the_librarys(library, vocabulary):
+    draw = random.Random(5)
+    pieces = [" ", " ", "\n", "'", "s", "t", "re", "ll", "S", "x", "1", ".", "é", "漢", "😀", "\u00a0", "\u3000", "\t", "\x1c", "\x85", "½", "\u0301", "'s", "<|endoftext|>"]
+    texts = ["".join(draw.choices(pieces[: draw.choice([10, len(pieces)])], k=draw.randint(0, 25))) for _ in range(1500)]
+    sizes, ids = tokens.Encoder(vocabulary).encode(texts, 2)
+    assert [list(x) for x in np.split(ids, np.cumsum(sizes)[:-1])] == [whole(library, t) for t in texts]
+
+
 def written(spark, frame, tmp_path, **options):
     path = str(tmp_path / "out")
     tokens.write_tokens(frame, path, **options)

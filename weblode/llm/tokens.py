@@ -10,11 +10,12 @@ can hold them, and one that wants lengths and places reads no token at all.
 A row's place among all tokens is the offset inside its part plus the tokens of the parts
 before; the latter are one row a part, in a table beside the files.
 
-Tokenizing: no token of a byte-level vocabulary goes over a single space or newline between
-two other characters, so texts fall apart there, and each distinct chunk is worked out once a
-task. A new chunk falls apart further where the vocabulary splits letters, digits and marks;
-the library's model tokenizes each of these atoms once. Chunks with other characters go to the
-library as they are.
+Tokenizing: the places where the vocabulary splits letters, digits, marks and white space are
+found for a whole batch by array operations on its bytes; what a character counts as, the
+library's own patterns say. The atoms between them are looked up in one table, and the library's
+model tokenizes those not met yet, many in a call; the table is dropped after a task, a Python
+worker keeps the vocabulary. Texts with strings of special tokens are cut between words first,
+and the parts with such strings go to the library as they are.
 
 Cases: null and empty texts have only the end id; null ids come first; rows that repeat an
 id are ordered by a hash of the text, equal rows as they come; texts of any length are
@@ -30,7 +31,8 @@ import re
 import uuid
 import zlib
 from collections.abc import Iterator
-from itertools import chain
+from functools import lru_cache
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -47,24 +49,24 @@ END_ID = 2
 PART_BYTES = 1 << 28
 ROW_GROUP_BYTES = 16 << 20
 PAGE_BYTES = 64 << 10
-#: Characters that a batch of output is made of.
+#: Text bytes that a batch of output is made of.
 BATCH = 1 << 21
-#: Chunks and atoms that a task remembers between batches.
+#: Atoms, and bytes of them, that a task remembers between batches.
 CACHED = 1 << 18
-#: Chunks that the library gets in one call.
+CACHED_BYTES = 1 << 26
+#: Atoms that the library gets in one call.
 JOINED = 500
-MARK = "\x01"
 # A space or newline with white space beside it, or at an end, is no place to cut.
 _UNSAFE = re.compile(r"\s[ \n]|[ \n]\s|\A[ \n]|[ \n]\Z")
 _RARE_SPACE = re.compile(r"[\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
 _BESIDE = ("  ", "\n\n", " \n", "\n ", " \t", "\t ", "\n\t", "\t\n", "\n\r", "\r\n", " \r", "\r ")
 _CUT = re.compile(r"(?<=\S) (?=\S)")
+OTHER, LETTER, DIGIT, SPACE, UNKNOWN = range(5)
 # --- fixed values -----------------------------------------------------------
-# How the vocabulary splits ASCII text.
-ASCII_ATOMS = r"'s|'t|'re|'ve|'m|'ll|'d| ?[A-Za-z]+| ?[0-9]+| ?[^\sA-Za-z0-9]+|\s+(?!\S)|\s+"
-SPACE = "Ġ"
+# How byte-level vocabularies split text: what counts as a letter, digit or white space, endings after an apostrophe.
+PATTERNS = {LETTER: r"\p{L}", DIGIT: r"\p{N}", SPACE: r"\s"}
+ENDINGS = ("s", "t", "m", "d", "re", "ve", "ll")
 # --- end of fixed values ----------------------------------------------------
-_ATOM = re.compile(ASCII_ATOMS, re.ASCII)
 
 
 def vocabulary_path(name: str = VOCABULARY) -> str:
@@ -101,68 +103,150 @@ def chunks(text: str) -> list[str]:
     return found
 
 
+def byte_characters() -> np.ndarray:
+    """The character that stands for each byte in a byte-level vocabulary."""
+    shown = np.r_[33:127, 161:173, 174:256]
+    table = np.zeros(256, np.uint32)
+    table[shown] = shown
+    table[np.setdiff1d(np.arange(256), shown)] = 256 + np.arange(256 - len(shown))
+    return table
+
+
 class Encoder:
     """Ids of batches of texts."""
 
     def __init__(self, vocabulary: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # tasks are the parallelism
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
+        made = json.loads(vocabulary)
         self.tokenizer = Tokenizer.from_str(vocabulary)
-        self.apart = byte_level(vocabulary)
-        added = [re.escape(t["content"]) for t in json.loads(vocabulary).get("added_tokens", [])]
-        self.whole = re.compile("|".join(["[^ -~]", *added]))  # chunks with these are left to the library
+        self.added = [t["content"] for t in made.get("added_tokens", [])]
+        self.model = Tokenizer(self.tokenizer.model)  # takes atoms, one a line, as the vocabulary spells them
+        self.model.pre_tokenizer = pre_tokenizers.CharDelimiterSplit("\n")
+        self.spelled = byte_characters()
+        names = self.tokenizer.get_vocab(with_added_tokens=False)
+        model = made["model"]
+        spelled_whole = model["type"] == "BPE" and not model.get("continuing_subword_prefix") and not model.get("end_of_word_suffix")
+        self.apart = byte_level(vocabulary) and spelled_whole and all(chr(c) in names for c in self.spelled)
+        self.widths = np.zeros(max(names.values(), default=-1) + 1, np.int64)
+        self.widths[list(names.values())] = list(map(len, names))
+        self.kinds = np.full(0x110000, UNKNOWN, np.uint8)
+        self._learn_kinds(np.arange(128))
         self.clear()
 
     def clear(self) -> None:
-        self.numbers: dict[str, int] = {}
-        self.atoms: dict[str, list[int]] = {}
+        self.numbers: dict[bytes, int] = {}
+        self.held = 0
         self.sizes, self.starts = np.empty(0, np.int64), np.empty(0, np.int64)
         self.ids = np.empty(0, np.int32)
 
     def plain(self, texts: list[str]) -> list[list[int]]:
         return [x.ids for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _learn_atoms(self, new: list[str]) -> None:
-        one = self.tokenizer.model.tokenize
-        # Printable ASCII stands for itself in a byte-level vocabulary, the space for another mark.
-        self.atoms.update((a, [t.id for t in one(a.replace(" ", SPACE))]) for a in new)
-
-    def _learn(self, new: list[str]) -> None:
-        search, split, atoms = self.whole.search, _ATOM.findall, self.atoms
-        alone = [chunk for chunk in new if search(chunk)]
-        apart = [chunk for chunk in new if not search(chunk)] if alone else new
-        parts = [split(chunk) for chunk in apart]
-        self._learn_atoms(list(set(chain.from_iterable(parts)).difference(atoms)))
-        found = [atoms[p[0]] if len(p) == 1 else [i for a in p for i in atoms[a]] for p in parts]
-        for first in range(0, len(alone), JOINED):
-            found += self.plain(alone[first : first + JOINED])
-        self.numbers.update(zip(apart + alone if alone else apart, range(len(self.numbers), len(self.numbers) + len(new))))
-        sizes = np.fromiter(map(len, found), np.int64, len(found))
-        self.sizes = np.concatenate([self.sizes, sizes])
-        self.ids = np.concatenate([self.ids, np.fromiter(chain.from_iterable(found), np.int32, int(sizes.sum()))])
+    def _learn_kinds(self, points: np.ndarray) -> None:
+        """What the library's patterns take these characters for."""
+        from tokenizers import Regex, pre_tokenizers
+
+        every = points.astype("<u4").tobytes().decode("utf-32-le")
+        self.kinds[points] = OTHER
+        for kind, pattern in PATTERNS.items():
+            found = pre_tokenizers.Split(Regex(pattern), "removed", invert=True).pre_tokenize_str(every)
+            self.kinds[[ord(c) for part, _ in found for c in part]] = kind
+
+    def _byte_kinds(self, data: np.ndarray) -> np.ndarray:
+        """The kind of each byte's character."""
+        kinds = self.kinds[:256][data]
+        wide = data >= 0x80
+        if wide.any():
+            points = np.frombuffer(data[wide].tobytes().decode("utf-8").encode("utf-32-le"), "<u4")
+            new = np.unique(points[self.kinds[points] == UNKNOWN])
+            if len(new):
+                self._learn_kinds(new)
+            widths = 2 + (points >= 0x800) + (points >= 0x10000)
+            kinds[wide] = np.repeat(self.kinds[points], widths)
+        return kinds
+
+    def _begins(self, data: np.ndarray, texts: np.ndarray) -> np.ndarray:
+        """Where atoms begin in texts that stand one behind the other and begin at ``texts``, none of them empty."""
+        kinds = self._byte_kinds(data)
+        opens = np.zeros(len(data) + 1, bool)
+        opens[texts] = opens[-1] = True
+        begins = opens.copy()
+        begins[1:-1] |= kinds[1:] != kinds[:-1]
+        # An apostrophe that begins an atom takes an ending along, letters behind it are another atom.
+        marks = np.flatnonzero((data == ord("'")) & begins[:-1])
+        spaced = (marks > 0) & (data[marks - 1] == ord(" ")) & ~opens[marks]
+        marks = marks[~spaced]
+        for ending in ENDINGS:
+            at = marks[marks + len(ending) < len(data)]
+            for k, letter in enumerate(ending.encode(), 1):
+                at = at[(data[at + k] == letter) & ~opens[at + k]]
+            begins[at + 1] = False
+            begins[at + 1 + len(ending)] = True
+        # The last of some white space stands apart from the rest, if the text goes on; a space belongs to what follows.
+        last = np.flatnonzero((kinds[:-1] == SPACE) & (kinds[1:] != SPACE) & ~opens[1:-1])
+        one = data[last] == ord(" ")
+        begins[last[one] + 1] = False
+        begins[last[one]] = True
+        rest = last[~one]
+        wide = data[rest] >= 0x80
+        begins[rest - np.where(wide, np.where(data[rest - 1] >= 0xC0, 1, 2), 0)] = True
+        return np.flatnonzero(begins)
+
+    def _learn(self, new: list[bytes]) -> None:
+        found = []
+        for first in range(0, len(new), JOINED):
+            atoms = new[first : first + JOINED]
+            size = np.fromiter(map(len, atoms), np.int64, len(atoms))
+            spelled = self.spelled[np.frombuffer(b"".join(atoms), np.uint8)]
+            lines = np.insert(spelled, np.cumsum(size)[:-1], ord("\n")).astype("<u4").tobytes().decode("utf-32-le")
+            ids = np.array(self.model.encode_batch_fast([lines], add_special_tokens=False)[0].ids, np.int32)
+            # A token of a byte-level vocabulary is as long as the bytes it stands for, which tells the atoms apart.
+            ends = np.cumsum(self.widths[ids])
+            last = np.searchsorted(ends, np.cumsum(size))
+            if not len(ends) or ends[-1] != size.sum() or (ends[last] != np.cumsum(size)).any():
+                raise ValueError("tokens do not add up to their atoms")
+            found.append((np.diff(last, prepend=-1), ids))
+        self.numbers.update(zip(new, range(len(self.numbers), len(self.numbers) + len(new))))
+        self.held += sum(map(len, new))
+        self.sizes = np.concatenate([self.sizes, *[sizes for sizes, _ in found]])
+        self.ids = np.concatenate([self.ids, *[ids for _, ids in found]])
         self.starts = np.cumsum(self.sizes) - self.sizes
 
-    def _numbered(self, names: list[str]) -> np.ndarray:
-        """The number of each chunk, all of them known."""
-        new = [name for name in dict.fromkeys(names) if name not in self.numbers]
-        if new:
-            self._learn(new)
-        return np.fromiter(map(self.numbers.__getitem__, names), np.int64, len(names))
-
-    def _plain_texts(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """(chunks of each text, number of every chunk) of safe texts, by array operations: Python sees distinct chunks only."""
-        # A chunk without a leading space is marked, so that a plain split tells the two kinds apart.
-        lines = pc.replace_substring(pa.array(texts, pa.large_string()), "\n", f" \n {MARK}")
-        marked = pc.binary_join_element_wise(*[pa.scalar(x, pa.large_string()) if isinstance(x, str) else x for x in (MARK, lines, "")])
-        lists = pc.split_pattern(marked, " ")
-        coded = lists.flatten().dictionary_encode()
-        names = [w[1:] if w[:1] == MARK else w if w == "\n" else " " + w for w in coded.dictionary.to_pylist()]
-        return np.asarray(lists.value_lengths()).astype(np.int64), self._numbered(names)[np.asarray(coded.indices)]
-
-    def _other_texts(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        split = [chunks(text) for text in texts]
-        return np.array([len(x) for x in split], np.int64), self._numbered(list(chain.from_iterable(split)))
+    def _atoms(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of each text, all ids): Python sees distinct atoms only."""
+        made = pa.array(texts, pa.large_string())
+        bounds = np.frombuffer(made.buffers()[1], np.int64)[: len(texts) + 1] if texts else np.zeros(1, np.int64)
+        data = np.frombuffer(made.buffers()[2] or b"", np.uint8)[: bounds[-1]]
+        if not len(data):
+            return np.zeros(len(texts), np.int64), np.empty(0, np.int32)
+        begins = self._begins(data, bounds[:-1][np.diff(bounds) > 0])
+        atoms = pa.Array.from_buffers(pa.large_binary(), len(begins) - 1, [None, pa.py_buffer(begins), made.buffers()[2]])
+        coded = atoms.dictionary_encode()
+        names = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
+        numbers = np.fromiter(map(self.numbers.get, names, repeat(-1)), np.int64, len(names))
+        new = np.flatnonzero(numbers < 0)
+        if len(new):
+            numbers[new] = len(self.numbers) + np.arange(len(new))
+            self._learn([names[i] for i in new])
+        flat = numbers[np.asarray(coded.indices)]
+        ends = np.concatenate([[0], np.cumsum(self.sizes[flat])])
+        return np.diff(ends[np.searchsorted(begins, bounds)]), _runs(self.starts, self.sizes, flat, self.ids)
+
+    def _parts(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of each text, all ids): texts without special strings."""
+        special = [any(name in text for name in self.added) for text in texts]
+        if not any(special):
+            return self._atoms(texts)
+        alone = self.plain([text for text, left in zip(texts, special) if left])
+        sizes, ids = self._atoms([text for text, left in zip(texts, special) if not left])
+        counts = np.empty(len(texts), np.int64)
+        counts[special], counts[~np.array(special)] = list(map(len, alone)), sizes
+        left = np.repeat(special, counts)
+        every = np.empty(len(left), np.int32)
+        every[left], every[~left] = list(chain.from_iterable(alone)), ids
+        return counts, every
 
     def encode(self, texts: list[str], end: int | None) -> tuple[np.ndarray, np.ndarray]:
         """(number of ids of each text, all ids one after the other), ``end`` behind each text."""
@@ -171,23 +255,23 @@ class Encoder:
             found = [x + tail for x in self.plain(texts)]
             sizes = np.array([len(x) for x in found], np.int64)
             return sizes, np.fromiter(chain.from_iterable(found), np.int32, int(sizes.sum()))
-        if len(self.numbers) > CACHED or len(self.atoms) > CACHED:
+        if len(self.numbers) > CACHED or self.held > CACHED_BYTES:
             self.clear()
-        plain = np.array([safe(text) and MARK not in text for text in texts], bool)
-        parts = [(np.flatnonzero(plain), self._plain_texts), (np.flatnonzero(~plain), self._other_texts)]
-        made = [(at, *work([texts[i] for i in at])) for at, work in parts if len(at)]
-        order = np.argsort(np.concatenate([at for at, _, _ in made]))
-        counts = np.concatenate([n for _, n, _ in made])
-        flat = _runs(np.cumsum(counts) - counts, counts, order, np.concatenate([numbers for _, _, numbers in made]))
-        counts = counts[order]
-        sizes = self.sizes[flat]
-        ids = _runs(self.starts, self.sizes, flat, self.ids)
-        bounds = np.cumsum(sizes)[np.cumsum(counts) - 1]
+        split = [chunks(text) if any(name in text for name in self.added) else [text] for text in texts]
+        counts = np.fromiter(map(len, split), np.int64, len(split))
+        sizes, ids = self._parts(list(chain.from_iterable(split)))
+        bounds = np.concatenate([[0], np.cumsum(sizes)])[np.cumsum(counts)]
         if tail:
             ids = np.insert(ids, bounds, end).astype(np.int32)
         return np.diff(bounds, prepend=0) + len(tail), ids
 
 
+@lru_cache(maxsize=1)
+def worker_encoder(vocabulary: str) -> Encoder:
+    """A worker's encoder: the vocabulary is loaded once, not in each task."""
+    return Encoder(vocabulary)
+
+
 def _runs(starts: np.ndarray, sizes: np.ndarray, order: np.ndarray, values: np.ndarray) -> np.ndarray:
     """Stretches of ``values``, each from its start on, one after the other in the given order."""
     sizes = sizes[order]
@@ -195,16 +279,14 @@ def _runs(starts: np.ndarray, sizes: np.ndarray, order: np.ndarray, values: np.n
     return values[np.repeat(starts[order] - (ends - sizes), sizes) + np.arange(int(sizes.sum()))]
 
 
-def _batches(texts: list[str | None]) -> Iterator[tuple[int, list[str]]]:
-    """Stretches of texts of about ``BATCH`` characters."""
+def _batches(column: pa.Array) -> Iterator[tuple[int, list[str]]]:
+    """Stretches of texts of about ``BATCH`` bytes."""
+    ends = np.cumsum(np.asarray(pc.fill_null(pc.binary_length(column), 0)), dtype=np.int64)
     at = 0
-    while at < len(texts):
-        chosen, size, first = [], 0, at
-        while at < len(texts) and (not chosen or size + len(texts[at] or "") <= BATCH):
-            chosen.append(texts[at] or "")
-            size += len(chosen[-1])
-            at += 1
-        yield first, chosen
+    while at < len(ends):
+        last = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + BATCH, "right")))
+        yield at, [text or "" for text in column.slice(at, last - at).to_pylist()]
+        at = last
 
 
 def encoded(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: str | None = None, end_id: int | None = END_ID) -> DataFrame:
@@ -222,9 +304,9 @@ def encoded(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocab
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        part, encoder, at = TaskContext.get().partitionId(), Encoder(sent.value), 0
+        part, encoder, at = TaskContext.get().partitionId(), worker_encoder(sent.value), 0
         for batch in batches:
-            for first, texts in _batches(batch.column(1).to_pylist()):
+            for first, texts in _batches(batch.column(1)):
                 sizes, ids = encoder.encode(texts, end_id)
                 ends = np.cumsum(sizes)
                 lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]), pa.int32()), pa.array(ids, pa.int32()))
@@ -236,6 +318,7 @@ def encoded(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocab
                     names=["part", "offset", "id", "n_tokens", "ids"],
                 )
                 at += int(ends[-1]) if len(ends) else 0
+        encoder.clear()
 
     return placed.mapInArrow(run, f"part int, offset bigint, id {kind}, n_tokens int, ids array<int>")
 
