@@ -50,3 +50,16 @@ def test_query_matches_sql(spark, sf):
     got = topk.op9_topk(spark, sf)
     assert sorted(map(tuple, got.collect())) == sorted(connection.execute(topk.OP9_SQL).fetchall())
     assert got.dtypes == [("query_id", "bigint"), ("rank", "int"), ("vec_id", "bigint"), ("score", "bigint")]
+
+
+def test_vectors_are_shuffled_by_group_and_never_broadcast(spark, monkeypatch):
+    for name, value in (("BLOCK_ROWS", 8), ("QUERY_ROWS", 4), ("TILE", 2), ("STRETCH", 3), ("GROUPS", 5)):
+        monkeypatch.setattr(topk, name, value)
+    rng = random.Random(4)
+    rows = [(i, [rng.gauss(0, 1) * (1 + i % 3) for _ in range(5)]) for i in range(400)]
+    rows += [(1000 + 20 * i, rows[20][1]) for i in range(30)]  # repeated vectors, which Parquet packs small
+    used = topk.quantized(spark.createDataFrame(rows, "vec_id bigint, embedding array<float>"), "vec_id", "embedding")
+    got = topk.search(used.where("id % 20 = 0"), used, 5)
+    # Tables of blocks look small to Spark; what they hold may not go through the driver.
+    assert "Broadcast" not in got._jdf.queryExecution().executedPlan().toString()
+    assert sorted(map(tuple, got.collect())) == brute(rows, 5)

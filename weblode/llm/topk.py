@@ -4,7 +4,10 @@ Vectors become integers (``floor(scale * x)``). Candidates are grouped by length
 norm buckets between quantiles, each bucket in blocks of bounded size (a bucket that holds
 a third of all vectors is many blocks). Queries are packed into blocks too. A first pass
 compares every query with the longest vectors and takes its k-th score as a floor. A
-second pass pairs query blocks with the candidate blocks that can still reach a floor.
+second pass pairs query blocks with the candidate blocks that can still reach a floor: a
+group holds a tile of query blocks and a stretch of candidate blocks, and floors rise from
+one block to the next. Both sides of a group are shuffled by its key and of bounded size;
+no table that holds vectors is ever broadcast, whatever size Spark takes it for.
 Inside a pair each query turns its floor into a local cosine threshold for the block and
 prunes by length (scan the longest vectors while their length can reach the floor) or by
 coordinates (the values a vector at that cosine can have in the query's largest
@@ -23,6 +26,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.core.broadcast import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -33,6 +37,12 @@ SCALE = 64
 BUCKETS = 64
 BLOCK_ROWS = 2048
 QUERY_ROWS = 512
+#: Query blocks, and candidate blocks at most, that meet in a group.
+TILE = 32
+STRETCH = 16
+#: Stretches are shorter than that if there are fewer groups than this, and groups share that many shuffle partitions at most.
+GROUPS = 96
+PARTITIONS = 2000
 FOCUS = 3
 #: Below this local cosine coordinates exclude little, and length alone prunes.
 COORDINATE_FROM = 0.35
@@ -117,37 +127,83 @@ def best_in_block(query: np.ndarray, query_id: int, floor: float, ids: np.ndarra
     return found[order], scores[order]
 
 
-PAIR_COLUMNS = ["query_block", "q_n", "q_dims", "q_ids", "q_norms", "q_matrix", "floors", "bucket", "salt"]
+FOUND = "query_block int, query_row int, query_id bigint, vec_id bigint, score bigint"
+_FOUND = pa.schema([(c.split()[0], pa.int32() if c.endswith(" int") else pa.int64()) for c in FOUND.split(", ")])
+QUERY_COLUMNS = ["query_block", "q_n", "q_dims", "q_ids", "q_norms", "q_matrix"]
+_QUERY_KINDS = "query_block int, q_n int, q_dims int, q_ids binary, q_norms binary, q_matrix binary"
 
 
-def _compare(pairs: DataFrame, k: int, fixed: Broadcast | None = None) -> DataFrame:
-    """query_id, query_row, vec_id, score from rows of a query block beside a candidate block.
+class _Block:
+    """A candidate block, ready to be compared with queries."""
 
-    ``fixed`` is one candidate block for all rows instead.
-    """
-    schema = "query_block int, query_row int, query_id bigint, vec_id bigint, score bigint"
+    def __init__(self, n: int, dims: int, ids: bytes, norms: bytes, matrix: bytes):
+        self.vectors, self.ids, self.norms = _matrix(n, dims, matrix), np.frombuffer(ids, np.int64), np.frombuffer(norms, np.float64)
+        self._floats()
+
+    def _floats(self) -> None:
+        self.floats = self.vectors.astype(np.float64)
+        self.units = self.floats / np.maximum(self.norms, 1e-300)[:, None]
+
+    def best(self, queries: np.ndarray, ids: np.ndarray, floors: np.ndarray, k: int) -> list[tuple[np.ndarray, np.ndarray]]:
+        """``best_in_block`` of each query."""
+        width = max(queries.shape[1], self.vectors.shape[1])
+        if width > self.vectors.shape[1]:
+            self.vectors = np.pad(self.vectors, ((0, 0), (0, width - self.vectors.shape[1])))
+            self._floats()
+        queries = np.pad(queries, ((0, 0), (0, width - queries.shape[1])))
+        return [best_in_block(q, i, t, self.ids, self.vectors, self.floats, self.norms, self.units, k) for q, i, t in zip(queries, ids, floors)]
+
+
+def _listed(query_block: int, query_ids: np.ndarray, found: list[tuple[np.ndarray, np.ndarray]]) -> dict[str, np.ndarray]:
+    """Columns of ``FOUND`` for the (ids, scores) of each query of a block."""
+    size = [len(x) for x, _ in found]
+    return {
+        "query_block": np.full(sum(size), query_block, np.int32), "query_row": np.repeat(np.arange(len(found), dtype=np.int32), size),
+        "query_id": np.repeat(query_ids, size), "vec_id": np.concatenate([x for x, _ in found] or [np.empty(0, np.int64)]),
+        "score": np.concatenate([x for _, x in found] or [np.empty(0, np.int64)]),
+    }
+
+
+def _compare_with(packed: DataFrame, k: int, block: Broadcast) -> DataFrame:
+    """``FOUND`` of every query block beside one candidate block."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        candidates = _Block(*block.value)
         for frame in frames:
             for row in frame.itertuples():
-                n, dims, id_bytes, norm_bytes, matrix = fixed.value if fixed else (row.n, row.dims, row.ids, row.norms, row.matrix)
-                queries, vectors = _matrix(row.q_n, row.q_dims, row.q_matrix), _matrix(n, dims, matrix)
-                width = max(queries.shape[1], vectors.shape[1])
-                queries, vectors = (np.pad(m, ((0, 0), (0, width - m.shape[1]))) for m in (queries, vectors))
-                ids, norms = np.frombuffer(id_bytes, np.int64), np.frombuffer(norm_bytes, np.float64)
-                query_ids = np.frombuffer(row.q_ids, np.int64)
-                floors = np.frombuffer(row.floors, np.float64) if row.floors is not None else np.full(len(queries), -np.inf)
-                floats = vectors.astype(np.float64)
-                units = floats / np.maximum(norms, 1e-300)[:, None]
-                found = [best_in_block(q, i, t, ids, vectors, floats, norms, units, k) for q, i, t in zip(queries, query_ids, floors)]
-                size = [len(x) for x, _ in found]
-                yield pd.DataFrame({
-                    "query_block": np.full(sum(size), row.query_block, np.int32), "query_row": np.repeat(np.arange(len(queries), dtype=np.int32), size),
-                    "query_id": np.repeat(query_ids, size), "vec_id": np.concatenate([x for x, _ in found] or [np.empty(0, np.int64)]),
-                    "score": np.concatenate([x for _, x in found] or [np.empty(0, np.int64)]),
-                })
-
-    return pairs.mapInPandas(run, schema)
+                ids = np.frombuffer(row.q_ids, np.int64)
+                found = candidates.best(_matrix(row.q_n, row.q_dims, row.q_matrix), ids, np.full(row.q_n, -np.inf), k)
+                yield pd.DataFrame(_listed(row.query_block, ids, found))
+
+    return packed.mapInPandas(run, FOUND)
+
+
+def _compare(queries: DataFrame, candidates: DataFrame, k: int, groups: int) -> DataFrame:
+    """``FOUND`` of the query blocks and candidate blocks of each (stretch, tile), the k best of a query there."""
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        rows = left.to_pylist()
+        ids = [np.frombuffer(r["q_ids"], np.int64) for r in rows]
+        floors = [np.frombuffer(r["floors"], np.float64).copy() for r in rows]
+        heaps = [[(np.empty(0, np.int64), np.empty(0, np.int64))] * len(x) for x in ids]
+        # The longest vectors first: they raise the floors most.
+        for i in np.lexsort((right.column("salt").to_numpy(), right.column("bucket").to_numpy())) if rows else ():
+            block = _Block(*(right.column(c)[int(i)].as_py() for c in ("n", "dims", "ids", "norms", "matrix")))
+            for r, own, floor, heap in zip(rows, ids, floors, heaps):
+                for q, (found, scores) in enumerate(block.best(_matrix(r["q_n"], r["q_dims"], r["q_matrix"]), own, floor, k)):
+                    if not len(found):
+                        continue
+                    found, scores = np.concatenate([heap[q][0], found]), np.concatenate([heap[q][1], scores])
+                    order = np.lexsort((found, -scores))[:k]
+                    heap[q] = found[order], scores[order]
+                    if len(order) == k:
+                        floor[q] = max(floor[q], heap[q][1][-1])
+        listed = [_listed(r["query_block"], own, heap) for r, own, heap in zip(rows, ids, heaps)]
+        return pa.Table.from_batches([pa.RecordBatch.from_pydict(x, schema=_FOUND) for x in listed], schema=_FOUND)
+
+    parts = min(groups, PARTITIONS)
+    left, right = (x.repartition(parts, "stretch", "tile").groupBy("stretch", "tile") for x in (queries, candidates))
+    return left.cogroup(right).applyInArrow(run, FOUND)
 
 
 def search(queries: DataFrame, candidates: DataFrame, k: int = 20) -> DataFrame:
@@ -175,18 +231,26 @@ def search(queries: DataFrame, candidates: DataFrame, k: int = 20) -> DataFrame:
     )
 
     # One block of the longest vectors gives the floors: about BLOCK_ROWS vectors, sent to all.
-    seed = (sizes[0][0], 0)
-    block = blocks.where((F.col("bucket") == seed[0]) & (F.col("salt") == seed[1])).select("n", "dims", "ids", "norms", "matrix").first()
+    seed = (F.col("bucket") == sizes[0][0]) & (F.col("salt") == 0)
+    block = blocks.where(seed).select("n", "dims", "ids", "norms", "matrix").first()
     block = tuple(bytes(x) if isinstance(x, (bytes, bytearray)) else x for x in block) if block else (0, 0, b"", b"", b"")
-    seeded = packed.select("*", F.lit(None).cast("binary").alias("floors"))
-    first = stage(_compare(seeded, k, spark.sparkContext.broadcast(block)), "floors")
+    first = stage(_compare_with(packed, k, spark.sparkContext.broadcast(block)), "floors")
 
     # Each query's k-th score so far, in the order of its block.
     kth = first.groupBy("query_block", "query_row").agg(F.count("*").alias("n"), F.min("score").cast("double").alias("low"))
     kth = kth.groupBy("query_block").agg(F.collect_list(F.struct("query_row", "n", "low")).alias("kth"))
-    with_floors = packed.join(kth, "query_block", "left")
-    targets = [(b, s) for b, n, _ in sizes for s in range(n) if (b, s) != seed]
-    pair_columns = "query_block int, q_n int, q_dims int, q_ids binary, q_norms binary, q_matrix binary, floors binary, bucket int, salt int"
+    with_floors = packed.join(kth.hint("merge"), "query_block", "left")
+
+    # Neighbouring blocks make a stretch, the longest vectors in the first one.
+    tiles = -(-query_blocks // TILE)
+    total = sum(n for _, n, _ in sizes)
+    length = max(1, min(STRETCH, total * tiles // GROUPS))
+    tops: list[float] = []
+    starts, place = {}, 0
+    for bucket, n, top in sizes:
+        starts[bucket], place = place, place + n
+        tops += [top] * (-(-place // length) - len(tops))
+    start_of = F.create_map(*[F.lit(x) for pair in starts.items() for x in pair])
 
     def spread(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
@@ -196,19 +260,16 @@ def search(queries: DataFrame, candidates: DataFrame, k: int = 20) -> DataFrame:
                     if x["n"] >= k:
                         floors[x["query_row"]] = x["low"]
                 lengths = np.frombuffer(row.q_norms, np.float64)
-                for bucket, n, top in sizes:
-                    # Whole buckets that no query of the block can use are left out.
-                    if not ((floors <= 0) | (lengths * top * (1 + 1e-9) >= floors)).any():
-                        continue
-                    for salt in range(n):
-                        if (bucket, salt) != seed:
-                            yield pd.DataFrame([(row.query_block, row.q_n, row.q_dims, row.q_ids, row.q_norms, row.q_matrix, floors.tobytes(), bucket, salt)],
-                                               columns=PAIR_COLUMNS)
-
-    every = first
-    if targets:
-        wanted = with_floors.mapInPandas(spread, pair_columns)
-        every = first.unionByName(_compare(wanted.join(blocks, ["bucket", "salt"]), k))
+                for stretch, top in enumerate(tops):
+                    # Whole stretches that no query of the block can use are left out.
+                    if ((floors <= 0) | (lengths * top * (1 + 1e-9) >= floors)).any():
+                        yield pd.DataFrame([(*(getattr(row, c) for c in QUERY_COLUMNS), floors.tobytes(), stretch, row.query_block // TILE)],
+                                           columns=[*QUERY_COLUMNS, "floors", "stretch", "tile"])
+
+    wanted = with_floors.mapInPandas(spread, f"{_QUERY_KINDS}, floors binary, stretch int, tile int")
+    stretch = F.floor((F.element_at(start_of, F.col("bucket")) + F.col("salt")) / length).cast("int")
+    others = blocks.where(~seed).withColumns({"stretch": stretch, "tile": F.explode(F.sequence(F.lit(0), F.lit(tiles - 1)))})
+    every = first.unionByName(_compare(wanted, others, k, len(tops) * tiles))
     ranked = every.withColumn("rank", F.expr("row_number() OVER (PARTITION BY query_block, query_row ORDER BY score DESC, vec_id)"))
     return ranked.where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
