@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from weblode.operators.filters import LogFilter, Settings
 from weblode.operators.periods import Period
 from weblode.sources.shared import SharedFolder
+from weblode.streaming import changes
 from weblode.streaming import rollup as rolling
 from weblode.streaming.changes import ChangeTable, change_epoch
 from weblode.streaming.late import LateWindows, micros
@@ -40,6 +41,40 @@ def test_changes_add_up_and_are_merged(spark, table):
     assert figures(table.read_some(spark.createDataFrame([("a",), ("zz",)], "k string"))) == {"a": 7}
 
 
+def test_a_batch_costs_the_same_however_many_came_before(spark, table, monkeypatch):
+    table.compact_every = 1
+    listed, merges, names, merged = [], [], SharedFolder.names, ChangeTable.merged
+    monkeypatch.setattr(SharedFolder, "names", lambda self, folder="": listed.append(folder) or names(self, folder))
+    monkeypatch.setattr(ChangeTable, "merged", lambda self, rows: merges.append(merged(self, rows)) or merges[-1])
+    for batch in range(2):
+        table.save(counts(spark, a=1), 0, batch)
+    listed.clear()
+    for batch in range(2, 5):
+        table.save(counts(spark, a=1), 0, batch)
+    assert table.manifest()["number"] == 5 and "manifests" not in listed
+    # What fits one task is merged without a shuffle, whatever is larger with one.
+    assert len(merges) == 5 and not any("Exchange" in m._jdf.queryExecution().executedPlan().toString() for m in merges)
+    monkeypatch.setattr(changes, "SMALL_BYTES", 0)
+    table.save(counts(spark, a=1, b=2), 0, 5)
+    assert "Exchange" in merges[-1]._jdf.queryExecution().executedPlan().toString()
+    assert figures(table.read()) == {"a": 6, "b": 2}
+
+
+def test_a_writer_sees_the_manifests_of_others(spark, table):
+    other = ChangeTable(spark, table.path, ("k",), {"n": "sum"}, compact_every=1)
+    table.save(counts(spark, a=1), 0, 0)
+    table.compact()
+    for batch in (1, 2, 3):
+        other.save(counts(spark, a=1), 0, batch)
+    assert table.manifest() == other.manifest() and table.manifest()["number"] == 4
+    assert not table.save(counts(spark, a=1), 0, 3) and figures(table.read()) == {"a": 4}
+    # A table that begins anew under the same path is read anew.
+    table.folder.delete("")
+    assert table.manifest()["number"] == 0
+    table.save(counts(spark, a=9), 0, 0)
+    assert figures(table.read()) == {"a": 9}
+
+
 def test_a_batch_that_runs_again_changes_nothing(spark, table):
     table.save(counts(spark, a=1), 0, 0)
     assert not table.save(counts(spark, a=1), 0, 0)
